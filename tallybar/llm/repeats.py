@@ -6,8 +6,8 @@ one, if it occurs twice): their anchor. Consecutive windows of a text mostly sha
 of windows is one row of (anchor hash, document, first start, number of starts): two rows for W - k + 2 units.
 
 1. Anchors that occur once in the corpus are dropped: no window around them occurs twice.
-2. The texts of the remaining runs ("snippets") are cut from their documents, and equal snippets are
-   folded: only the first is compared, and each other one stands wherever the first does.
+2. The texts of the remaining runs are snippets, and equal snippets are folded, by a hash of their units
+   beside the anchor's: only the first is compared, and each other one stands wherever the first does.
 3. Snippets that share an anchor meet in one task, which finds the classes of equal windows among them
    (``resolve``, by suffix array or suffix tree). Anchors with many runs are dealt further by a hash of the
    window itself, in as many parts as there are ``PART`` runs, so that no anchor gathers an unbounded group;
@@ -32,7 +32,7 @@ from . import textblocks as tb
 from .workspace import Workspace
 
 #: Runs of one anchor that one part takes on average.
-PART = 2000
+PART = 16_000
 #: Snippet text that a task compares at once, if a single part does not need more.
 STEP_BYTES = 1 << 21
 _U = np.uint64
@@ -96,69 +96,103 @@ def _runs(units: Units):
     return run
 
 
-def _snippets(units: Units):
-    """Texts and their runs to snippets; a snippet that came before in the batch leaves its text out."""
+def _run_fields(batch: pa.RecordBatch, name: str, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The first n fields of a list of structs, flat, and where each row's begin and end."""
+    lists = batch.column(name)
+    flat = lists.flatten()
+    return [flat.field(i).to_numpy() for i in range(n)], np.cumsum(np.append(0, lists.value_lengths().fill_null(0).to_numpy()))
+
+
+def _dealt(prefix: np.ndarray, at: np.ndarray, n: np.ndarray, parts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of anchors in several parts, cut to what each part needs: source run, part, first start, number of starts."""
+    src = np.repeat(np.arange(len(at)), n)
+    inside = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
+    where = at[src] + inside
+    part = (tb.span_hash(prefix, where, where + window) % parts[src].astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((inside, part, src))
+    src, part, inside = src[order], part[order], inside[order]
+    head = np.ones(len(src), dtype=bool)
+    head[1:] = (src[1:] != src[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(src)) - 1
+    return src[first], part[first], inside[first], inside[last] - inside[first] + 1
+
+
+KEYS = "anchor bigint, part bigint, key bigint, doc_order bigint, row_id bigint, start int, n int"
+
+
+def _keys(units: Units, same_text: bool):
+    """Texts and their runs to snippets, named by a hash of their units.
+
+    Of equal snippets in a batch only the first goes further; each other one is known to be covered and
+    keeps no key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, orders = batch.column("row_id").to_pylist(), batch.column("doc_order").to_pylist()
+            orders, ids = (batch.column(c).to_numpy() for c in ("doc_order", "row_id"))
             data, offsets = tb.byte_column(batch.column("text"))
-            lists = batch.column("runs")
-            flat = lists.flatten()
-            fields = [flat.field(i).to_numpy() for i in range(4)]
-            ends = np.cumsum(np.append(0, lists.value_lengths().fill_null(0).to_numpy()))
-            for lo, hi in tb.row_blocks(offsets, STEP_BYTES):
-                seen: set = set()
-                out: list[list] = [[] for _ in range(8)]
-                base = int(offsets[lo])
-                raw = data[base : offsets[hi]]
-                values, cut, first, last = units.split(raw, offsets[lo : hi + 1] - base)
+            fields, ends = _run_fields(batch, "runs", 4)
+            out: list[list[np.ndarray]] = []
+            for lo, hi in tb.row_blocks(offsets):
+                values, cut, _, _ = units.split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 prefix = tb.prefix_hash(values)
-                text = raw.tobytes()
-                for i in range(lo, hi):
-                    at = int(cut[i - lo])
-                    span = slice(int(ends[i]), int(ends[i + 1]))
-                    for anchor, start, n, parts in zip(*(f[span].tolist() for f in fields), strict=True):
-                        if parts == 1:
-                            pieces = ((0, start, n),)
-                        else:
-                            where = at + start + np.arange(n)
-                            part = (tb.span_hash(prefix, where, where + units.window) % _U(parts)).astype(np.int64)
-                            pieces = []
-                            for p in np.unique(part).tolist():
-                                own = np.flatnonzero(part == p)
-                                pieces.append((p, start + int(own[0]), int(own[-1] - own[0]) + 1))
-                        for p, s, m in pieces:
-                            a, b = at + s, at + s + m - 1 + units.window
-                            if first is None:
-                                body = text[a:b]
-                            else:  # single spaces, as the words are what counts
-                                body = b" ".join([text[x:y] for x, y in zip(first[a:b].tolist(), last[a:b].tolist(), strict=True)])
-                            key = (anchor, p, body)
-                            for column, x in zip(out, (anchor, p, hash_pair(body), orders[i], ids[i], s, m, None if key in seen else body), strict=True):
-                                column.append(x)
-                            seen.add(key)
-                        if len(out[0]) >= 50_000:
-                            yield _snippet_batch(out)
-                            out, seen = [[] for _ in range(8)], set()
-                if out[0]:
-                    yield _snippet_batch(out)
+                anchor, start, n, parts = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
+                doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                part = np.zeros(len(doc), dtype=np.int64)
+                many = parts > 1
+                if many.any():
+                    w = np.flatnonzero(many)
+                    src, p, skip, m = _dealt(prefix, cut[doc[w] - lo] + start[w], n[w], parts[w], units.window)
+                    k, src = np.flatnonzero(~many), w[src]
+                    anchor, doc, part = np.append(anchor[k], anchor[src]), np.append(doc[k], doc[src]), np.append(part[k], p)
+                    start, n = np.append(start[k], start[src] + skip), np.append(n[k], m)
+                at = cut[doc - lo] + start
+                key = tb.span_hash(prefix, at, at + n - 1 + units.window).view(np.int64)
+                out.append([anchor, part, key, orders[doc], ids[doc], start, n])
+            anchor, part, key, order, row, start, n = (np.concatenate(c) for c in zip(*out, strict=True))
+            place = np.lexsort((start, order, key, anchor))
+            new = np.ones(len(place), dtype=bool)
+            new[1:] = (anchor[place][1:] != anchor[place][:-1]) | (key[place][1:] != key[place][:-1])
+            first = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            later = order[place] > order[first]
+            if same_text:
+                later |= (order[place] == order[first]) & (start[place] > start[first])
+            known = np.zeros(len(place), dtype=bool)
+            known[place] = later
+            hidden = [pa.array(x, pa.int64(), mask=known) for x in (anchor, part, key)]
+            yield pa.RecordBatch.from_arrays([*hidden, pa.array(order), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], [f.split()[0] for f in KEYS.split(", ")])
 
     return run
 
 
-def hash_pair(body: bytes) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(body, digest_size=16).digest()
+SNIPPETS = "anchor bigint, part bigint, key bigint, doc_order bigint, start bigint, n bigint, body binary"
 
 
-SNIPPETS = "anchor bigint, part bigint, key binary, doc_order bigint, row_id bigint, start int, n int, body binary"
+def _bodies(units: Units):
+    """Texts and their snippets (anchor, part, key, start, n) to the snippets' own text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders = batch.column("doc_order").to_numpy()
+            data, offsets = tb.byte_column(batch.column("text"))
+            fields, ends = _run_fields(batch, "runs", 5)
+            for lo, hi in tb.row_blocks(offsets):
+                raw = data[offsets[lo] : offsets[hi]]
+                _, cut, first, last = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
+                text = raw.tobytes()
+                anchor, part, key, start, n = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
+                doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                a = cut[doc - lo] + start
+                b = a + n - 1 + units.window
+                if first is None:
+                    body = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                else:  # single spaces, as the words are what counts
+                    words = [text[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                    body = [b" ".join(words[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor, part, key, orders[doc], start, n)), pa.array(body, pa.binary())], [f.split()[0] for f in SNIPPETS.split(", ")])
 
-def _snippet_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [f.split()[0] for f in SNIPPETS.split(", ")])
+    return run
 
 
 def _resolved(resolve: Callable):
@@ -169,13 +203,13 @@ def _resolved(resolve: Callable):
         size, now = 0, None
 
         def flush():
-            covered = resolve([r[3] for r in held], [r[6] for r in held], [(r[4], r[5]) for r in held])
+            covered = resolve([r[6] for r in held], [r[5] for r in held], [(r[3], r[4]) for r in held])
             at, rows = 0, []
             for r in held:
-                bits = covered[at : at + r[6]]
-                at += r[6]
-                rows.append((r[0], r[1], r[2], r[4], r[5], np.packbits(bits).tobytes() if bits.any() else None))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "part", "key", "first_order", "first_start", "bits"])
+                bits = covered[at : at + r[5]]
+                at += r[5]
+                rows.append((*r[:5], np.packbits(bits).tobytes() if bits.any() else None))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "part", "key", "first_order", "first_start", "bits"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -184,7 +218,7 @@ def _resolved(resolve: Callable):
                     held, size = [], 0
                 now = row[:2]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[6])
         if held:
             yield flush()
 
@@ -200,26 +234,32 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
     """
     row = ["doc_order", "row_id"]
     runs = rows.select(*row, "text").mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int")
+    runs = ws.save(runs, "anchors")
     often = ws.save(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "often")
     parts = F.ceil(F.col("times") / PART).cast("int").alias("parts")
     live = runs.join(often.select("anchor", parts), "anchor")
     grouped = ws.save(live.groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "n", "parts")).alias("runs")), "runs")
+    ws.drop("anchors")
     ws.drop("often")
-    cut = rows.select(*row, "text").join(grouped, row).mapInArrow(_snippets(units), SNIPPETS)
-    cut = ws.save(cut, "snippets")
+    keys = ws.save(rows.select(*row, "text").join(grouped, row).mapInArrow(_keys(units, same_text), KEYS), "keys")
     ws.drop("runs")
-    folded = cut.groupBy("anchor", "part", "key").agg(F.min(F.struct("doc_order", "start", "n")).alias("x"), F.max("body").alias("body"))
-    folded = folded.select("anchor", "part", "key", "body", F.col("x.doc_order").alias("doc_order"), F.col("x.start").cast("bigint").alias("start"), F.col("x.n").cast("bigint").alias("n"))
-    judged = folded.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_resolved(resolve), "anchor bigint, part bigint, key binary, first_order bigint, first_start bigint, bits binary")
+    open_ones = keys.where("key is not null")
+    first = open_ones.groupBy("anchor", "part", "key").agg(F.min(F.struct(*row, "start", "n")).alias("x")).select("anchor", "part", "key", "x.*")
+    first = ws.save(first.groupBy(*row).agg(F.collect_list(F.struct("anchor", "part", "key", "start", "n")).alias("runs")), "first")
+    bodies = rows.select(*row, "text").join(first, row).mapInArrow(_bodies(units), SNIPPETS)
+    judged = bodies.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_resolved(resolve), "anchor bigint, part bigint, key bigint, first_order bigint, first_start bigint, bits binary")
     judged = ws.save(judged, "judged")
-    places = cut.select("anchor", "part", "key", *row, "start", "n").join(judged, ["anchor", "part", "key"])
+    ws.drop("first")
+    places = open_ones.select("anchor", "part", "key", *row, "start", "n").join(judged, ["anchor", "part", "key"])
     whole = F.col("doc_order") > F.col("first_order")
     if same_text:
         whole = whole | ((F.col("doc_order") == F.col("first_order")) & (F.col("start") > F.col("first_start")))
     marked = places.select(*row, "start", "n", whole.alias("whole"), "bits").where("whole or bits is not null")
     bits = F.when(F.col("whole"), F.lit(None)).otherwise(F.col("bits")).alias("bits")
-    marks = ws.save(marked.groupBy(*row).agg(F.collect_list(F.struct("start", "n", bits)).alias("marks")), "marks")
-    ws.drop("snippets")
+    known = keys.where("key is null").select(*row, "start", "n", F.lit(None).cast("binary").alias("bits"))
+    marked = marked.select(*row, "start", "n", bits).unionByName(known)
+    marks = ws.save(marked.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
+    ws.drop("keys")
     ws.drop("judged")
     return marks
 
