@@ -8,11 +8,12 @@ earliest point that counts, so two texts agree on a place with exactly the weigh
 sum(min) / sum(max), and weight w costs log(w) processes. The processes are followed only up to a time by
 which all places are expected to be filled; a text with an empty place is followed to twice the time.
 
-Equal texts are folded first. ``BANDS`` bands of ``ROWS`` places find candidates: in each bucket of equal
-bands every text is compared with the bucket's smallest document, never with all others. Candidates are
-verified by exact multiset overlap. Buckets that then still hold several components are taken up again
-with their next document as the one compared, until every bucket is one component or all its documents
-have been compared: no link between components is lost, and links inside one are not needed.
+Equal texts are folded first. ``BANDS`` bands of ``ROWS`` places find candidates, which exact multiset overlap
+verifies. In each bucket of equal bands every text is first compared with the bucket's smallest document,
+never with all others. Buckets that then still hold several components are compared whole, in tiles: the
+bucket is cut into blocks of ``BLOCK`` shingles, a task gets two blocks, counts the common shingles of all
+pairs of different components by matrix products, and hands on a spanning forest of the links. So no link
+that the bands offer is lost, and no list of all pairs is ever made.
 
 Defined results: a row without an id is a class of its own; words are runs of non-space bytes, compared as they are; a null or wordless text is a
 class of its own; texts with the same words in the same order are one class; a document id on several rows
@@ -39,6 +40,8 @@ BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
 #: Points expected per text before the first look for empty places; about 2 % of texts need another.
 POINTS = PLACES * (np.log(PLACES) + 4)
+#: Shingles in a block of a bucket, tokens that one product takes, and pairs up to which sorted lists are merged instead.
+BLOCK, CHUNK, FEW = 1 << 18, 1 << 12, 32
 _U = np.uint64
 
 
@@ -202,6 +205,95 @@ def _verify(threshold: float):
     return run
 
 
+def numbered(shingle_set: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: the k-th of equal shingles gets a value of its own."""
+    head = np.append(True, shingle_set[1:] != shingle_set[:-1])
+    first = np.flatnonzero(head)
+    nth = np.arange(len(shingle_set)) - np.repeat(first, np.diff(np.append(first, len(shingle_set))))
+    return tb.mix(shingle_set + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each text on the left shares with each on the right."""
+    sides = [[numbered(x) for x in side] for side in (left, right)]
+    tokens = [np.concatenate(side) for side in sides]
+    both = np.intersect1d(*tokens)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    columns, rows = [], []
+    for side, all_tokens in zip(sides, tokens, strict=True):
+        owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(both, all_tokens)
+        at[at == len(both)] = 0
+        ok = both[at] == all_tokens if len(both) else np.zeros(len(at), dtype=bool)
+        order = np.argsort(at[ok], kind="stable")
+        columns.append(at[ok][order])
+        rows.append(owner[ok][order])
+    for lo in range(0, len(both), CHUNK):
+        a, b = (np.zeros((len(side), CHUNK), dtype=np.float32) for side in sides)
+        for matrix, column, row in zip((a, b), columns, rows, strict=True):
+            part = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + CHUNK))
+            matrix[row[part], column[part] - lo] = 1
+        out += a @ b.T
+    return out
+
+
+def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between components. left, right: (id, component, shingles); right None: left itself."""
+    other = left if right is None else right
+    ids, parts, sets = zip(*left, strict=True)
+    ids_b, parts_b, sets_b = zip(*other, strict=True)
+    size, size_b = (np.array([len(x) for x in s], dtype=np.float64) for s in (sets, sets_b))
+    possible = np.array(parts)[:, None] != np.array(parts_b)[None, :]
+    possible &= np.minimum(size[:, None], size_b) >= threshold * np.maximum(size[:, None], size_b)
+    if right is None:
+        possible = np.triu(possible)
+    u, v = np.nonzero(possible)
+    if len(u) <= FEW:
+        linked = [(i, j) for i, j in zip(u.tolist(), v.tolist(), strict=True) if overlap(sets[i], sets_b[j]) >= threshold]
+    else:
+        common = common_counts(sets, sets_b).astype(np.float64)
+        ok = common[u, v] / (size[u] + size_b[v] - common[u, v]) >= threshold
+        linked = list(zip(u[ok].tolist(), v[ok].tolist(), strict=True))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in linked:
+        a, b = top(parts[i]), top(parts_b[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids_b[j]))
+    return out
+
+
+def _tiles(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def links():
+            left = [r[1:] for r in held if r[0] == tile[1]]
+            right = [r[1:] for r in held if r[0] == tile[2]] if tile[1] != tile[2] else None
+            found = tile_links(left, right, threshold) if left and (right is None or right) else []
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            head = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "block", "rep", "component")), strict=True))
+            for (band, i, j, *rest), blob in zip(head, batch.column("shingles"), strict=True):
+                if (band, i, j) != tile:
+                    if held:
+                        yield links()
+                    tile, held = (band, i, j), []
+                held.append((*rest, np.frombuffer(blob.as_py(), np.uint64)))
+        if held:
+            yield links()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_copies (rows with the same words), kept.
 
@@ -210,34 +302,28 @@ def near_duplicates(docs: DataFrame, ws: Workspace, threshold: float = THRESHOLD
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = ws.save(own.mapInArrow(_sign, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, bands array<bigint>"), "signed")
     folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("n_copies"))
-    reps = ws.save(folded.select("k1", "k2", F.col("x.doc_id").alias("rep"), "n_copies", "x.bands"), "reps")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
+    reps = ws.save(folded.select("k1", "k2", F.col("x.doc_id").alias("rep"), "n_copies", "x.n_shingles", "x.bands"), "reps")
+    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
     crowded = ws.save(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "crowded")
     members = ws.save(banded.join(crowded.select("band", "leader"), "band"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = own.join(ws.save(wanted, "wanted"), "doc_id").mapInArrow(_shingle_sets, "doc_id bigint, shingles binary")
     sets = ws.save(texts.withColumnRenamed("doc_id", "rep"), "sets")
-    links, label, step = None, None, 0
     pairs = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    while True:
-        step += 1
-        with_v = ws.save(pairs, f"pairs-{step}").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v")
-        both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
-        good = ws.save(both.select("u", "v", "su", "sv").mapInArrow(_verify(threshold), "u bigint, v bigint"), f"good-{step}")
-        links = good if links is None else links.unionByName(good)
-        label = connected_components(links, ws, f"cc-{step}")
-        members = ws.save(members.select("band", "rep", "leader").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "leader", F.coalesce("component", "rep").alias("component")), f"members-{step}")
-        # buckets with documents after the leader that another component holds
-        later = members.where("rep > leader")
-        next_one = later.groupBy("band").agg(F.min("rep").alias("next"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "next")
-        next_one = ws.save(next_one, f"next-{step}")
-        if next_one.isEmpty():
-            break
-        moved = members.join(next_one, "band").select("band", "rep", F.col("next").alias("leader"), "component")
-        members = ws.save(moved.where("rep >= leader"), f"left-{step}")
-        head = members.where("rep = leader").select("band", F.col("component").alias("own"))
-        pairs = members.join(head, "band").where("component <> own").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-        members = members.select("band", "rep", "leader")
+    with_v = ws.save(pairs, "pairs").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v")
+    both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
+    good = ws.save(both.select("u", "v", "su", "sv").mapInArrow(_verify(threshold), "u bigint, v bigint"), "good")
+    label = connected_components(good, ws, "cc-star")
+    members = ws.save(members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "members-labelled")
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")).where("low < high")
+    mixed = ws.save(mixed.select("band", "blocks"), "mixed")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    dealt = members.join(mixed, "band").select("band", "rep", "component", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tiled = ws.save(dealt, "dealt").join(sets, "rep").select("band", "i", "j", "block", "rep", "component", "shingles")
+    more = tiled.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_tiles(threshold), "u bigint, v bigint")
+    more = ws.save(more, "more")
+    label = connected_components(good.unionByName(more), ws, "cc-all")
     node = reps.select("k1", "k2", "rep", "n_copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     node = ws.save(node.select("k1", "k2", F.col("n_copies"), F.coalesce("component", "rep").alias("class_id"), F.lit(True).alias("worded")), "classes")
     out = signed.select("doc_id", "k1", "k2", (F.col("n_shingles") > 0).alias("worded")).join(node, ["k1", "k2", "worded"], "left")
