@@ -159,7 +159,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         for lo, hi in tb.row_blocks(offsets, tb.BLOCK_BYTES // 2):
             h, rows, k1, k2 = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -172,7 +172,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         for lo, hi in tb.row_blocks(offsets):
             h, rows, _, _ = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -193,7 +193,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.each(batches):
             ids = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             keep = []
             for i, (a, b) in enumerate(zip(batch.column("su"), batch.column("sv"), strict=True)):
@@ -280,7 +280,7 @@ def _tiles(threshold: float):
             found = tile_links(left, right, threshold) if left and (right is None or right) else []
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for batch in batches:
+        for batch in tb.each(batches):
             head = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "block", "rep", "component")), strict=True))
             for (band, i, j, *rest), blob in zip(head, batch.column("shingles"), strict=True):
                 if (band, i, j) != tile:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 
@@ -33,7 +34,8 @@ BLOCK_WORDS = 500_000
 #: Candidate starts that are intersected at once.
 STEP = 1 << 21
 
-HITS = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,40 +188,40 @@ def _queries(benchmark: DataFrame, window: int) -> Iterator[Queries]:
         yield Queries(block, window)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, spans (disjoint runs of hit words) and items for each document row.
 
     slop: None for exact phrases; else every word of a window may stand up to that many words off its
     place, and a span is the place of the window's rarest word.
+    keep: columns, text among them, to return as one struct ``row`` instead of doc_id.
     """
     spark = docs.sparkSession
-    kept = docs.select("doc_id", "text", F.lit(None).cast("bigint").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    some = False
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {HITS}"
-    for queries in [*_queries(benchmark, window)] or [Queries([], window)]:
-        block = spark.sparkContext.broadcast(pickle.dumps(queries))
-        kept, some = kept.mapInArrow(_pass(block, slop), schema), True
-    assert some
-    return kept.drop("text")
+    own = docs.select(F.struct(*keep).alias("row")) if keep else docs.select("doc_id", "text")
+    blocks = [*_queries(benchmark, window)] or [Queries([], window)]
+    for k, queries in enumerate(blocks):
+        last = k == len(blocks) - 1
+        fields = [T.StructField(f.name, f.dataType) for f in own.schema.fields if not (last and f.name == "text") and f.name not in FOUND.names]
+        own = own.mapInArrow(_pass(spark.sparkContext.broadcast(pickle.dumps(queries)), slop, last), T.StructType([*fields, *FOUND.fields]))
+    return own
 
 
-def _pass(block, slop):
+def _pass(block, slop, last):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = pickle.loads(block.value)
-        for batch in batches:
-            data, offsets = tb.byte_column(batch.column("text"))
+        for batch in tb.each(batches):
+            data, offsets = tb.text_column(batch)
             n, spans, items = [], [], []
             for lo, hi in tb.row_blocks(offsets):
                 a, b, c = find(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], queries, slop)
                 n.append(a)
                 spans += b
                 items += c
-            before = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            if any(before[1]):
-                spans = [merged(x + y) for x, y in zip(before[0], spans, strict=True)]
-                items = [sorted({*x, *y}) for x, y in zip(before[1], items, strict=True)]
-            out = [batch.column("doc_id"), batch.column("text"), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "n_words", "spans", "items"])
+            if "spans" in batch.schema.names:
+                spans = [merged(x + y) for x, y in zip(batch.column("spans").to_pylist(), spans, strict=True)]
+                items = [sorted({*x, *y}) for x, y in zip(batch.column("items").to_pylist(), items, strict=True)]
+            found = {"n_words": pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.int64()))}
+            columns = {name: batch.column(name) for name in batch.schema.names if name not in found and not (last and name == "text")} | found
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     return run
 
@@ -245,6 +247,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents that hold no benchmark window, all columns kept."""
-    columns = docs.columns
-    flagged = docs.select(F.struct(*columns).alias("doc_id"), "text")
-    return find_benchmark(flagged, benchmark, window).where(F.size("spans") == 0).select("doc_id.*")
+    return find_benchmark(docs, benchmark, window, keep=tuple(docs.columns)).where(F.size("spans") == 0).select("row.*")

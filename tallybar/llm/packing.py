@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import textblocks as tb
 from .workspace import Workspace
 
 CAPACITY, END = 2048, 0
@@ -71,7 +72,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def _pieces(vocabulary: str, capacity: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
+        for batch in tb.each(batches):
             out = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
@@ -148,7 +149,7 @@ def _place(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pickle.loads(plan.value)
         key = p["length"] << 44 | p["lo"]
-        for batch in batches:
+        for batch in tb.each(batches):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             inside = rank - p["lo"][at]
@@ -172,6 +173,6 @@ def pack(docs: DataFrame, ws: Workspace, vocabulary: str | None = None, capacity
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shift = ws.save(by_shard.select("shard", "length", F.coalesce(before, F.lit(0)).alias("before")), "shift")
     inside = F.row_number().over(Window.partitionBy("shard", "length").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("inside", inside).join(shift, ["shard", "length"])
+    ranked = pieces.withColumn("inside", inside).join(shift.hint("merge"), ["shard", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside") - 1).cast(T.LongType()).alias("rank"))
     return ranked.mapInArrow(_place(plan), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 from .labelled import fitting_sample, held_out
@@ -95,24 +96,25 @@ def logits(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: flo
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = pickle.loads(model.value)
-        for batch in batches:
-            data, offsets = tb.byte_column(batch.column("text"))
+        for batch in tb.each(batches):
+            data, offsets = tb.text_column(batch)
             parts = [logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], weights, bias) for lo, hi in tb.row_blocks(offsets)]
             z = np.clip(np.concatenate(parts) if parts else np.empty(0), -50, 50)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(1 / (1 + np.exp(-z)))], [*batch.schema.names[:-1], "score"])
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(1 / (1 + np.exp(-z)))], [*names, "score"])
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, the columns ``keep`` as one struct ``row`` if any, and score (0 to 1)."""
+    """doc_id, held_out, the columns ``keep`` (text among them) as one struct ``row`` if any, and score (0 to 1)."""
     sample = fitting_sample(docs, labels, "quality")
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(pickle.dumps(train(sample)))
-    row = [F.struct(*keep).alias("row")] if keep else []
-    own = docs.select("doc_id", held_out("doc_id").alias("held_out"), *row, "text")
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1]]
-    return own.mapInArrow(_score(model), ", ".join([*fields, "score double"]))
+    text = F.struct(*keep).alias("row") if keep else F.col("text")
+    own = docs.select("doc_id", held_out("doc_id").alias("held_out"), text)
+    fields = [T.StructField(f.name, f.dataType) for f in own.schema.fields if f.name != "text"]
+    return own.mapInArrow(_score(model), T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, at_least: float = 0.3) -> DataFrame:

@@ -34,7 +34,7 @@ from .workspace import Workspace
 #: Runs of one anchor that one part takes on average.
 PART = 16_000
 #: Snippet text that a task compares at once, if a single part does not need more.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -85,7 +85,7 @@ def anchors(prefix: np.ndarray, units: np.ndarray, w: int, k: int) -> tuple[np.n
 
 def _runs(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.each(batches):
             orders, ids = (batch.column(c).to_numpy() for c in ("doc_order", "row_id"))
             data, offsets = tb.byte_column(batch.column("text"))
             for lo, hi in tb.row_blocks(offsets):
@@ -129,7 +129,7 @@ def _keys(units: Units, same_text: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.each(batches):
             orders, ids = (batch.column(c).to_numpy() for c in ("doc_order", "row_id"))
             data, offsets = tb.byte_column(batch.column("text"))
             fields, ends = _run_fields(batch, "runs", 4)
@@ -173,7 +173,7 @@ def _bodies(units: Units):
     """Texts and their snippets (anchor, part, key, start, n) to the snippets' own text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tb.each(batches):
             orders = batch.column("doc_order").to_numpy()
             data, offsets = tb.byte_column(batch.column("text"))
             fields, ends = _run_fields(batch, "runs", 5)
@@ -211,7 +211,7 @@ def _resolved(resolve: Callable):
                 rows.append((*r[:5], np.packbits(bits).tobytes() if bits.any() else None))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "part", "key", "first_order", "first_start", "bits"])
 
-        for batch in batches:
+        for batch in tb.each(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= STEP_BYTES and row[:2] != now:
                     yield flush()

@@ -125,7 +125,7 @@ def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         out: list[list] = [[], [], []]
         for i, marks in enumerate(batch.column("marks")):

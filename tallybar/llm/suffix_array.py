@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textblocks as tb
 from .repeats import Units, covered_runs, covered_units, keyed_rows
@@ -166,7 +167,7 @@ def _inside(n: np.ndarray) -> np.ndarray:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         out: list[list] = [[], [], [], []]
         for i, marks in enumerate(batch.column("marks")):
@@ -187,9 +188,9 @@ def remove_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = tb.byte_column(batch.column("text"))
-        texts = batch.column("text")
+    for batch in tb.each(batches):
+        data, offsets = tb.text_column(batch)
+        texts = tb.text_array(batch)
         out = []
         for i, marks in enumerate(batch.column("marks")):
             if not marks.is_valid or not texts[i].is_valid:
@@ -209,10 +210,12 @@ def drop_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     A document of which nothing is left goes; one that was empty before stays.
     """
-    rows = keyed_rows(docs, tuple(docs.columns))
+    rows = keyed_rows(docs)
     marks = covered_runs(rows, BYTES, covered_windows, True, ws)
-    joined = rows.join(marks, ["doc_order", "row_id"], "left").select("row", "text", "marks")
-    cleaned = joined.mapInArrow(_clean, f"row {rows.schema['row'].dataType.simpleString()}, kept_text string")
+    whole = keyed_rows(docs, tuple(docs.columns)).drop("doc_id", "text")
+    joined = whole.join(marks, ["doc_order", "row_id"], "left").select("row", "marks")
+    schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("kept_text", T.StringType())])
+    cleaned = joined.mapInArrow(_clean, schema)
     cleaned = cleaned.where("kept_text is null or kept_text <> '' or row.text = ''")
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return cleaned.select(*((F.coalesce(new[c], F.col(f"row.{c}")) if c in new else F.col(f"row.{c}")).alias(c) for c in docs.columns))

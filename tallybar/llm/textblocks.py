@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy step works on; a single longer text is a step of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 #: Odd multipliers, fixed so that every task hashes alike.
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[str, np.ndarray] = {}
 
 
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what a batch needed goes back to the system before the next one is read."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread each 64-bit value over all bits (a bijection)."""
     x = (x ^ (x >> _U(30))) * _U(_MIX1)
@@ -81,6 +93,15 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def text_array(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: a column of its own, or a field of the struct column ``row``."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def text_column(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return byte_column(text_array(batch))
+
+
 def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold at most ``limit`` bytes, or one longer row."""
     lo, n = 0, len(offsets) - 1

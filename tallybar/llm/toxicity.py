@@ -120,7 +120,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = pickle.loads(model.value)
         measure = Distance(*fitted["sides"]) if "sides" in fitted else None
-        for batch in batches:
+        for batch in tb.each(batches):
             data, offsets = tb.byte_column(batch.column("text"))
             n = len(offsets) - 1
             if measure and n:
