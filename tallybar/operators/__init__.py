@@ -1 +1 @@
-
+"""Operators over whole series: recurrences, levels, structure, signals."""

@@ -1 +1 @@
-
+"""Where bars come from."""

@@ -1 +1 @@
-
+"""Bars and recursive averages over streams."""
