@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, chat, decontaminate, embedding_dedup, packing, quality, substring_trees, suffix_array, toxicity, url_filter
+from .oracles import SQL
 from .workspace import Workspace
 
 
@@ -65,12 +66,5 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_minhash_near_dedup, op8_url_filters, op9_substring_dedup, op10_chat_formatting)}
 
 
-#: DuckDB's SQL for the rows of the queries above, where SQL can express them on whole tables.
-OP8_RULE = """case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
-     when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
-     when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
-     when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
