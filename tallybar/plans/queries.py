@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..frame import BarFrame
 from ..functions import patterns, signals, windows
-from ..operators import levels, recursive, structure
+from ..operators import levels, order_blocks, recursive, structure
 from ..sources import bars as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,15 @@ def _market_structure(spark: SparkSession, d: str) -> DataFrame:
     return _shown(structure.market_structure(flagged, "sym", "ts"), ["kind", "price", "label", "trend"])
 
 
+def _order_blocks(**how) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = order_blocks.order_blocks(sources.orders_daily(spark, d), "sym", "ts", order_blocks.OrderBlockConfig(lookback_max=8, **how))
+        times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "break", "retest")]
+        return found.select("sym", "id", "block_type", *times, "zone_low", "zone_high", "strength", "structure_label", "trend_direction")
+
+    return run
+
+
 def _ott_signals(spark: SparkSession, d: str) -> DataFrame:
     request = recursive.INDICATORS["ott"]()
     frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(request).df
@@ -231,6 +240,7 @@ def queries() -> dict[str, Query]:
     out |= {f"pivots_{m}": _pivots(m, "M") for m in levels.METHODS}
     out |= {"pivots_weekly": _pivots("classic", "W"), "pivots_daily": _pivots("classic", "D"), "pivots_yearly": _pivots("classic", "Y"), "pivots_forward": _pivots("traditional", "M", "forward")}
     out |= {"resample_monthly": _monthly, "ichimoku_forward": _forward, "tail": _tail, "offset_fillna": _shifted, "trim": _trimmed}
+    out |= {"order_blocks": _order_blocks(), "order_blocks_all_breakouts": _order_blocks(multiple_breakouts=True, check_breaker=True, use_market_structure_filter=True), "order_blocks_clustered": _order_blocks(multiple_breakouts=True, cluster_blocks=True, cluster_price_tolerance=0.05)}
     out |= {"zigzag": _zigzag, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
     return out
 

@@ -7,7 +7,7 @@ import pytest
 from tallybar.frame import BarFrame
 from tallybar.functions import patterns, signals, windows
 from tallybar.operators import kernels as k
-from tallybar.operators import levels, recursive, structure
+from tallybar.operators import levels, order_blocks, recursive, structure
 from tallybar.sources import bars as sources
 from tallybar.streaming import bars as streams
 
@@ -212,3 +212,34 @@ def test_stream_average(spark, tmp_path):
     query.awaitTermination(120)
     got = [r.average for r in spark.table("averages").orderBy("ts").collect()]
     assert np.allclose(np.array(got, dtype=float), k.ema(np.array([r[2] for r in rows]), 5), equal_nan=True)
+
+
+def mirrored(high, low, close, volume, level=400.0):
+    return level - low, level - high, level - close, volume
+
+
+def test_order_blocks(walk):
+    _, high, low, close, volume = walk
+    how = {"multiple_breakouts": True, "min_reaction_size": 0.0, "check_breaker": True, "displacement_multiplier": 0.1, "strength_atr_normalize": True}
+    cfg = order_blocks.OrderBlockConfig(**how)
+    found = order_blocks.Market(high, low, close, volume, cfg).confirm()
+    assert len(found) >= 3 and {b.side for b in found} == {1, -1}
+    for b in found:
+        assert b.start < b.broken < b.retest < b.broken + cfg.confirmation_window and b.zone_low < b.zone_high and 0 <= b.strength <= 10
+        if b.side > 0:
+            assert low[b.broken] < low[b.start] and b.zone_low <= low[b.retest] <= b.zone_high
+        else:
+            assert high[b.broken] > high[b.start] and b.zone_low <= high[b.retest] <= b.zone_high
+    other = order_blocks.Market(*mirrored(high, low, close, volume), cfg).confirm()
+    assert [(b.start, b.broken, b.retest, b.side) for b in found] == [(b.start, b.broken, b.retest, -b.side) for b in other]
+    every = order_blocks.OrderBlockConfig(**how, use_adx_filter=True, adx_threshold=5.0, use_market_structure_filter=True, require_fvg=True, fvg_tolerance=1.0, check_orderflow_shift=True, use_rsi_confirmation=True, rsi_overbought=10, rsi_oversold=90, use_macd_confirmation=True, strength_age_penalty=True, strength_log_volume=True, zone_entry_mode="any", require_closure_outside=False)
+    assert len(order_blocks.Market(high, low, close, volume, every).confirm()) <= len(found)
+    with pytest.raises(ValueError):
+        order_blocks.OrderBlockConfig(strength_reaction_cap=20.0)
+
+
+def test_cluster_of_blocks():
+    make = lambda start, low, high, side=1: order_blocks.Block(side, start, start + 1, start + 2, low, high, float(start))
+    times = np.array([np.datetime64("2024-01-01") + np.timedelta64(i, "D") for i in range(99)])
+    merged = order_blocks.cluster([make(0, 10, 11), make(3, 10.005, 11.005), make(60, 10.006, 11.006), make(4, 10, 11, -1)], times, 0.001, dt.timedelta(days=30))
+    assert [(b.side, b.start, b.retest, b.strength) for b in merged] == [(-1, 4, 6, 4.0), (1, 0, 5, 3.0), (1, 60, 62, 60.0)]
