@@ -356,18 +356,36 @@ def macd(x: Series, fast: int = 12, slow: int = 26, signal: int = 9, asmode: boo
     return line, trigger, line - trigger
 
 
-def adx(high: Series, low: Series, close: Series, n: int = 14, signal: int | None = None, adxr: int = 2, scalar: float = 100.0, mamode: str = "rma", drift: int = 1) -> tuple[Series, ...]:
+def _summed_then_averaged(x: Series, unit: Series, n: int) -> Series:
+    """Starts at the first known unit with the sum of the last n values, then moves by 1/n; all in units."""
+    s, out = max(_start(unit), n - 1), _empty(x)
+    if s < len(x):
+        out[s] = np.nansum(x[s - n + 1 : s + 1]) / unit[s]
+    for i in range(s + 1, len(x)):
+        out[i] = (x[i] / unit[i] + (n - 1) * out[i - 1]) / n
+    return out
+
+
+def adx(high: Series, low: Series, close: Series, n: int = 14, signal: int | None = None, adxr: int = 2, scalar: float = 100.0, mamode: str = "rma", drift: int = 1, tvmode: bool = False) -> tuple[Series, ...]:
+    """``tvmode``: movements are summed, then averaged, and DX is taken n bars ahead (it looks into the future)."""
     up, down = high - lagged(high, drift), lagged(low, drift) - low
     known = ~np.isnan(up)
     plus = np.where(known, np.where((up > down) & (up > 0), up, 0.0), np.nan)
     minus = np.where(known, np.where((down > up) & (down > 0), down, 0.0), np.nan)
     unit = atr(high, low, close, n, "rma", drift)
     unit = np.where(unit > 0, unit, np.nan)
-    dmp, dmn = (scalar * moving_average(mamode, m, n) / unit for m in (plus, minus))
+    if tvmode:
+        dmp, dmn = (scalar * _summed_then_averaged(m, unit, n) for m in (plus, minus))
+    else:
+        dmp, dmn = (scalar * moving_average(mamode, m, n) / unit for m in (plus, minus))
     whole = dmp + dmn
     dx = np.divide(scalar * np.abs(dmp - dmn), whole, out=_empty(high), where=whole > 0)
     s = _start(dx)
     dx[s:] = np.where(np.isnan(dx[s:]), 0.0, dx[s:])  # a bar without movement inside the series
+    if tvmode:
+        ahead = _empty(dx)
+        ahead[n : max(len(dx) - n, n)] = dx[2 * n :]
+        dx, mamode = ahead, "rma"
     line = moving_average(mamode, dx, signal or n)
     return line, 0.5 * (line + lagged(line, adxr)), dmp, dmn
 

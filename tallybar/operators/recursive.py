@@ -63,7 +63,7 @@ INDICATORS: dict[str, Callable[..., Recursive]] = {
     "atrts": lambda length=14, ma_length=20, kk=3.0: _make([f"ATRTS_{tag(length, ma_length, kk)}"], HLC, k.atr_stop, length, ma_length, kk),
     "aberration": lambda length=5, atr_length=15: _make([f"ABER_{n}_{length}_{atr_length}" for n in ("ZG", "SG", "XG", "ATR")], HLC, k.aberration, length, atr_length),
     "macd": lambda fast=12, slow=26, signal=9, asmode=False: _make([f"MACD{'AS' if asmode else ''}{n}_{fast}_{slow}_{signal}" for n in ("", "s", "h")], C, k.macd, fast, slow, signal, asmode),
-    "adx": lambda length=14, signal_length=None, adxr_length=2, scalar=100.0, mamode="rma", drift=1: _make([f"ADX_{signal_length or length}", f"ADXR_{signal_length or length}_{adxr_length}", f"DMP_{length}", f"DMN_{length}"], HLC, k.adx, length, signal_length, adxr_length, scalar, mamode, drift),
+    "adx": lambda length=14, signal_length=None, adxr_length=2, scalar=100.0, mamode="rma", drift=1, tvmode=False: _make([f"ADX_{signal_length or length}", f"ADXR_{signal_length or length}_{adxr_length}", f"DMP_{length}", f"DMN_{length}"], HLC, k.adx, length, signal_length, adxr_length, scalar, mamode, drift, tvmode),
     "rwi": lambda length=14: _make([f"RWI_HIGH_{length}", f"RWI_LOW_{length}"], HLC, k.rwi, length),
     "supertrend": lambda length=7, atr_length=None, multiplier=3.0: _make([f"SUPERT{n}_{tag(length, multiplier)}" for n in ("", "d", "l", "s")], HLC, k.supertrend, length, atr_length, multiplier),
     "stochrsi": lambda length=14, rsi_length=14, kk=3, d=3: _make([f"STOCHRSI{n}_{length}_{rsi_length}_{kk}_{d}" for n in "kd"], C, k.stochrsi, length, rsi_length, kk, d),

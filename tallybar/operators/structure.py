@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def peaks(x: np.ndarray, prominence: float = 0.0, distance: int = 1, wlen: int = 0, width: int = -1, rel_height: float = 0.5) -> np.ndarray:
-    """Places of strict local maxima that stand out by ``prominence``, at most one for each ``distance`` bars.
+def flat_tops(x: np.ndarray, least: int) -> np.ndarray:
+    """Middles of level runs of three bars or more, counted without the series' first and last bar, that are at
+    least ``least`` long, and next to which the neighbour on each side stands above the bar beyond it."""
+    n = len(x)
+    edges = np.flatnonzero(np.diff(x) != 0) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [n])) - 1
+    found = []
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        left, right = max(s - 1, 0), min(e + 1, n - 1)
+        rises, falls = left == 0 or x[left] > x[left - 1], right == n - 1 or x[right] > x[right + 1]
+        if e - s >= 2 and right - left - 1 >= least and rises and falls:
+            found.append(left + 1 + (right - left - 1) // 2)
+    return np.array(found, dtype=int)
+
+
+def peaks(x: np.ndarray, prominence: float = 0.0, distance: int = 1, wlen: int = 0, width: int = -1, rel_height: float = 0.5, plateau_size: int = -1) -> np.ndarray:
+    """Places of strict local maxima, and with a ``plateau_size`` of 0 or more of flat tops, that stand out by
+    ``prominence``, at most one for each ``distance`` bars.
 
     Prominence is measured to the higher of the two sides' lowest points, each side taken whole or half of
     ``wlen``; of maxima too close to the first of their group, the highest stays.
     """
     n = len(x)
     found = 1 + np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) if n > 2 else np.empty(0, int)
+    if plateau_size >= 0 and n > 2:
+        found = np.sort(np.concatenate((found, flat_tops(x, plateau_size))))
     if prominence > 0 or width >= 0:
         kept = []
         if wlen <= 0:
@@ -43,7 +61,7 @@ def peaks(x: np.ndarray, prominence: float = 0.0, distance: int = 1, wlen: int =
     return found
 
 
-def zigzag(bars: DataFrame, key: str, order: str, prominence_peak: float = 0.01, prominence_valley: float = 0.01, distance: int = 5, wlen: int = 0) -> DataFrame:
+def zigzag(bars: DataFrame, key: str, order: str, prominence_peak: float = 0.01, prominence_valley: float = 0.01, distance: int = 5, wlen: int = 0, width: int = -1, rel_height: float = 0.5, plateau_size: int = -1) -> DataFrame:
     """Bars with is_peak (of high) and is_valley (of low)."""
     schema = T.StructType([*bars.schema.fields, T.StructField("is_peak", T.BooleanType()), T.StructField("is_valley", T.BooleanType())])
 
@@ -51,7 +69,7 @@ def zigzag(bars: DataFrame, key: str, order: str, prominence_peak: float = 0.01,
         frame = frame.sort_values(order, kind="stable", ignore_index=True)
         for name, x, least in (("is_peak", frame["high"], prominence_peak), ("is_valley", -frame["low"], prominence_valley)):
             flags = np.zeros(len(frame), dtype=bool)
-            flags[peaks(x.to_numpy(dtype=float), least, distance, wlen)] = True
+            flags[peaks(x.to_numpy(dtype=float), least, distance, wlen, width, rel_height, plateau_size)] = True
             frame[name] = flags
         return frame
 

@@ -118,6 +118,12 @@ def _zigzag(spark: SparkSession, d: str) -> DataFrame:
     return _shown(structure.zigzag(sources.events_hourly(spark, d), "sym", "ts"), ["is_peak", "is_valley"])
 
 
+def _zigzag_flat(spark: SparkSession, d: str) -> DataFrame:
+    """Whole prices, so that tops are flat now and then."""
+    bars = sources.events_hourly(spark, d).withColumns({c: F.round(c) for c in ("high", "low")})
+    return _shown(structure.zigzag(bars, "sym", "ts", plateau_size=3), ["is_peak", "is_valley"])
+
+
 def _market_structure(spark: SparkSession, d: str) -> DataFrame:
     flagged = structure.zigzag(sources.events_hourly(spark, d), "sym", "ts")
     return _shown(structure.market_structure(flagged, "sym", "ts"), ["kind", "price", "label", "trend"])
@@ -233,7 +239,7 @@ def queries() -> dict[str, Query]:
     out |= {name: _finite(*spec) for name, spec in FINITE.items()}
     out |= {name: _recursive(make()) for name, make in recursive.INDICATORS.items()}
     out |= {f"ott_{m.lower()}": _recursive(recursive.INDICATORS["ott"](5, 1.4, m)) for m in ("SMA", "EMA", "WMA", "TMA", "WWMA", "ZLEMA", "TSF")}
-    out |= {"macd_as": _recursive(recursive.INDICATORS["macd"](asmode=True)), "ssf_everget": _recursive(recursive.INDICATORS["ssf"](everget=True)), "atr_percent": _recursive(recursive.INDICATORS["atr"](percent=True))}
+    out |= {"macd_as": _recursive(recursive.INDICATORS["macd"](asmode=True)), "ssf_everget": _recursive(recursive.INDICATORS["ssf"](everget=True)), "adx_ahead": _recursive(recursive.INDICATORS["adx"](tvmode=True)), "atr_percent": _recursive(recursive.INDICATORS["atr"](percent=True))}
     out |= {f"ma_{name}": _average(name) for name in recursive.k.AVERAGES}
     out |= {f"cdl_{name}": _pattern([name]) for name in patterns.PATTERNS}
     out |= {"cdl_all_strict": _pattern(list(patterns.PATTERNS), True), "cdl_all_symmetric": _pattern(list(patterns.PATTERNS), False, True)}
@@ -241,7 +247,7 @@ def queries() -> dict[str, Query]:
     out |= {"pivots_weekly": _pivots("classic", "W"), "pivots_daily": _pivots("classic", "D"), "pivots_yearly": _pivots("classic", "Y"), "pivots_forward": _pivots("traditional", "M", "forward")}
     out |= {"resample_monthly": _monthly, "ichimoku_forward": _forward, "tail": _tail, "offset_fillna": _shifted, "trim": _trimmed}
     out |= {"order_blocks": _order_blocks(), "order_blocks_all_breakouts": _order_blocks(multiple_breakouts=True, check_breaker=True, use_market_structure_filter=True), "order_blocks_clustered": _order_blocks(multiple_breakouts=True, cluster_blocks=True, cluster_price_tolerance=0.05)}
-    out |= {"zigzag": _zigzag, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
+    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
     return out
 
 

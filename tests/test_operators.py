@@ -178,6 +178,33 @@ def test_peaks():
     assert structure.peaks(x).tolist() == [1, 3, 5, 7]
     assert structure.peaks(x, prominence=2).tolist() == [1, 3, 5]
     assert structure.peaks(x, distance=3).tolist() == [3, 5]
+    flat = np.array([0, 1, 4, 4, 4, 1, 0, 2, 5, 5, 1, 0.0])
+    assert structure.peaks(flat).tolist() == []
+    assert structure.peaks(flat, plateau_size=0).tolist() == [3]
+    assert structure.peaks(flat, plateau_size=4).tolist() == []
+    assert structure.peaks(np.array([0.0, 0, 0, 0, 1, 0]), plateau_size=0).tolist() == [2, 4]
+
+
+def test_adx_ahead(walk):
+    _, high, low, close, _ = walk
+    n, signal = 14, 5
+    line, _, plus, minus = k.adx(high, low, close, n, signal, tvmode=True)
+    unit, move = k.atr(high, low, close, n), np.zeros((2, len(close)))
+    for i in range(1, len(close)):
+        up, down = high[i] - high[i - 1], low[i - 1] - low[i]
+        move[0, i], move[1, i] = up if up > down and up > 0 else 0, down if down > up and down > 0 else 0
+    first = int(np.flatnonzero(unit > 0)[0])
+    for got, m in zip((plus, minus), move, strict=True):
+        want = [math.nan] * first + [100 * m[first - n + 1 : first + 1].sum() / unit[first]]
+        for i in range(first + 1, len(close)):
+            want.append(100 * m[i] / unit[i] / n + (1 - 1 / n) * want[-1])
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+    dx = 100 * np.abs(plus - minus) / (plus + minus)
+    want = dx[2 * n : 2 * n + signal].mean()
+    for i in range(n + signal - 1, len(close) - n):
+        want = want if i == n + signal - 1 else dx[i + n] / signal + (1 - 1 / signal) * want
+        assert abs(line[i] - want) < 1e-9
+    assert np.isnan(line[: n + signal - 1]).all() and np.isnan(line[len(close) - n :]).all()
 
 
 def test_conditions(spark):
