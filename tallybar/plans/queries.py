@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..frame import BarFrame
 from ..functions import patterns, signals, windows
-from ..operators import levels, order_blocks, recursive, structure
+from ..operators import levels, order_blocks, recursive, structure, zones
 from ..sources import bars as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,12 +93,26 @@ def _pivots_sql(method: str, anchor: str, join: str = "backward") -> str:
     return f"with bars as ({ORDERS}), periods as ({periods}), levels as (select sym, period + interval 1 {unit} as until, {columns} from periods), last_stage as (select b.sym, b.ts, l.* exclude (sym, until) from bars b asof left join levels l on b.sym = l.sym and b.ts {compare} l.until) {_shown_sql(names.values())}"
 
 
+TRUE_RANGE = "greatest({0}high - {0}low, abs({0}high - {0}p), abs({0}low - {0}p))"
+_FAST, _SLOW = "s.f + 2.0 / 13 * (x.close - s.f)", "s.w + 2.0 / 27 * (x.close - s.w)"
+_LINE = f"({_FAST}) - ({_SLOW})"
+_FAST_SEED = "sum(case when rn <= 12 then power(11.0 / 13, 14) * close / 12 else 2.0 / 13 * power(11.0 / 13, 26 - rn) * close end)"
+
 #: State, its seed and its step for recursions that SQL can follow; x is the new bar, s the state before.
 RECURSIONS: dict[str, tuple[int, dict[str, tuple[str, str]], dict[str, str]]] = {
     "ema": (10, {"v": ("avg(close)", "s.v + 2.0 / 11 * (x.close - s.v)")}, {"EMA_10": "v"}),
     "rma": (10, {"v": ("avg(close)", "s.v + 0.1 * (x.close - s.v)")}, {"RMA_10": "v"}),
     "smma": (10, {"v": ("avg(close)", "(9 * s.v + x.close) / 10")}, {"SMMA_10": "v"}),
     "ha": (1, {"o": ("avg(0.5 * (open + close))", "0.5 * (s.o + s.c)"), "c": ("avg(0.25 * (open + high + low + close))", "0.25 * (x.open + x.high + x.low + x.close)")}, {"HA_open": "o", "HA_high": "greatest(high, o, c)", "HA_low": "least(low, o, c)", "HA_close": "c"}),
+    "atr": (15, {"v": (f"avg(case when rn > 1 then {TRUE_RANGE.format('')} end)", f"(13 * s.v + {TRUE_RANGE.format('x.')}) / 14")}, {"ATR_14": "v"}),
+    "atr_percent": (15, {"v": (f"avg(case when rn > 1 then {TRUE_RANGE.format('')} end)", f"(13 * s.v + {TRUE_RANGE.format('x.')}) / 14")}, {"ATR_14": "100 * v / close"}),
+    "macd": (
+        26,
+        {"f": (_FAST_SEED, _FAST), "w": ("avg(close)", _SLOW), "g": (f"({_FAST_SEED} - avg(close)) / 9", f"case when x.rn <= 34 then s.g + ({_LINE}) / 9 else s.g + 0.2 * ({_LINE} - s.g) end")},
+        {"MACD_12_26_9": "f - w", "MACDs_12_26_9": "case when x.rn >= 34 then g end", "MACDh_12_26_9": "case when x.rn >= 34 then f - w - g end"},
+    ),
+    "ma_ema": (10, {"v": ("avg(close)", "s.v + 2.0 / 11 * (x.close - s.v)")}, {"MA_ema": "v"}),
+    "ma_rma": (10, {"v": ("avg(close)", "s.v + 0.1 * (x.close - s.v)")}, {"MA_rma": "v"}),
     "rsi": (14, {"g": ("sum(case when rn > 1 then greatest(close - p, 0) else 0 end) / 14", "(13 * s.g + greatest(x.close - x.p, 0)) / 14"), "l": ("sum(case when rn > 1 then greatest(p - close, 0) else 0 end) / 14", "(13 * s.l + greatest(x.p - x.close, 0)) / 14")}, {"RSI_14": "100 * g / nullif(g + l, 0)"}),
 }
 
@@ -138,6 +152,28 @@ def _order_blocks(**how) -> Query:
     return run
 
 
+def _order_zones(spark: SparkSession, d: str) -> DataFrame:
+    """A tolerance that lets every swing pass, as hourly prices of events jump."""
+    found = zones.order_zones(sources.events_hourly(spark, d), "sym", "ts", lookback=8, min_reaction_size=0.0, liquidity_tolerance=1e9)
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "break", "retest")]
+    return found.select("sym", "block_type", *times, F.round("zone_low", 6).alias("zone_low"), F.round("zone_high", 6).alias("zone_high"))
+
+
+def _tops_sql(column: str) -> str:
+    """Middles of the level runs with lower neighbours."""
+    return f"""(select sym, (min(rn) + max(rn)) // 2 as rn, lag(v) over r < v and lead(v) over r < v as top from (select sym, rn, v, sum(turn) over (partition by sym order by rn) as run from (select sym, rn, {column} as v, case when {column} = lag({column}) over w then 0 else 1 end as turn from x window w as (partition by sym order by rn))) group by sym, run, v window r as (partition by sym order by run))"""
+
+
+ORDER_ZONES = f"""with recursive bars as ({EVENTS}), x as (select *, row_number() over w as rn, lag(close) over w as p, case when count(*) over v = 20 then avg(volume) over v end as mean, count(*) over l = 10 as near from bars window w as (partition by sym order by ts), v as (partition by sym order by ts rows 19 preceding), l as (partition by sym order by ts rows 9 preceding)),
+t as (select sym, rn, greatest(high - low, abs(high - p), abs(low - p)) as tr from x where rn > 1),
+s as (select sym, cast(15 as bigint) as rn, avg(tr) as atr from t where rn <= 15 group by sym having count(*) = 14 union all select t.sym, t.rn, (13 * s.atr + t.tr) / 14 from s join t on t.sym = s.sym and t.rn = s.rn + 1),
+peaks as (select sym, rn from {_tops_sql('high')} where top), valleys as (select sym, rn from {_tops_sql('low')} where top),
+swings as (select sym, rn, 'supply' as block_type from peaks union all select sym, rn, 'demand' from valleys anti join peaks using (sym, rn)),
+zones as (select a.sym, a.rn, block_type, x.ts as start, b.ts as break, b.rn as b_rn, x.close - atr as zone_low, x.close + atr as zone_high from swings a join x using (sym, rn) join s using (sym, rn) join x b on b.sym = a.sym and b.rn = a.rn + 8 where x.near and b.volume > b.mean and case block_type when 'supply' then b.low < x.low else b.high > x.high end),
+tests as (select z.*, j.ts as retest from zones z join x j on j.sym = z.sym and j.rn between z.b_rn + 1 and z.b_rn + 9 where j.volume > j.mean and case block_type when 'supply' then j.low between zone_low and zone_high and (zone_low - j.close) / nullif(zone_low, 0) >= 0 else j.high between zone_low and zone_high and (j.close - zone_high) / nullif(zone_high, 0) >= 0 end)
+select sym, block_type, strftime(start, '%Y-%m-%d %H:%M:%S') as start, strftime(any_value(break), '%Y-%m-%d %H:%M:%S') as "break", strftime(min(retest), '%Y-%m-%d %H:%M:%S') as retest, round(any_value(zone_low), 6) as zone_low, round(any_value(zone_high), 6) as zone_high from tests group by sym, block_type, start"""
+
+
 def _ott_signals(spark: SparkSession, d: str) -> DataFrame:
     request = recursive.INDICATORS["ott"]()
     frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(request).df
@@ -247,7 +283,7 @@ def queries() -> dict[str, Query]:
     out |= {"pivots_weekly": _pivots("classic", "W"), "pivots_daily": _pivots("classic", "D"), "pivots_yearly": _pivots("classic", "Y"), "pivots_forward": _pivots("traditional", "M", "forward")}
     out |= {"resample_monthly": _monthly, "ichimoku_forward": _forward, "tail": _tail, "offset_fillna": _shifted, "trim": _trimmed}
     out |= {"order_blocks": _order_blocks(), "order_blocks_all_breakouts": _order_blocks(multiple_breakouts=True, check_breaker=True, use_market_structure_filter=True), "order_blocks_clustered": _order_blocks(multiple_breakouts=True, cluster_blocks=True, cluster_price_tolerance=0.05)}
-    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
+    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
     return out
 
 
@@ -260,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"cdl_all_strict": _pattern_sql(list(patterns.PATTERNS), True), "cdl_all_symmetric": _pattern_sql(list(patterns.PATTERNS), False, True)}
     out |= {f"pivots_{m}": _pivots_sql(m, "M") for m in levels.METHODS}
     out |= {"pivots_weekly": _pivots_sql("classic", "W"), "pivots_daily": _pivots_sql("classic", "D"), "pivots_yearly": _pivots_sql("classic", "Y"), "pivots_forward": _pivots_sql("traditional", "M", "forward")}
-    out |= {"resample_monthly": MONTHLY, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
+    out |= {"resample_monthly": MONTHLY, "order_zones": ORDER_ZONES, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
     sma = windows.sma(10)
     out["tail"] = f"with bars as ({EVENTS}), last_stage as (select * from bars qualify row_number() over (partition by sym order by ts desc) <= 50) {_shown_sql(['close'])}"
     out["offset_fillna"] = _staged_sql("events", ({"x": sma.stages[0]["SMA_10"]}, {"SMA_10": "coalesce(lag(x, 3) @O, 0.0)"}), ["SMA_10"])

@@ -7,7 +7,7 @@ import pytest
 from tallybar.frame import BarFrame
 from tallybar.functions import patterns, signals, windows
 from tallybar.operators import kernels as k
-from tallybar.operators import levels, order_blocks, recursive, structure
+from tallybar.operators import levels, order_blocks, recursive, structure, zones
 from tallybar.sources import bars as sources
 from tallybar.streaming import bars as streams
 
@@ -270,3 +270,43 @@ def test_cluster_of_blocks():
     times = np.array([np.datetime64("2024-01-01") + np.timedelta64(i, "D") for i in range(99)])
     merged = order_blocks.cluster([make(0, 10, 11), make(3, 10.005, 11.005), make(60, 10.006, 11.006), make(4, 10, 11, -1)], times, 0.001, dt.timedelta(days=30))
     assert [(b.side, b.start, b.retest, b.strength) for b in merged] == [(-1, 4, 6, 4.0), (1, 0, 5, 3.0), (1, 60, 62, 60.0)]
+
+
+def test_find_peaks():
+    look = lambda x, **how: zones.find_peaks(np.array(x, dtype=float), zones.PeakSearch(**how)).tolist()
+    assert look([]) == look([1, 2]) == look([1, 1, 1]) == look([3, 2, 1]) == look([1, 2, 2]) == []
+    assert look([0, 1, 1, 0, 2, 2, 2, 1]) == [1, 5] and look([0, 1, 1, 0, 2, 2, 2, 1], plateau_size=3) == [5]
+    x = [0, 2, 1, 3, 0]
+    assert look(x, height=2.5) == [3] and look(x, height=(None, 2.5)) == [1] and look(x, threshold=(None, 2)) == [1]
+    assert look(x, prominence=1) == [1, 3] and look(x, prominence=1.5) == [3] and look(x, prominence=(0, 2)) == [1]
+    assert look(x, width=0.75) == [1, 3] and look(x, width=0.76) == [3] and look(x, width=1.25) == [3] and look(x, width=1.26) == []
+    assert look([0, 3, 1, 5, 2, 4, 0], distance=3) == [3] and look([0, 3, 1, 5, 2, 4, 0], distance=2) == [1, 3, 5]
+    assert look([9, 0, 4, 3, 3, 5], wlen=3, prominence=1) == [2] and look([9, 0, 4, 3, 3, 5], wlen=3, prominence=2) == []
+    assert look([math.nan, 1, 0, 2, math.nan]) == []
+    for bad in ({"wlen": 1}, {"distance": 0}):
+        with pytest.raises(ValueError):
+            look(x, **bad)
+
+
+def test_order_zones(spark, walk):
+    walk = (*(x - 100 for x in walk[:4]), walk[4])  # around zero: above it, the rule as it is confirms next to nothing
+    bars = table(spark, walk)
+    how = {"lookback": 4, "min_reaction_size": 0.0, "liquidity_tolerance": 2.0}
+    got = sorted((r.block_type, r.start, r["break"], r.retest) for r in zones.order_zones(bars, "sym", "ts", **how).collect())
+    _, high, low, close, volume = walk
+    atr, mean, want, n = k.atr(high, low, close, 14), k.sma(volume, 20), [], len(close)
+    tops, swells = (set(zones.find_peaks(x, zones.PeakSearch()).tolist()) for x in (high, low))
+    for i in range(9, n - 4):
+        down, b = i in tops, i + 4
+        near = abs(low[i - 9 : i + 1].min() - low[i]) < 2 if down else abs(high[i - 9 : i + 1].max() - high[i]) < 2
+        if (not down and i not in swells) or not near or not volume[b] > mean[b] or not (low[b] < low[i] if down else high[b] > high[i]):
+            continue
+        lo, hi = close[i] - atr[i], close[i] + atr[i]
+        for j in range(b + 1, min(b + 10, n)):
+            if lo <= (low[j] if down else high[j]) <= hi and volume[j] > mean[j] and ((lo - close[j]) / lo if down else (close[j] - hi) / hi) >= 0:
+                want.append(("supply" if down else "demand", *(DAY + dt.timedelta(days=int(t)) for t in (i, b, j))))
+                break
+    assert got == sorted(want) and want
+    assert zones.order_zones(bars.limit(0), "sym", "ts").count() == 0 and zones.order_zones(bars.limit(5), "sym", "ts").count() == 0
+    with pytest.raises(ValueError):
+        zones.order_zones(bars, "sym", "ts", confirmation_window=1)
