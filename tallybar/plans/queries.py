@@ -15,6 +15,7 @@ from ..frame import BarFrame
 from ..functions import patterns, signals, windows
 from ..operators import levels, order_blocks, recursive, structure, zones
 from ..sources import bars as sources
+from .recursions import RECURSIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,39 +94,26 @@ def _pivots_sql(method: str, anchor: str, join: str = "backward") -> str:
     return f"with bars as ({ORDERS}), periods as ({periods}), levels as (select sym, period + interval 1 {unit} as until, {columns} from periods), last_stage as (select b.sym, b.ts, l.* exclude (sym, until) from bars b asof left join levels l on b.sym = l.sym and b.ts {compare} l.until) {_shown_sql(names.values())}"
 
 
-TRUE_RANGE = "greatest({0}high - {0}low, abs({0}high - {0}p), abs({0}low - {0}p))"
-_FAST, _SLOW = "s.f + 2.0 / 13 * (x.close - s.f)", "s.w + 2.0 / 27 * (x.close - s.w)"
-_LINE = f"({_FAST}) - ({_SLOW})"
-_FAST_SEED = "sum(case when rn <= 12 then power(11.0 / 13, 14) * close / 12 else 2.0 / 13 * power(11.0 / 13, 26 - rn) * close end)"
-
-#: State, its seed and its step for recursions that SQL can follow; x is the new bar, s the state before.
-RECURSIONS: dict[str, tuple[int, dict[str, tuple[str, str]], dict[str, str]]] = {
-    "ema": (10, {"v": ("avg(close)", "s.v + 2.0 / 11 * (x.close - s.v)")}, {"EMA_10": "v"}),
-    "rma": (10, {"v": ("avg(close)", "s.v + 0.1 * (x.close - s.v)")}, {"RMA_10": "v"}),
-    "smma": (10, {"v": ("avg(close)", "(9 * s.v + x.close) / 10")}, {"SMMA_10": "v"}),
-    "ha": (1, {"o": ("avg(0.5 * (open + close))", "0.5 * (s.o + s.c)"), "c": ("avg(0.25 * (open + high + low + close))", "0.25 * (x.open + x.high + x.low + x.close)")}, {"HA_open": "o", "HA_high": "greatest(high, o, c)", "HA_low": "least(low, o, c)", "HA_close": "c"}),
-    "atr": (15, {"v": (f"avg(case when rn > 1 then {TRUE_RANGE.format('')} end)", f"(13 * s.v + {TRUE_RANGE.format('x.')}) / 14")}, {"ATR_14": "v"}),
-    "atr_percent": (15, {"v": (f"avg(case when rn > 1 then {TRUE_RANGE.format('')} end)", f"(13 * s.v + {TRUE_RANGE.format('x.')}) / 14")}, {"ATR_14": "100 * v / close"}),
-    "macd": (
-        26,
-        {"f": (_FAST_SEED, _FAST), "w": ("avg(close)", _SLOW), "g": (f"({_FAST_SEED} - avg(close)) / 9", f"case when x.rn <= 34 then s.g + ({_LINE}) / 9 else s.g + 0.2 * ({_LINE} - s.g) end")},
-        {"MACD_12_26_9": "f - w", "MACDs_12_26_9": "case when x.rn >= 34 then g end", "MACDh_12_26_9": "case when x.rn >= 34 then f - w - g end"},
-    ),
-    "ma_ema": (10, {"v": ("avg(close)", "s.v + 2.0 / 11 * (x.close - s.v)")}, {"MA_ema": "v"}),
-    "ma_rma": (10, {"v": ("avg(close)", "s.v + 0.1 * (x.close - s.v)")}, {"MA_rma": "v"}),
-    "rsi": (14, {"g": ("sum(case when rn > 1 then greatest(close - p, 0) else 0 end) / 14", "(13 * s.g + greatest(x.close - x.p, 0)) / 14"), "l": ("sum(case when rn > 1 then greatest(p - close, 0) else 0 end) / 14", "(13 * s.l + greatest(x.p - x.close, 0)) / 14")}, {"RSI_14": "100 * g / nullif(g + l, 0)"}),
-}
+def _recursion_sql(name: str) -> str:
+    r = RECURSIONS[name]
+    seeds = ", ".join(f"{seed} as {v}" for v, (seed, _) in r.state.items())
+    steps = ", ".join(step for _, step in r.state.values())
+    shown = ", ".join(f'{sql} as "{n}"' for n, sql in r.outputs.items())
+    extra = "".join(f", {sql} as {n}" for n, sql in r.extra.items())
+    return f"""with recursive bars as ({EVENTS}), plain as (select *, row_number() over w as rn, lag(close) over w as p from bars window w as (partition by sym order by ts)),
+x as (select *{extra} from plain window w as (partition by sym order by ts)),
+seed as (select sym, {r.first} as rn, {seeds} from x where rn <= {r.first} group by sym having count(*) = {r.first}),
+s as (select sym, cast(rn as bigint) as rn, {', '.join(f'cast({v} as double) as {v}' for v in r.state)} from seed union all select x.sym, x.rn, {steps} from s join x on x.sym = s.sym and x.rn = s.rn + 1),
+last_stage as (select x.sym, x.ts, {shown} from x left join s on s.sym = x.sym and s.rn = x.rn window w as (partition by x.sym order by x.ts)) {_shown_sql(r.outputs)}"""
 
 
-def _recursion_sql(name: str) -> str:
-    first, state, outputs = RECURSIONS[name]
-    seeds = ", ".join(f"{seed} as {v}" for v, (seed, _) in state.items())
-    steps = ", ".join(step for _, step in state.values())
-    shown = ", ".join(f'{sql} as "{n}"' for n, sql in outputs.items())
-    return f"""with recursive bars as ({EVENTS}), x as (select *, row_number() over w as rn, lag(close) over w as p from bars window w as (partition by sym order by ts)),
-seed as (select sym, {first} as rn, {seeds} from x where rn <= {first} group by sym having count(*) = {first}),
-s as (select sym, cast(rn as bigint) as rn, {', '.join(f'cast({v} as double) as {v}' for v in state)} from seed union all select x.sym, x.rn, {steps} from s join x on x.sym = s.sym and x.rn = s.rn + 1),
-last_stage as (select x.sym, x.ts, {shown} from x left join s on s.sym = x.sym and s.rn = x.rn) {_shown_sql(outputs)}"""
+#: Moving averages by name that are finite windows.
+AVERAGES = {n: windows.INDICATORS[n](10) for n in ("sma", "wma", "fwma", "pwma", "sinwma", "swma", "trima", "hma", "linreg", "midpoint")}
+
+
+def _average_sql(name: str) -> str:
+    i = AVERAGES[name]
+    return f'select sym, ts, "{i.outputs[0]}" as "MA_{name}" from ({_staged_sql("events", i.duck or i.stages, i.outputs)})'
 
 
 def _zigzag(spark: SparkSession, d: str) -> DataFrame:
@@ -291,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
     prices = ["open", "high", "low", "close", "volume"]
     out = {f"bars_{s}": f"with last_stage as ({sql}) {_shown_sql(prices)}" for s, (_, sql) in SOURCES.items()}
     out |= {name: _staged_sql(source, i.duck or i.stages, i.outputs) for name, (i, source) in FINITE.items()}
-    out |= {name: _recursion_sql(name) for name in RECURSIONS}
+    out |= {name: _recursion_sql(name) for name in RECURSIONS} | {f"ma_{name}": _average_sql(name) for name in AVERAGES}
     out |= {f"cdl_{name}": _pattern_sql([name]) for name in patterns.PATTERNS}
     out |= {"cdl_all_strict": _pattern_sql(list(patterns.PATTERNS), True), "cdl_all_symmetric": _pattern_sql(list(patterns.PATTERNS), False, True)}
     out |= {f"pivots_{m}": _pivots_sql(m, "M") for m in levels.METHODS}
