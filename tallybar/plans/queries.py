@@ -94,7 +94,8 @@ def _pivots_sql(method: str, anchor: str, join: str = "backward") -> str:
     return f"with bars as ({ORDERS}), periods as ({periods}), levels as (select sym, period + interval 1 {unit} as until, {columns} from periods), last_stage as (select b.sym, b.ts, l.* exclude (sym, until) from bars b asof left join levels l on b.sym = l.sym and b.ts {compare} l.until) {_shown_sql(names.values())}"
 
 
-def _recursion_sql(name: str) -> str:
+def _recursion_tables(name: str) -> str:
+    """All tables up to last_stage, which holds unrounded outputs."""
     r = RECURSIONS[name]
     seeds = ", ".join(f"{seed} as {v}" for v, (seed, _) in r.state.items())
     steps = ", ".join(step for _, step in r.state.values())
@@ -104,7 +105,40 @@ def _recursion_sql(name: str) -> str:
 x as (select *{extra} from plain window w as (partition by sym order by ts)),
 seed as (select sym, {r.first} as rn, {seeds} from x where rn <= {r.first} group by sym having count(*) = {r.first}),
 s as (select sym, cast(rn as bigint) as rn, {', '.join(f'cast({v} as double) as {v}' for v in r.state)} from seed union all select x.sym, x.rn, {steps} from s join x on x.sym = s.sym and x.rn = s.rn + 1),
-last_stage as (select x.sym, x.ts, {shown} from x left join s on s.sym = x.sym and s.rn = x.rn window w as (partition by x.sym order by x.ts)) {_shown_sql(r.outputs)}"""
+last_stage as (select x.sym, x.ts, {shown} from x left join s on s.sym = x.sym and s.rn = x.rn window w as (partition by x.sym order by x.ts))"""
+
+
+def _recursion_sql(name: str) -> str:
+    return f"{_recursion_tables(name)} {_shown_sql(RECURSIONS[name].outputs)}"
+
+
+def _crosses(a: str, b: str, over: str = "over (partition by sym order by ts)") -> str:
+    return f"coalesce({a} > {b} and lag({a}) {over} <= lag({b}) {over}, false)"
+
+
+def _ott_signals_sql(names: list[str], last: bool) -> str:
+    """The first of the named crosses that holds, at every bar or at each series' last."""
+    line, turn = "OTT_2_1_4_VAR", "lag(OTT_2_1_4_VAR) over (partition by sym order by ts)"
+    close, mean = (f"priced.{c}" for c in ("close", "OTT_MA_2_1_4_VAR"))
+    rules = {"buy_price_cross": _crosses(close, line), "sell_price_cross": _crosses(line, close), "buy_support_cross": _crosses(mean, line), "sell_support_cross": _crosses(line, mean), "buy_color_change": f"coalesce({line} > {turn}, false)", "sell_color_change": f"coalesce({line} < {turn}, false)"}
+    label = "case " + " ".join(f"when {rules[n]} then '{n}'" for n in names) + " else '' end"
+    tables = f"{_recursion_tables('ott')}, priced as (select l.*, close from last_stage l join bars using (sym, ts)), labelled as (select sym, ts, {label} as signal from priced)"
+    return f"{tables} select sym, arg_max(signal, ts) as signal from labelled group by sym" if last else f"{tables} {_shown_sql(['signal'], 'labelled', ['signal'])}"
+
+
+def _stochastic_tables() -> str:
+    def mean(column):
+        return f"case when count({column}) over v = 3 then avg({column}) over v end"
+
+    window = "window v as (partition by sym order by ts rows 2 preceding)"
+    return f"""{_recursion_tables('rsi')}, ranged as (select sym, ts, RSI_14 as r, count(RSI_14) over v as n, min(RSI_14) over v as low, max(RSI_14) over v as high from last_stage window v as (partition by sym order by ts rows 13 preceding)),
+raw as (select sym, ts, case when n = 14 then coalesce(100 * (r - low) / nullif(high - low, 0), 50) end as v from ranged), line as (select sym, ts, {mean('v')} as k from raw {window}), stochastic as (select sym, ts, k as "STOCHRSIk_14_14_3_3", {mean('k')} as "STOCHRSId_14_14_3_3" from line {window})"""
+
+
+def _stochastic_signals_sql() -> str:
+    k, d = "STOCHRSIk_14_14_3_3", "STOCHRSId_14_14_3_3"
+    crosses = f"select sym, ts, {_crosses(k, d)} and coalesce({k} < 20, false) as buy, {_crosses(d, k)} and coalesce({k} > 80, false) as sell from stochastic"
+    return f"{_stochastic_tables()}, crosses as ({crosses}) {_shown_sql(['buy', 'sell'], 'crosses', ['buy', 'sell'])}"
 
 
 #: Moving averages by name that are finite windows.
@@ -284,6 +318,10 @@ def oracle_sql() -> dict[str, str]:
     out |= {"cdl_all_strict": _pattern_sql(list(patterns.PATTERNS), True), "cdl_all_symmetric": _pattern_sql(list(patterns.PATTERNS), False, True)}
     out |= {f"pivots_{m}": _pivots_sql(m, "M") for m in levels.METHODS}
     out |= {"pivots_weekly": _pivots_sql("classic", "W"), "pivots_daily": _pivots_sql("classic", "D"), "pivots_yearly": _pivots_sql("classic", "Y"), "pivots_forward": _pivots_sql("traditional", "M", "forward")}
+    kinds, sides = ("price_cross", "support_cross", "color_change"), ("buy", "sell")
+    out |= {"ott_signals": _ott_signals_sql([f"{a}_{b}" for a in sides for b in kinds], False), "last_ott_signal": _ott_signals_sql([f"{a}_{b}" for b in kinds for a in sides], True)}
+    out |= {"stochrsi": f"{_stochastic_tables()} {_shown_sql(['STOCHRSIk_14_14_3_3', 'STOCHRSId_14_14_3_3'], 'stochastic')}", "stochrsi_signals": _stochastic_signals_sql()}
+    out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
     out |= {"resample_monthly": MONTHLY, "order_zones": ORDER_ZONES, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
     sma = windows.sma(10)
     out["tail"] = f"with bars as ({EVENTS}), last_stage as (select * from bars qualify row_number() over (partition by sym order by ts desc) <= 50) {_shown_sql(['close'])}"

@@ -174,6 +174,35 @@ def _rsi() -> Recursion:
     return Recursion(14, state, {"RSI_14": "100 * g / nullif(g + l, 0)"})
 
 
+def _tracker(n: int, kind: str) -> Recursion:
+    """The trend tracker over an average: of fixed weights (oldest bar first), or one that is a recursion itself."""
+    weights = {"SMA": [0.2] * 5, "WMA": [i / 15 for i in range(1, 6)], "TMA": [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "TSF": [0.2 + 0.3 * i for i in range(-2, 3)]}
+    extra = {}
+    if kind in weights:
+        first, step = 5, "x.mean"
+        extra["mean"] = " + ".join(f"({w!r}) * {f'lag(close, {4 - i}) over w' if i < 4 else 'close'}" for i, w in enumerate(weights[kind]))
+        seed = "max(case when rn = 5 then mean end)"
+    elif kind == "VAR":
+        plain = _vidya(9, "")
+        extra, first = plain.extra, 1
+        seed, step = "avg(close)", f"(s.m + x.share * {2 / (n + 1)!r} * (x.close - s.m))"
+    elif kind == "ZLEMA":
+        extra["ahead"] = f"2 * close - lag(close, {n // 2}) over w"
+        first, seed, step = n + n // 2, "avg(ahead)", _moved((n + 1) / 2, "s.m", "x.ahead")
+    else:
+        first = 1 if kind == "WWMA" else n
+        seed, step = "avg(close)", _moved(n if kind == "WWMA" else (n + 1) / 2, "s.m")
+    state = {
+        "m": (seed, step),
+        "l": (f"0.986 * {seed}", f"greatest(s.l, 0.986 * {step})"),
+        "u": (f"1.014 * {seed}", f"least(s.u, 1.014 * {step})"),
+        "d": ("1.0", f"case when s.d < 0 and {step} > s.u then 1 when s.d > 0 and {step} < s.l then -1 else s.d end"),
+    }
+    stop, tail = "(case when d > 0 then l else u end)", f"{n}_1_4_{kind}"
+    line = f"case when m > {stop} then {stop} * 1.007 else {stop} * 0.993 end"
+    return Recursion(first, state, {f"OTT_MA_{tail}": "m", f"OTT_LONG_STOP_{tail}": "l", f"OTT_SHORT_STOP_{tail}": "u", f"OTT_DIRECTION_{tail}": "coalesce(d, 1)", f"OTT_{tail}": line}, extra)
+
+
 RECURSIONS: dict[str, Recursion] = {
     "ema": _mean(10, 5.5, "EMA_10"),
     "rma": _mean(10, 10, "RMA_10"),
@@ -203,4 +232,6 @@ RECURSIONS: dict[str, Recursion] = {
     "rwi": _rwi(),
     "supertrend": _supertrend(),
     "kagi": _kagi(5.0),
+    "ott": _tracker(2, "VAR"),
+    **{f"ott_{kind.lower()}": _tracker(5, kind) for kind in ("SMA", "EMA", "WMA", "TMA", "WWMA", "ZLEMA", "TSF")},
 }
