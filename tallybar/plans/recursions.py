@@ -174,6 +174,18 @@ def _rsi() -> Recursion:
     return Recursion(14, state, {"RSI_14": "100 * g / nullif(g + l, 0)"})
 
 
+def _range_stop() -> Recursion:
+    unit, mean = _begun(15, 14, 14, "s.v", _true_range("x.")), _begun(20, 20, 10.5, "s.m", "x.close")
+    stop = f"case when x.rn < 21 then null when x.close > {mean} then greatest(x.close - 3 * {unit}, s.o) else least(x.close + 3 * {unit}, s.o) end"
+    return Recursion(1, {"v": ("0.0", unit), "m": ("avg(close) / 20", mean), "o": ("null", stop)}, {"ATRTS_14_20_3": "o"})
+
+
+def _aberration() -> Recursion:
+    middle = {"mid": "case when rn >= 5 then avg((high + low + close) / 3) over (partition by sym order by ts rows 4 preceding) end"}
+    outputs = {"ABER_ZG_5_15": "mid", "ABER_SG_5_15": "mid + v", "ABER_XG_5_15": "mid - v", "ABER_ATR_5_15": "v"}
+    return Recursion(16, {"v": _range(15)}, outputs, middle)
+
+
 def _tracker(n: int, kind: str) -> Recursion:
     """The trend tracker over an average: of fixed weights (oldest bar first), or one that is a recursion itself."""
     weights = {"SMA": [0.2] * 5, "WMA": [i / 15 for i in range(1, 6)], "TMA": [1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9], "TSF": [0.2 + 0.3 * i for i in range(-2, 3)]}
@@ -232,6 +244,9 @@ RECURSIONS: dict[str, Recursion] = {
     "rwi": _rwi(),
     "supertrend": _supertrend(),
     "kagi": _kagi(5.0),
+    "zlma": Recursion(14, {"v": ("avg(ahead)", _moved(5.5, value="x.ahead"))}, {"ZL_EMA_10": "v"}, {"ahead": "2 * close - lag(close, 4) over w"}),
+    "aberration": _aberration(),
+    "atrts": _range_stop(),
     "ott": _tracker(2, "VAR"),
     **{f"ott_{kind.lower()}": _tracker(5, kind) for kind in ("SMA", "EMA", "WMA", "TMA", "WWMA", "ZLEMA", "TSF")},
 }
