@@ -16,6 +16,7 @@ its own; an empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ from . import textblocks as tb
 from .workspace import Workspace
 
 CAPACITY, END = 2048, 0
+#: Characters from which on a run of whitespace is cut out here: tiktoken's regular expression overflows its stack near a million.
+LONG_RUN = 100_000
+#: Whitespace as the vocabulary's pattern has it, without Python's four separators more; tried at a run's start only.
+_RUN = re.compile(r"(?<![^\S\x1c-\x1f])[^\S\x1c-\x1f]{%d,}" % LONG_RUN)
 _encoders: dict = {}
 
 
@@ -54,7 +59,17 @@ def _load(vocabulary: str):
     ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if all(c in shown for c in token)}
     ranks = {token: i for token, i in ranks.items() if token != b"<|endoftext|>"}
     encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")
+
+    def ordinary(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in _RUN.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() - (run.end() < len(text))  # the last character of a run before a word is not in the run's piece
+            ids += encoding.encode_ordinary(text[at : run.start()])
+            ids += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + encoding.encode_ordinary(text[at:])
+
+    return lambda text: np.array(ordinary(text), dtype="<u4")
 
 
 def default_vocabulary() -> str:

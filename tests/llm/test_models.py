@@ -113,6 +113,26 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \t"])
+def test_ids_of_long_whitespace(space):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    n = packing.LONG_RUN
+    for text in (space * n, space * n + "b", f"a{space * n} b{space * n}\n{space * 3}c\x1c{space * n}\x1f\u00a0d {space * (n // 2)}", "\x1c" * n, "a" + space * (n - 1) + "!"):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_millions_of_spaces(spark):
+    from tokenizers import Tokenizer
+
+    text = "a" + " " * 3_000_000 + "b"
+    ids = np.array(Tokenizer.from_file(packing.default_vocabulary()).encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "b")], "doc_id bigint, text string"), Workspace(spark, "t")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(ids) and sum(r.length for r in rows if r.doc_id == 2) == 2
+    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows if r.doc_id == 1)
+
+
 def test_fullest_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(100):
