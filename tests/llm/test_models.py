@@ -123,6 +123,18 @@ def test_ids_of_long_whitespace(space):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    end, run = "<|endoftext|>", " " * packing.LONG_RUN
+    texts = [f"a{end}b", end, end * 3, f"a  {end}  b", f"<|{end}|>", "<|endoftext", f"it's{end}'s {end}\n", f"a{run}{end}{run}b", "<|ENDOFTEXT|>"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65] and [encode(t).tolist() for t in texts] == want
+    rows = packing.pack(spark.createDataFrame([*enumerate(texts[:7])], "doc_id bigint, text string"), Workspace(spark, "t")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {i: zlib.crc32(np.array(x + [0], dtype="<u4").tobytes()) for i, x in enumerate(want[:7])}
+
+
 def test_packing_of_millions_of_spaces(spark):
     from tokenizers import Tokenizer
 
