@@ -119,15 +119,15 @@ class Shard:
         size, out = grams.shape[1], []
         for which, start, order in self.candidates(grams):
             anchor = start + order[:, 0]
+            low, high = (np.searchsorted(self.rows, self.rows[anchor], side) for side in ("left", "right"))  # the anchor's own text
             for j in range(1, size):
                 off = order[:, j]
                 term, want = grams[which, off], start + off
                 # postings of all terms are one sorted list of (term, place)
                 key = term.astype(np.int64) * (len(self.term) + 1)
-                low = np.searchsorted(self.keys, key + np.maximum(want - slop, 0))
-                ok = low < np.minimum(np.searchsorted(self.keys, key + np.clip(want + slop, -1, len(self.term)), "right"), len(self.keys))
-                low = np.minimum(low, len(self.postings) - 1)
-                ok &= self.rows[self.postings[low]] == self.rows[anchor]
+                begin = np.searchsorted(self.keys, key + np.maximum(want - slop, low))
+                ok = begin < np.searchsorted(self.keys, key + np.minimum(want + slop, high - 1), "right")
+                low, high = low[ok], high[ok]
                 which, start, order, anchor = which[ok], start[ok], order[ok], anchor[ok]
             out.append((which, anchor))
         if not out:

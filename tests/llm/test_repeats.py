@@ -167,6 +167,30 @@ def test_proximity(spark):
     assert found(None) == [4] and found(1) == [1, 4] and found(5) == [1, 4] and found(6) == [1, 2, 4]
 
 
+def test_proximity_in_adjacent_texts():
+    queries = decontaminate.Queries([(9, decontaminate.words_of(np.frombuffer(b"one two three four", np.uint8), np.array([0, 18]))[0])], 10)
+
+    def found(slop, *texts):
+        data = "".join(texts).encode()
+        return decontaminate.find(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), queries, slop)[2]
+
+    phrase = "one two three four"
+    assert found(2, "ends in two", phrase) == [[], [9]] and found(2, phrase, "three four two one") == [[9], []]
+    assert found(1, "two three four", phrase, "two three four") == [[], [9], []] and found(3, "one two", "three four") == [[], []]
+    rng, terms = random.Random(5), phrase.split()
+    for _ in range(300):
+        texts = [" ".join(rng.choice([*terms, "x"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))]
+        for slop in (0, 1, 2, 5):
+            assert [bool(x) for x in found(slop, *texts)] == [near(t.split(), texts, terms, slop) for t in texts]
+
+
+def near(words, texts, terms, slop):
+    """Whether each term stands at most ``slop`` off its place, as seen from the term that is rarest in all texts."""
+    counts = [sum(t.split().count(x) for t in texts) for x in terms]
+    first = counts.index(min(counts))
+    return any(w == terms[first] and all(x in words[max(0, i - first + k - slop) : max(0, i - first + k + slop + 1)] for k, x in enumerate(terms)) for i, w in enumerate(words))
+
+
 def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(frame(spark, docs), none).where("contaminated").count() == 0
