@@ -9,7 +9,8 @@ answers for its own documents, nothing is shuffled, and a common passage or word
 the tasks that hold it.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the texts per
-block, so what is sent at once stays bounded however large the benchmark is.
+block. The texts and what is found so far are written after each pass but the last, so one block at a time is
+held and sent, however large the benchmark is; the driver reads the benchmark one partition at a time.
 
 Defined results: a null or wordless text has no words, no hits and no items; an item without words is
 never found; an item shorter than the window is one window of its own length; repeated document rows each
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
+from .workspace import Workspace
 
 #: Words of the benchmark that one pass holds; their windows take about 100 bytes a word in each task.
 BLOCK_WORDS = 500_000
@@ -174,18 +176,25 @@ def find(data: np.ndarray, offsets: np.ndarray, queries: Queries, slop: int | No
     return np.diff(base), spans, found
 
 
-def _queries(benchmark: DataFrame, window: int) -> Iterator[Queries]:
-    """Blocks of items; the driver holds one block at a time."""
+def _queries(benchmark: DataFrame, window: int) -> Iterator[tuple[Queries, bool]]:
+    """Blocks of items, and whether each is the last; a longer item stands in several, which share window - 1 words."""
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates().toLocalIterator()
+    size = max(BLOCK_WORDS, window)
+
+    def parts():
+        for row in rows:
+            hashes, _ = words_of(*tb.byte_column(pa.array([row.text])))
+            for lo in range(0, max(1, len(hashes) - window + 1), size - window + 1):
+                yield row.item_id, hashes[lo : lo + size].copy()
+
     block, words = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates().toLocalIterator():
-        hashes, _ = words_of(*tb.byte_column(pa.array([row.text])))
-        block.append((row.item_id, hashes))
-        words += len(hashes)
-        if words >= BLOCK_WORDS:
-            yield Queries(block, window)
+    for part in parts():
+        if block and words + len(part[1]) > size:
+            yield Queries(block, window), False
             block, words = [], 0
-    if block:
-        yield Queries(block, window)
+        block.append(part)
+        words += len(part[1])
+    yield Queries(block, window), True
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -197,11 +206,20 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop
     """
     spark = docs.sparkSession
     own = docs.select(F.struct(*keep).alias("row")) if keep else docs.select("doc_id", "text")
-    blocks = [*_queries(benchmark, window)] or [Queries([], window)]
-    for k, queries in enumerate(blocks):
-        last = k == len(blocks) - 1
+    ws = Workspace(spark, "benchmark")
+    blocks, k, last = _queries(benchmark, window), 0, False
+    while not last:
+        queries, last = next(blocks)
+        sent = spark.sparkContext.broadcast(pickle.dumps(queries))
+        del queries
         fields = [T.StructField(f.name, f.dataType) for f in own.schema.fields if not (last and f.name == "text") and f.name not in FOUND.names]
-        own = own.mapInArrow(_pass(spark.sparkContext.broadcast(pickle.dumps(queries)), slop, last), T.StructType([*fields, *FOUND.fields]))
+        own = own.mapInArrow(_pass(sent, slop, last), T.StructType([*fields, *FOUND.fields]))
+        if not last:
+            own = ws.save(own, f"block-{k}")
+            sent.destroy()
+            if k:
+                ws.drop(f"block-{k - 1}")
+        k += 1
     return own
 
 

@@ -1,5 +1,6 @@
 import random
 import sys
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -160,6 +161,25 @@ def test_contamination(spark, docs, block, monkeypatch):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in got if not r[5])
 
 
+def test_one_benchmark_block_at_a_time(spark, docs, monkeypatch):
+    texts, alive, most, sizes = dict(docs), weakref.WeakSet(), [], []
+    build = decontaminate.Queries.__init__
+
+    def counted(self, items, window):
+        alive.add(self)
+        most.append(len(alive))
+        sizes.append(sum(len(h) for _, h in items))
+        build(self, items, window)
+
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontaminate.Queries, "__init__", counted)
+    items = [(i, texts[i]) for i in (20, 50, 62)] + [(1, "short one"), (2, None), (3, "")]
+    found = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert len(most) > 3 and max(most) == 1 and max(sizes) <= 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows(found) == expected(brute.contamination(docs, items))
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one two x three four"), (2, "four three two one"), (3, "one two"), (4, "one two three four")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(9, "one two three four")], "item_id bigint, text string")
