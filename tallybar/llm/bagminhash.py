@@ -171,6 +171,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), lists], ["doc_id", "k1", "k2", "n_shingles", "bands"])
 
 
+def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row beside its id and the two hashes of its words."""
+    for batch in tb.each(batches):
+        data, offsets = tb.byte_column(batch.column("text"))
+        for lo, hi in tb.row_blocks(offsets):
+            keys = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[2:]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id")), *(pa.array(x.view(np.int64)) for x in keys)], ["row", "doc_id", "k1", "k2"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
@@ -299,6 +308,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace, threshold: float = THRESHOLD
 
     One row for each row of ``docs``.
     """
+    return _judged(docs, ws, threshold).select("doc_id", "class_id", "n_copies", "kept")
+
+
+def _judged(docs: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
+    """The near-duplicates, with the two hashes k1 and k2 of each row's words."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = ws.save(own.mapInArrow(_sign, "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, bands array<bigint>"), "signed")
     folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("n_copies"))
@@ -328,13 +342,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace, threshold: float = THRESHOLD
     node = ws.save(node.select("k1", "k2", F.col("n_copies"), F.coalesce("component", "rep").alias("class_id"), F.lit(True).alias("worded")), "classes")
     out = signed.select("doc_id", "k1", "k2", (F.col("n_shingles") > 0).alias("worded")).join(node, ["k1", "k2", "worded"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "k1", "k2", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each_class(docs: DataFrame, ws: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are the smallest of their class, all columns kept; of rows equal in id and text, one."""
-    later = ws.save(near_duplicates(docs, ws, threshold).where("not kept").select("doc_id").distinct(), "later")
-    left = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = ws.save(_judged(docs, ws, threshold).where("not kept").select("doc_id", "k1", "k2").distinct(), "later")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
+        return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    # an id may stand on texts of different classes, so the words tell which of its rows go
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    keyed = row.mapInArrow(_key, T.StructType([row.schema["row"], *(T.StructField(c, T.LongType()) for c in ("doc_id", "k1", "k2"))]))
+    left = keyed.join(later, ["doc_id", "k1", "k2"], "left_anti").select("row.*")
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))

@@ -138,6 +138,17 @@ def test_near_duplicate_odd_rows(spark):
     assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 4, 5]
 
 
+def test_first_of_each_class_by_row(spark):
+    x, y, z = (" ".join(words(random.Random(seed), 60)) for seed in (11, 12, 13))
+    docs = [(3, x), (9, x), (9, y), (9, y), (5, z), (6, z + " more"), (6, None), (None, x)]
+    left = bagminhash.first_of_each_class(frame(spark, docs, 3), Workspace(spark, "t"))
+    assert left.columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(3, x), (9, y), (5, z), (6, None), (None, x)], key=str)
+    left = bagminhash.first_of_each_class(frame(spark, [(3, x), (9, x), (9, y)], 2), Workspace(spark, "t"))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, x), (9, y)]
+
+
 def test_signature_estimates_weighted_overlap():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
