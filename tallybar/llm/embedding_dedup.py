@@ -13,7 +13,7 @@ index is in 64 dimensions; tiles bound the memory and spread it over tasks of eq
 
 Defined results: a row without an id links with nothing; a vector that is null, empty, zero, or holds a null or non-finite component links with
 nothing and is its own component; vectors of different lengths never link; equal vectors link; rows that
-share a vec_id are one node. Other columns are ignored.
+share a vec_id are one node, with the links of all its vectors. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,31 +89,31 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block from rows sorted by block: node ids, numbers of rows, vectors."""
+    """One row a block from rows sorted by block: node numbers and ids, numbers of rows, vectors."""
     block, held = None, []
 
     def row():
-        body = [np.concatenate([np.frombuffer(x, t) for x in p]).tobytes() if t else b"".join(p) for p, t in zip(zip(*held, strict=True), (np.int64, np.int64, None), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([block[0]], pa.int32()), pa.array([block[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], ["dims", "block", "nodes", "sizes", "vectors"])
+        body = [np.concatenate([np.frombuffer(x, t) for x in p]).tobytes() if t else b"".join(p) for p, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.int64, None), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)), *(pa.array([x], pa.binary()) for x in body)], ["part", "dims", "blocks", "block", "nums", "nodes", "sizes", "vectors"])
 
     for batch in batches:
-        for dims, b, node, size, key in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if (dims, b) != block:
+        for *at, num, node, size, key in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if at != block:
                 if held:
                     yield row()
-                block, held = (dims, b), []
-            held.append((np.int64(node).tobytes(), np.int64(size).tobytes(), key))
+                block, held = at, []
+            held.append((*(np.int64(x).tobytes() for x in (num, node, size)), key))
     if held:
         yield row()
 
 
 def _tiles(threshold: float):
     def unpacked(row):
-        nodes, sizes = np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int64)
-        x = np.frombuffer(row[2], np.float64).reshape(len(nodes), -1)
+        nums, nodes, sizes = (np.frombuffer(x, np.int64) for x in row[:3])
+        x = np.frombuffer(row[3], np.float64).reshape(len(nodes), -1)
         x = x / np.abs(x).max(axis=1)[:, None]  # no overflow in the norm
         x = x / np.linalg.norm(x, axis=1)[:, None]
-        return nodes, sizes, (x, *quantise(x))
+        return nodes, sizes, (x, *quantise(x)), nums
 
     def compared(a, b):
         for i in range(0, len(a[0]), SIDE):
@@ -127,18 +127,18 @@ def _tiles(threshold: float):
                     continue
                 up, down = mask @ b[1][rj], mask.T @ a[1][ri]
                 top, side = forest(mask, a[0][ri], b[0][rj])
-                for nodes, links, low in ((a[0][ri], up, top), (b[0][rj], down, side))[: 1 if own else 2]:
+                for nums, nodes, links, low in ((a[3][ri], a[0][ri], up, top), (b[3][rj], b[0][rj], down, side))[: 1 if own else 2]:
                     at = np.flatnonzero(links)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (nodes, low, links)], ["u", "v", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (nums, nodes, low, links)], ["num", "u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, tile = None, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                part = unpacked(row[3:])
-                if row[:3] != tile:
-                    tile, left = row[:3], part
-                    if row[1] == row[2]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                part = unpacked(row[4:])
+                if row[:4] != tile:
+                    tile, left = row[:4], part
+                    if row[2] == row[3]:
                         yield from compared(part, part)
                 else:
                     yield from compared(left, part)
@@ -146,23 +146,59 @@ def _tiles(threshold: float):
     return run
 
 
+def _compared(nodes: DataFrame, n_tiles: int | None, ws: Workspace, name: str, threshold: float) -> DataFrame:
+    """num, u, v, links: each node's links in a tile, and an edge to the smallest node it reaches there.
+
+    nodes: part, blocks (how many its part is cut into), num, node, size, key. Only nodes of one part are compared.
+    n_tiles: how many tiles there are at most, if known.
+    """
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    dealt = nodes.select("part", (F.length("key") / 8).cast("int").alias("dims"), "blocks", block, "num", "node", "size", "key")
+    blocks = dealt.repartition("part", "dims", "block").sortWithinPartitions("part", "dims", "block")
+    blocks = ws.save(blocks.mapInArrow(_pack, "part bigint, dims int, blocks int, block int, nums binary, nodes binary, sizes binary, vectors binary"), f"{name}-blocks")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = blocks.select("part", "dims", "block", "nums", "nodes", "sizes", "vectors", others)
+    tiles = tiles.select("part", "dims", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nums", "nodes", "sizes", "vectors")
+    most = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles.repartition(max(1, min(n_tiles or most, most)), "part", "dims", "i", "j").sortWithinPartitions("part", "dims", "i", "j")
+    return ws.save(tiles.mapInArrow(_tiles(threshold), "num bigint, u bigint, v bigint, links bigint"), f"{name}-found")
+
+
 def link_embeddings(vectors: DataFrame, ws: Workspace, threshold: float = 0.95) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
-    spark = vectors.sparkSession
+    """vec_id, n_links, component_id, kept for each row.
+
+    n_links counts the pairs of a row with this id and a linked row with another id.
+    """
     keyed = ws.save(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_keys, "vec_id bigint, key binary"), "keyed")
-    nodes = ws.save(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "nodes")
+    usable = keyed.where("key is not null and vec_id is not null")
+    nodes = usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
+    nodes = ws.save(nodes.withColumn("num", F.monotonically_increasing_id()), "nodes")
     n_blocks = max(1, math.ceil(nodes.count() / BLOCK))
-    dealt = nodes.select((F.length("key") / 8).cast("int").alias("dims"), F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"), "node", "size", "key")
-    blocks = ws.save(dealt.repartition("dims", "block").sortWithinPartitions("dims", "block").mapInArrow(_pack, "dims int, block int, nodes binary, sizes binary, vectors binary"), "blocks")
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
-    tiles = blocks.select("dims", "block", "nodes", "sizes", "vectors", others).select("dims", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nodes", "sizes", "vectors")
-    n_tasks = max(1, min(n_blocks * (n_blocks + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = tiles.repartition(n_tasks, "dims", "i", "j").sortWithinPartitions("dims", "i", "j").mapInArrow(_tiles(threshold), "u bigint, v bigint, links bigint")
-    found = ws.save(found, "found")
-    links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select("u", "v"), ws)
-    # a vec_id on several rows may be the node of one vector and a copy of another: its own edges join them
-    node = ws.save(nodes.select("key", "node", "size").join(links, "node", "left").join(parts, "node", "left").select("key", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "labelled")
+    whole = nodes.select(F.lit(0).cast("bigint").alias("part"), F.lit(n_blocks).alias("blocks"), "num", "node", "size", "key")
+    found = _compared(whole, n_blocks * (n_blocks + 1) // 2, ws, "all", threshold)
+    links = found.groupBy("num").agg(F.sum("links").alias("links"))
+    repeated = ws.save(keyed.where("vec_id is not null").groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    once = repeated.isEmpty()
+    edges = found.select("u", "v")
+    if not once:
+        # an id's own edges join its vectors
+        mine = usable.join(repeated, "vec_id").groupBy("vec_id", "key").agg(F.count("*").alias("size"))
+        mine = ws.save(mine.withColumn("num", F.monotonically_increasing_id()), "mine")
+        edges = edges.unionByName(mine.join(nodes.select("key", "node"), "key").select(F.col("vec_id").alias("u"), F.col("node").alias("v")))
+    parts = connected_components(edges, ws)
+    node = nodes.join(links, "num", "left").join(parts, "node", "left")
+    node = ws.save(node.select("key", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "labelled")
     out = keyed.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))).join(node, "key", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
+    if not once:
+        # what an id's rows link to, less the links among them
+        cut = mine.groupBy("vec_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = mine.join(cut, "vec_id").select(F.col("vec_id").alias("part"), "blocks", "num", F.col("vec_id").alias("node"), "size", "key")
+        own = _compared(own, None, ws, "own", threshold).groupBy("num").agg(F.sum("links").alias("links"))
+        size = F.col("size")
+        own = mine.join(own, "num", "left").groupBy("vec_id").agg(F.sum(size * (size - 1 + F.coalesce("links", F.lit(0)))).alias("within"))
+        sums = out.join(repeated, "vec_id").groupBy("vec_id").agg(F.sum("n_links").alias("all"), F.min("component_id").alias("low"))
+        sums = ws.save(sums.join(own, "vec_id", "left").select("vec_id", (F.col("all") - F.coalesce("within", F.lit(0))).alias("sum"), "low"), "sums")
+        out = out.join(sums, "vec_id", "left").select("vec_id", F.coalesce("sum", "n_links").alias("n_links"), F.coalesce("low", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

@@ -72,6 +72,26 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.link_embeddings(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("block", [3000, 2])
+def test_embeddings_of_repeated_ids(spark, block, monkeypatch):
+    import duckdb
+
+    from tallybar.llm.oracles import EMBEDDINGS
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    a, b, c, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [1.0, 0.1, 0.0]
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, c), (9, c), (10, c), (11, near), (11, a), (11, near), (12, None), (12, b), (13, [1.0, 1.0]), (13, [0.0] * 3), (20, [1.0, 1.0, 1.0]), (20, [1.0, 1.0, 1.0])]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = con.execute(f"select vec_id, n_links, component_id, kept from ({EMBEDDINGS})").fetchall()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in embedding_dedup.link_embeddings(df, Workspace(spark, "t")).collect()]
+    assert sorted(got) == sorted(want)
+    by = {r[0]: r[1:] for r in got}
+    assert by[7][1] == by[5][1] == 3 and by[20] == (0, 20, True)
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 64))
