@@ -165,9 +165,9 @@ def _market_structure(spark: SparkSession, d: str) -> DataFrame:
     return _shown(structure.market_structure(flagged, "sym", "ts"), ["kind", "price", "label", "trend"])
 
 
-def _order_blocks(**how) -> Query:
+def _order_blocks(bars=sources.orders_daily, **how) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = order_blocks.order_blocks(sources.orders_daily(spark, d), "sym", "ts", order_blocks.OrderBlockConfig(lookback_max=8, **how))
+        found = order_blocks.order_blocks(bars(spark, d), "sym", "ts", order_blocks.OrderBlockConfig(**how))
         times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "break", "retest")]
         return found.select("sym", "id", "block_type", *times, "zone_low", "zone_high", "strength", "structure_label", "trend_direction")
 
@@ -304,7 +304,11 @@ def queries() -> dict[str, Query]:
     out |= {f"pivots_{m}": _pivots(m, "M") for m in levels.METHODS}
     out |= {"pivots_weekly": _pivots("classic", "W"), "pivots_daily": _pivots("classic", "D"), "pivots_yearly": _pivots("classic", "Y"), "pivots_forward": _pivots("traditional", "M", "forward")}
     out |= {"resample_monthly": _monthly, "ichimoku_forward": _forward, "tail": _tail, "offset_fillna": _shifted, "trim": _trimmed}
-    out |= {"order_blocks": _order_blocks(), "order_blocks_all_breakouts": _order_blocks(multiple_breakouts=True, check_breaker=True, use_market_structure_filter=True), "order_blocks_clustered": _order_blocks(multiple_breakouts=True, cluster_blocks=True, cluster_price_tolerance=0.05)}
+    # the default look-back finds nothing in the daily orders of the smallest tables, so hourly events stand in there
+    out |= {"order_blocks": _order_blocks(lookback_max=8), "order_blocks_default": _order_blocks(sources.events_hourly)}
+    blocks = {"order_blocks_all_breakouts": {"check_breaker": True, "use_market_structure_filter": True}, "order_blocks_clustered": {"cluster_blocks": True, "cluster_price_tolerance": 0.05}}
+    for name, how in blocks.items():
+        out |= {name: _order_blocks(multiple_breakouts=True, **how), f"{name}_short": _order_blocks(lookback_max=8, multiple_breakouts=True, **how)}
     out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
     return out
 

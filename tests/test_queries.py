@@ -44,6 +44,15 @@ def test_without_sql(spark, name):
     assert plans.queries()[name](spark, TINY).count() > 0
 
 
+@pytest.mark.parametrize("name", ["order_blocks_default", "order_blocks_all_breakouts", "order_blocks_clustered"])
+def test_order_blocks_look_back_by_default(spark, name, monkeypatch):
+    used, run = [], plans.order_blocks.order_blocks
+    monkeypatch.setattr(plans.order_blocks, "order_blocks", lambda bars, key, order, cfg: used.append(cfg) or run(bars, key, order, cfg))
+    plans.queries()[name](spark, TINY)
+    default = plans.order_blocks.OrderBlockConfig()
+    assert [(c.lookback_min, c.lookback_max) for c in used] == [(default.lookback_min, default.lookback_max)] == [(5, 50)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
