@@ -2,20 +2,25 @@
 
 A text is a row of units (bytes, or word hashes); a window is W consecutive units of one text. Two equal
 windows hold the same k-grams, so they agree on the smallest k-gram hash in them and on its place (the last
-one, if it occurs twice): their anchor. Consecutive windows of a text mostly share an anchor, and such a run
-of windows is one row of (anchor hash, document, first start, number of starts): two rows for W - k + 2 units.
+one, if it occurs twice): their anchor, which is a prefix of k units of the suffix that starts there.
+Consecutive windows of a text mostly share an anchor, and such a run of windows is one row of (anchor hash,
+document, first start, number of starts): two rows for W - k + 2 units.
 
 1. Anchors that occur once in the corpus are dropped: no window around them occurs twice.
-2. The texts of the remaining runs are snippets, and equal snippets are folded, by a hash of their units
-   beside the anchor's: only the first is compared, and each other one stands wherever the first does.
+2. The texts of the remaining runs are snippets. Equal snippets are folded, first in each batch and then by
+   one aggregation, by a hash of their text beside the anchor's; what stands for them are the first and the
+   last place, and both are compared as text.
 3. Snippets that share an anchor meet in one task, which finds the classes of equal windows among them
-   (``resolve``, by suffix array or suffix tree). Anchors with many runs are dealt further by a hash of the
-   window itself, in as many parts as there are ``PART`` runs, so that no anchor gathers an unbounded group;
-   equal windows still meet.
-4. What was found returns to the documents as covered runs of units.
-
-A place is (document, start). Rows that share a document id are told apart by a hash of their text; rows
-equal in both are one place, so neither stands earlier than the other.
+   (``resolve``, by suffix array or suffix tree) and says of each window whether an earlier place holds it.
+   Every other copy takes over what was found for the last one.
+4. An anchor with more than ``PART`` different snippets is not compared so: the windows of its runs are dealt
+   again by the next longer k-gram. The longest is the window itself, where at most two snippets meet. So no
+   anchor, however common, gathers an unbounded group.
+5. What was found returns to the documents as covered runs of units.
+
+A place is (document, start). Rows equal in document id and text are one place, so neither stands earlier
+than the other; they are folded before all else and get the result back at the end. Rows that share an id
+but not the text are told apart by a hash of it.
 """
 
 from __future__ import annotations
@@ -25,26 +30,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .workspace import Workspace
 
-#: Runs of one anchor that one part takes on average.
-PART = 16_000
-#: Snippet text that a task compares at once, if a single part does not need more.
+#: Different snippets of one anchor up to which they are compared in one task.
+PART = 2_000
+#: Snippet text that a task compares at once, if a single anchor does not need more.
 STEP_BYTES = 1 << 20
 _U = np.uint64
 
 
 @dataclass(frozen=True)
 class Units:
-    """What windows are made of. kind: "bytes" or "words"; window: W; gram: k."""
+    """What windows are made of. kind: "bytes" or "words"; window: W; grams: k, from short to W."""
 
     kind: str
     window: int
-    gram: int
+    grams: tuple[int, ...]
 
     def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Unit values, offsets of the texts' units, and the units' byte starts and ends (None for bytes)."""
@@ -90,7 +96,7 @@ def _runs(units: Units):
             data, offsets = tb.byte_column(batch.column("text"))
             for lo, hi in tb.row_blocks(offsets):
                 values, cut, _, _ = units.split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                h, text, start, n = anchors(tb.prefix_hash(values), cut, units.window, units.gram)
+                h, text, start, n = anchors(tb.prefix_hash(values), cut, units.window, units.grams[0])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(orders[lo + text]), pa.array(ids[lo + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc_order", "row_id", "start", "n"])
 
     return run
@@ -103,74 +109,64 @@ def _run_fields(batch: pa.RecordBatch, name: str, n: int) -> tuple[list[np.ndarr
     return [flat.field(i).to_numpy() for i in range(n)], np.cumsum(np.append(0, lists.value_lengths().fill_null(0).to_numpy()))
 
 
-def _dealt(prefix: np.ndarray, at: np.ndarray, n: np.ndarray, parts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of anchors in several parts, cut to what each part needs: source run, part, first start, number of starts."""
-    src = np.repeat(np.arange(len(at)), n)
-    inside = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)
-    where = at[src] + inside
-    part = (tb.span_hash(prefix, where, where + window) % parts[src].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((inside, part, src))
-    src, part, inside = src[order], part[order], inside[order]
-    head = np.ones(len(src), dtype=bool)
-    head[1:] = (src[1:] != src[:-1]) | (part[1:] != part[:-1])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(src)) - 1
-    return src[first], part[first], inside[first], inside[last] - inside[first] + 1
+def inside(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-KEYS = "anchor bigint, part bigint, key bigint, doc_order bigint, row_id bigint, start int, n int"
+def _again(values: np.ndarray, at: np.ndarray, n: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows dealt by another gram: anchor, source run, windows skipped, number of starts."""
+    size = n + window - 1
+    spans = values[np.repeat(at, size) + inside(size)]
+    h, src, skip, m = anchors(tb.prefix_hash(spans), np.cumsum(np.append(0, size)), window, gram)
+    return h.view(np.int64), src, skip, m
 
 
-def _keys(units: Units, same_text: bool):
-    """Texts and their runs to snippets, named by a hash of their units.
+KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>"
 
-    Of equal snippets in a batch only the first goes further; each other one is known to be covered and
-    keeps no key.
-    """
+
+def _keys(units: Units, level: int):
+    """Texts and their runs to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.each(batches):
             orders, ids = (batch.column(c).to_numpy() for c in ("doc_order", "row_id"))
             data, offsets = tb.byte_column(batch.column("text"))
-            fields, ends = _run_fields(batch, "runs", 4)
-            out: list[list[np.ndarray]] = []
+            if not batch.num_rows:
+                continue
+            fields, ends = _run_fields(batch, "runs", 2 if level else 3)
+            out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in tb.row_blocks(offsets):
-                values, cut, _, _ = units.split(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                prefix = tb.prefix_hash(values)
-                anchor, start, n, parts = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
+                raw = data[offsets[lo] : offsets[hi]]
+                values, cut, first, _ = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
+                start, n, *known = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
                 doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
-                part = np.zeros(len(doc), dtype=np.int64)
-                many = parts > 1
-                if many.any():
-                    w = np.flatnonzero(many)
-                    src, p, skip, m = _dealt(prefix, cut[doc[w] - lo] + start[w], n[w], parts[w], units.window)
-                    k, src = np.flatnonzero(~many), w[src]
-                    anchor, doc, part = np.append(anchor[k], anchor[src]), np.append(doc[k], doc[src]), np.append(part[k], p)
-                    start, n = np.append(start[k], start[src] + skip), np.append(n[k], m)
+                if level:
+                    anchor, src, skip, n = _again(values, cut[doc - lo] + start, n, units.window, units.grams[level])
+                    doc, start = doc[src], start[src] + skip
+                else:
+                    anchor = known[0]
                 at = cut[doc - lo] + start
-                key = tb.span_hash(prefix, at, at + n - 1 + units.window).view(np.int64)
-                out.append([anchor, part, key, orders[doc], ids[doc], start, n])
-            anchor, part, key, order, row, start, n = (np.concatenate(c) for c in zip(*out, strict=True))
-            place = np.lexsort((start, order, key, anchor))
-            new = np.ones(len(place), dtype=bool)
-            new[1:] = (anchor[place][1:] != anchor[place][:-1]) | (key[place][1:] != key[place][:-1])
-            first = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = order[place] > order[first]
-            if same_text:
-                later |= (order[place] == order[first]) & (start[place] > start[first])
-            known = np.zeros(len(place), dtype=bool)
-            known[place] = later
-            hidden = [pa.array(x, pa.int64(), mask=known) for x in (anchor, part, key)]
-            yield pa.RecordBatch.from_arrays([*hidden, pa.array(order), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], [f.split()[0] for f in KEYS.split(", ")])
+                body, width = memoryview((raw if first is None else values).tobytes()), 1 if first is None else 8
+                spans = zip((at * width).tolist(), ((at + n - 1 + units.window) * width).tolist(), strict=True)
+                key = np.array([xxhash.xxh3_64_intdigest(body[x:y]) for x, y in spans], dtype=np.uint64).view(np.int64)
+                out.append((anchor, key, n, orders[doc], start, ids[doc]))
+            anchor, key, n, order, start, row = (np.concatenate(c) for c in zip(*out, strict=True))
+            by = np.lexsort((row, start, order, key, anchor))
+            anchor, key = anchor[by], key[by]
+            head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))) if len(by) else by
+            struct = pa.StructArray.from_arrays([pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(row[by])], ["doc_order", "start", "row_id"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places], ["anchor", "key", "n", "places"])
 
     return run
 
 
-SNIPPETS = "anchor bigint, part bigint, key bigint, doc_order bigint, start bigint, n bigint, body binary"
+SNIPPETS = "anchor bigint, key bigint, which int, doc_order bigint, start bigint, n bigint, body binary"
 
 
 def _bodies(units: Units):
-    """Texts and their snippets (anchor, part, key, start, n) to the snippets' own text."""
+    """Texts and their snippets (anchor, key, which, start, n) to the snippets' own text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.each(batches):
@@ -181,7 +177,7 @@ def _bodies(units: Units):
                 raw = data[offsets[lo] : offsets[hi]]
                 _, cut, first, last = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
                 text = raw.tobytes()
-                anchor, part, key, start, n = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
+                anchor, key, which, start, n = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
                 doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
                 a = cut[doc - lo] + start
                 b = a + n - 1 + units.window
@@ -190,13 +186,16 @@ def _bodies(units: Units):
                 else:  # single spaces, as the words are what counts
                     words = [text[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
                     body = [b" ".join(words[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor, part, key, orders[doc], start, n)), pa.array(body, pa.binary())], [f.split()[0] for f in SNIPPETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(which.astype(np.int32)), pa.array(orders[doc]), pa.array(start), pa.array(n), pa.array(body, pa.binary())], [f.split()[0] for f in SNIPPETS.split(", ")])
 
     return run
 
 
+JUDGED = "anchor bigint, key bigint, first_order bigint, first_start bigint, first_bits binary, last_bits binary"
+
+
 def _resolved(resolve: Callable):
-    """Sorted snippets to the windows of each that an earlier place holds, as bits."""
+    """Snippets sorted by (anchor, key, which) to the windows of the first and of the last place that an earlier place holds, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -208,15 +207,21 @@ def _resolved(resolve: Callable):
             for r in held:
                 bits = covered[at : at + r[5]]
                 at += r[5]
-                rows.append((*r[:5], np.packbits(bits).tobytes() if bits.any() else None))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "part", "key", "first_order", "first_start", "bits"])
+                found = np.packbits(bits).tobytes() if bits.any() else None
+                if r[2]:
+                    rows[-1][5] = found
+                else:
+                    rows.append([r[0], r[1], r[3], r[4], found, None])
+            rows = [r for r in rows if r[4] or r[5]]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.binary(),) * 2, strict=True)], [f.split()[0] for f in JUDGED.split(", ")])
 
         for batch in tb.each(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= STEP_BYTES and row[:2] != now:
+                if size >= STEP_BYTES and row[0] != now:
                     yield flush()
                     held, size = [], 0
-                now = row[:2]
+                now = row[0]
                 held.append(row)
                 size += len(row[6])
         if held:
@@ -225,64 +230,80 @@ def _resolved(resolve: Callable):
     return run
 
 
+def _later(place: Column, first: tuple[Column, Column], same_text: bool) -> Column:
+    """Whether a place is later than the first one in the sense that counts."""
+    later = place["doc_order"] > first[0]
+    return later | ((place["doc_order"] == first[0]) & (place["start"] > first[1])) if same_text else later
+
+
 def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bool, ws: Workspace) -> DataFrame:
-    """doc_order, row_id and marks (array of (start, n, bits or null for all n)) of the windows that an earlier place holds.
+    """doc_order, row_id and marks (array of (start, n, bits)) of the windows that an earlier place holds.
 
     rows: what ``keyed_rows`` returns.
     resolve: (snippets, numbers of starts, places (doc_order, start)) to a boolean for each window.
     same_text: whether an earlier place in the same document counts.
     """
     row = ["doc_order", "row_id"]
-    runs = rows.select(*row, "text").mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int")
-    runs = ws.save(runs, "anchors")
-    often = ws.save(runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "often")
-    parts = F.ceil(F.col("times") / PART).cast("int").alias("parts")
-    live = runs.join(often.select("anchor", parts), "anchor")
-    grouped = ws.save(live.groupBy(*row).agg(F.collect_list(F.struct("anchor", "start", "n", "parts")).alias("runs")), "runs")
-    ws.drop("anchors")
-    ws.drop("often")
-    keys = ws.save(rows.select(*row, "text").join(grouped, row).mapInArrow(_keys(units, same_text), KEYS), "keys")
-    ws.drop("runs")
-    open_ones = keys.where("key is not null")
-    first = open_ones.groupBy("anchor", "part", "key").agg(F.min(F.struct(*row, "start", "n")).alias("x")).select("anchor", "part", "key", "x.*")
-    first = ws.save(first.groupBy(*row).agg(F.collect_list(F.struct("anchor", "part", "key", "start", "n")).alias("runs")), "first")
-    bodies = rows.select(*row, "text").join(first, row).mapInArrow(_bodies(units), SNIPPETS)
-    judged = bodies.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_resolved(resolve), "anchor bigint, part bigint, key bigint, first_order bigint, first_start bigint, bits binary")
-    judged = ws.save(judged, "judged")
-    ws.drop("first")
-    places = open_ones.select("anchor", "part", "key", *row, "start", "n").join(judged, ["anchor", "part", "key"])
-    whole = F.col("doc_order") > F.col("first_order")
-    if same_text:
-        whole = whole | ((F.col("doc_order") == F.col("first_order")) & (F.col("start") > F.col("first_start")))
-    marked = places.select(*row, "start", "n", whole.alias("whole"), "bits").where("whole or bits is not null")
-    bits = F.when(F.col("whole"), F.lit(None)).otherwise(F.col("bits")).alias("bits")
-    known = keys.where("key is null").select(*row, "start", "n", F.lit(None).cast("binary").alias("bits"))
-    marked = marked.select(*row, "start", "n", bits).unionByName(known)
-    marks = ws.save(marked.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
-    ws.drop("keys")
-    ws.drop("judged")
+    texts = rows.select(*row, "text")
+    if rows.where("repeated").isEmpty():
+        once = texts
+    else:
+        once = ws.save(texts.groupBy(*row).agg(F.first("text").alias("text")), "once")
+    runs = ws.save(once.mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int"), "anchors")
+    counted = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("doc_order").alias("low"), F.max("doc_order").alias("high"))
+    often = ws.save(counted.where("times > 1" if same_text else "low < high").select("anchor"), "often")
+    grouped = ws.save(runs.join(often, "anchor").groupBy(*row).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs")), "runs")
+    ws.drop("anchors", "often")
+    marked, used = [], []
+    for level in range(len(units.grams)):
+        keys = ws.save(once.join(grouped, row).mapInArrow(_keys(units, level), KEYS), f"keys-{level}")
+        ws.drop("runs" if level == 0 else f"again-{level}")
+        places = F.col("places")
+        folded = keys.groupBy("anchor", "key").agg(F.min(places[0]).alias("first"), F.max(F.element_at(places, -1)).alias("last"), F.max("n").alias("n"))
+        folded = ws.save(folded, f"folded-{level}")
+        crowded = None
+        if units.grams[level] < units.window:
+            crowded = ws.save(folded.groupBy("anchor").count().where(F.col("count") > PART).select("anchor"), f"crowded-{level}")
+            crowded = None if crowded.isEmpty() else crowded
+        few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
+        both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("first").alias("at")), F.struct(F.lit(1).alias("which"), F.col("last").alias("at")))).alias("x")
+        stand = few.select("anchor", "key", "n", "first", both).where((F.col("x.which") == 0) | _later(F.col("x.at"), (F.col("first.doc_order"), F.col("first.start")), same_text))
+        stand = stand.groupBy("x.at.doc_order", "x.at.row_id").agg(F.collect_list(F.struct("anchor", "key", "x.which", "x.at.start", "n")).alias("runs"))
+        bodies = once.join(ws.save(stand, f"stand-{level}"), row).mapInArrow(_bodies(units), SNIPPETS)
+        judged = bodies.repartition("anchor").sortWithinPartitions("anchor", "key", "which").mapInArrow(_resolved(resolve), JUDGED)
+        judged = ws.save(judged, f"judged-{level}")
+        ws.drop(f"stand-{level}", f"folded-{level}")
+        found = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
+        bits = F.when(_later(F.col("at"), (F.col("first_order"), F.col("first_start")), same_text), F.col("last_bits")).otherwise(F.col("first_bits")).alias("bits")
+        marked.append(found.select("at.doc_order", "at.row_id", "at.start", "n", bits).where("bits is not null"))
+        used += [f"keys-{level}", f"judged-{level}", f"crowded-{level}"]
+        if crowded is None:
+            break
+        again = keys.join(crowded, "anchor").select("n", F.explode("places").alias("at"))
+        grouped = ws.save(again.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("at.start", "n")).alias("runs")), f"again-{level + 1}")
+    found = marked[0]
+    for more in marked[1:]:
+        found = found.unionByName(more)
+    marks = ws.save(found.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
+    ws.drop("once", *used)
     return marks
 
 
 def keyed_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, doc_order, row_id, text, and the columns ``keep`` as a struct ``row`` if any."""
-    ids = docs.groupBy("doc_id").count().where("count > 1")
-    row_id = F.lit(0).cast("bigint") if ids.isEmpty() else F.xxhash64("text")
+    """doc_id, doc_order, row_id, text, whether any id stands on several rows, and the columns ``keep`` as a struct ``row`` if any."""
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    row_id = F.xxhash64("text") if repeated else F.lit(0).cast("bigint")
     order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     row = [F.struct(*keep).alias("row")] if keep else []
-    return docs.select("doc_id", order.alias("doc_order"), row_id.alias("row_id"), "text", *row)
+    return docs.select("doc_id", order.alias("doc_order"), row_id.alias("row_id"), F.lit(repeated).alias("repeated"), "text", *row)
 
 
 def covered_units(marks, n_units: int, window: int) -> np.ndarray:
-    """Boolean for each unit: under a marked window. marks: rows of (start, n, bits or None for all)."""
+    """Boolean for each unit: under a marked window. marks: rows of (start, n, bits)."""
     change = np.zeros(n_units + 1, dtype=np.int64)
     for m in marks:
         start, n, bits = m["start"], m["n"], m["bits"]
-        if bits is None:
-            change[start] += 1
-            change[start + n - 1 + window] -= 1
-        else:
-            at = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
-            np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
+        at = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+        np.add.at(change, at, 1)
+        np.add.at(change, at + window, -1)
     return np.cumsum(change[:-1]) > 0

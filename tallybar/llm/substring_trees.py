@@ -1,16 +1,18 @@
 """Word-level substring dedup by prefix-partitioned suffix trees.
 
 Every word under a window of ``WINDOW`` words whose sequence also starts in a document with a smaller id
-goes. ``repeats`` brings together the snippets whose windows may be equal. A task's suffixes (one for each
-window) are split by prefixes of variable length: a group of suffixes that share a prefix and exceed
-``GROUP`` is split by the next word, until each group fits in memory or its suffixes agree for the whole
-window. Small neighbouring groups are taken together. Each group becomes a suffix tree, built from its
-sorted suffixes and the lengths of adjacent common prefixes; its internal nodes of ``WINDOW`` words or more
-are the maximal repeats, and the suffixes under such a node are one class of equal windows.
+goes. The corpus' suffixes are split by prefixes of variable length, in two steps. ``repeats`` groups those
+that start at an anchor by a prefix of 12 words, splits groups of more than ``repeats.PART`` different
+snippets by prefixes of 30 and then 50 words, and sends each group to one task with the windows around its
+anchor. A task's suffixes (one for each window) are split again, by their own prefixes: a group of suffixes
+that share a prefix and exceed ``GROUP`` is split by the next word, until each group fits in memory or its
+suffixes agree for the whole window. Each group becomes a suffix tree, whose internal nodes are built from
+its sorted suffixes and the lengths of adjacent common prefixes. Nodes of ``WINDOW`` words or more are the
+maximal repeats, and the suffixes under such a node are one class of equal windows.
 
 Defined results: words are runs of non-space bytes, unchanged; a null text has none; a document shorter
 than the window keeps all; repeats inside one document stay; rows that share a document id are one document
-for this purpose (see ``repeats``).
+for this purpose (see ``repeats``); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textblocks as tb
-from .repeats import Units, covered_runs, covered_units, keyed_rows
+from .repeats import Units, covered_runs, covered_units, inside, keyed_rows
 from .workspace import Workspace
 
-WINDOW, GRAM = 50, 12
-WORDS = Units("words", WINDOW, GRAM)
+WINDOW = 50
+WORDS = Units("words", WINDOW, (12, 30, WINDOW))
 #: Suffixes that one tree holds at most, unless more agree for the whole window.
-GROUP = 200_000
+GROUP = 1 << 14
 
 
 def prefix_groups(text: np.ndarray, suffixes: np.ndarray, depth: int, limit: int = GROUP) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,16 +93,40 @@ def common_words(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
-    """First and end leaf of every topmost internal node of at least ``depth`` words: n x 2.
+class Tree:
+    """The internal nodes of the suffix tree over sorted suffixes; node 0 is the root.
 
-    A suffix tree's internal nodes are the maximal runs of leaves whose adjacent common prefixes do not fall
-    below the node's depth.
+    depth: words on the path from the root; first, end: the node's range of leaves; parent: a node's number.
     """
-    deep = np.append(common >= depth, False)
-    first = np.flatnonzero(deep & ~np.append(False, deep[:-1])) - 1
-    end = np.flatnonzero(~deep & np.append(False, deep[:-1]))
-    return np.stack([first, end], axis=1)
+
+    def __init__(self, common: np.ndarray):
+        """common: words that each suffix shares with the one before it."""
+        depth, first, end, parent = [0], [0], [len(common)], [-1]
+        path = [0]
+        for i, shared in enumerate(common[1:].tolist(), 1):
+            top = depth[path[-1]]
+            if shared == top:
+                continue
+            left, below = i - 1, -1
+            while top > shared:
+                below = path.pop()
+                end[below], left, top = i, first[below], depth[path[-1]]
+                parent[below] = path[-1]
+            if top < shared:
+                if below >= 0:
+                    parent[below] = len(depth)
+                path.append(len(depth))
+                depth.append(shared)
+                first.append(left)
+                end.append(len(common))
+                parent.append(path[-2])
+        self.depth, self.first, self.end, self.parent = (np.array(x, dtype=np.int64) for x in (depth, first, end, parent))
+
+    def deep_nodes(self, least: int) -> np.ndarray:
+        """First and end leaf of every topmost node of at least ``least`` words: n x 2."""
+        deep = self.depth >= least
+        top = np.flatnonzero(deep & ~deep[self.parent])
+        return np.stack([self.first[top], self.end[top]], axis=1)
 
 
 def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple[int, int]], window: int = WINDOW, limit: int = GROUP) -> np.ndarray:
@@ -111,14 +137,13 @@ def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple
     size = np.array([len(w) for w in words])
     first = np.cumsum(size) - size
     n = np.array(starts)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(first, n) + inside
+    at = np.repeat(first, n) + inside(n)
     doc = np.zeros(len(text), dtype=np.int64)
     doc[at] = np.repeat(np.array([p[0] for p in places], dtype=np.int64), n)
     out = np.zeros(len(text), dtype=bool)
     for shared, part in prefix_groups(text, at, window, limit):
         array = sorted_suffixes(text, part.copy(), shared, window)
-        for a, b in deep_nodes(common_words(text, array, window), window).tolist():
+        for a, b in Tree(common_words(text, array, window)).deep_nodes(window).tolist():
             leaves = array[a:b]
             out[leaves] = doc[leaves] > doc[leaves].min()
     return out[at]

@@ -10,7 +10,8 @@ there. Common prefixes of adjacent suffixes then give the classes of equal windo
 but the earliest place are covered.
 
 Defined results: matches never cross documents; a null text is empty; a document shorter than the window
-keeps all; rows that share a document id are one document in the order of places (see ``repeats``). A cut
+keeps all; rows that share a document id are one document in the order of places, and rows equal in id and
+text one place (see ``repeats``); an empty table gives no rows; other columns are ignored. A cut
 may fall inside a character; ``drop_repeats``, which returns text, keeps such a character whole.
 """
 
@@ -26,26 +27,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
-from .repeats import Units, covered_runs, covered_units, keyed_rows
+from .repeats import Units, covered_runs, covered_units, inside, keyed_rows
 from .workspace import Workspace
 
-WINDOW, GRAM = 100, 24
-BYTES = Units("bytes", WINDOW, GRAM)
+WINDOW = 100
+BYTES = Units("bytes", WINDOW, (24, 60, WINDOW))
 
 
-def _words(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+def packed_words(padded: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as an ordered number."""
-    return np.lib.stride_tricks.sliding_window_view(padded, 8)[at].copy().view(">u8").ravel().astype(np.uint64)
+    n = len(padded) - 7
+    out, size = padded.astype(np.uint64), 1
+    while size < 8:
+        out = out[: len(out) - size] << np.uint64(8 * size) | out[size:]
+        size *= 2
+    return out
 
 
-def sort_directly(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def sort_directly(packed: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places sorted by the ``depth`` bytes from them (rounded up to eights); equal ones in any order."""
     if not len(at):
         return at
-    key = _words(padded, at)
+    key = packed[at]
     digest = tb.mix(key)
     for off in range(8, depth, 8):
-        digest = tb.mix(digest ^ _words(padded, at + off))
+        digest = tb.mix(digest ^ packed[at + off])
     order = np.argsort(key, kind="stable")
     at, key, digest = at[order], key[order], digest[order]
     group = np.cumsum(np.append(0, key[1:] != key[:-1]))
@@ -56,7 +62,7 @@ def sort_directly(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         todo = np.flatnonzero(mixed[np.cumsum(np.append(0, group[1:] != group[:-1]))])
         if not len(todo):
             break
-        key = _words(padded, at[todo] + off)
+        key = packed[at[todo] + off]
         order = np.lexsort((key, group[todo]))
         at[todo], digest[todo], key, old = at[todo][order], digest[todo][order], key[order], group[todo][order]
         new = np.zeros(len(group), dtype=np.int64)
@@ -68,13 +74,14 @@ def sort_directly(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The wanted places in suffix order, sorted by at least ``depth`` bytes, and the padded text.
+    """The wanted places in suffix order, sorted by at least ``depth`` bytes, and the packed text (``packed_words``).
 
     text: bytes above 0 with a 0 after each snippet; wanted: boolean for each byte. Every wanted suffix and
     the suffixes that its order is induced from take part.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(depth + 16, np.uint8)])
+    packed = packed_words(padded)
     # type B: the first byte that differs from this one is larger
     change = np.flatnonzero(padded[1 : n + 1] != padded[:n])
     after = np.searchsorted(change, np.arange(n))
@@ -88,7 +95,7 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.n
     np.add.at(reach, np.minimum(b_places[np.searchsorted(b_places, w)], n - 1) + 1, -1)
     used = np.cumsum(reach[:n]) > 0
     induced = used & ~smaller
-    direct = sort_directly(padded, np.flatnonzero(used & smaller), depth)
+    direct = sort_directly(packed, np.flatnonzero(used & smaller), depth)
     first = text[direct]
     cuts = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -112,15 +119,15 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> tuple[np.n
         for d in np.unique(heads).tolist():
             waiting[d].append(before[np.searchsorted(heads, d) : np.searchsorted(heads, d, "right")])
     array = np.concatenate(out) if out else np.empty(0, np.int64)
-    return array[wanted[array]], padded
+    return array[wanted[array]], packed
 
 
-def adjacent_prefixes(padded: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
+def adjacent_prefixes(packed: np.ndarray, array: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it, up to ``depth``; 0 for the first."""
     out = np.zeros(len(array), dtype=np.int64)
     live = np.arange(1, len(array))
     for off in range(0, depth, 8):
-        differs = _words(padded, array[live] + off) ^ _words(padded, array[live - 1] + off)
+        differs = packed[array[live] + off] ^ packed[array[live - 1] + off]
         same = differs == 0
         out[live[same]] = off + 8
         live, differs = live[~same], differs[~same]
@@ -145,17 +152,17 @@ def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple
     ranks = np.cumsum(present).astype(np.uint8)  # from 1, so 0 is free to end snippets
     text = np.where(body, ranks[raw], 0).astype(np.uint8)
     n = np.array(starts)
-    at = np.repeat(first, n) + _inside(n)
+    at = np.repeat(first, n) + inside(n)
     wanted = np.zeros(len(text), dtype=bool)
     wanted[at] = True
-    array, padded = suffix_array(text, wanted, window)
-    head = adjacent_prefixes(padded, array, window) < window
+    array, packed = suffix_array(text, wanted, window)
+    head = adjacent_prefixes(packed, array, window) < window
     number = np.zeros(len(text), dtype=np.int64)
     number[at] = np.arange(len(at))
     order = number[array]
     docs, rank = np.unique(np.array([p[0] for p in places], dtype=np.int64), return_inverse=True)
     begin = np.array([p[1] for p in places], dtype=np.int64)
-    place = (np.repeat(rank, n) << 40) | (np.repeat(begin, n) + _inside(n))
+    place = (np.repeat(rank, n) << 40) | (np.repeat(begin, n) + inside(n))
     low = np.minimum.reduceat(place[order], np.flatnonzero(head)) if len(order) else place[:0]
     out = np.zeros(len(at), dtype=bool)
     out[order] = place[order] > low[np.cumsum(head) - 1]
@@ -210,10 +217,9 @@ def drop_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     A document of which nothing is left goes; one that was empty before stays.
     """
-    rows = keyed_rows(docs)
+    rows = keyed_rows(docs, tuple(docs.columns))
     marks = covered_runs(rows, BYTES, covered_windows, True, ws)
-    whole = keyed_rows(docs, tuple(docs.columns)).drop("doc_id", "text")
-    joined = whole.join(marks, ["doc_order", "row_id"], "left").select("row", "marks")
+    joined = rows.drop("doc_id", "text", "repeated").join(marks, ["doc_order", "row_id"], "left").select("row", "marks")
     schema = T.StructType([T.StructField("row", joined.schema["row"].dataType), T.StructField("kept_text", T.StringType())])
     cleaned = joined.mapInArrow(_clean, schema)
     cleaned = cleaned.where("kept_text is null or kept_text <> '' or row.text = ''")

@@ -74,6 +74,58 @@ def test_repeated_and_null_ids(spark):
     assert got == expected(brute.word_repeats(docs))
 
 
+@pytest.mark.parametrize("remove,plain", [(suffix_array.remove_repeats, brute.byte_repeats), (substring_trees.remove_repeats, brute.word_repeats)])
+def test_many_equal_rows_are_one_place(spark, remove, plain, monkeypatch):
+    text = " ".join(words(random.Random(21), 400))
+    save, sizes = Workspace.save, {}
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name.startswith("keys"):
+            sizes.setdefault(n, []).append((out.count(), out.selectExpr("sum(size(places))").first()[0]))
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    for n in (25, 100, 1000):
+        docs = [(1, text)] * n + [(2, text), (3, "new " + text)]
+        got = rows(remove(frame(spark, docs, 3), Workspace(spark, "t")))
+        assert got[-2:] == rows_of(plain, docs)[-2:] and len(got) == n + 2 and got[0] == got[n - 1]
+    assert sizes[25][0][1] == sizes[100][0][1] == sizes[1000][0][1]
+
+
+def rows_of(plain, docs):
+    return expected(plain(docs[:1] + docs[-2:]))
+
+
+def test_equal_rows_in_the_pipeline_stage(spark):
+    text = " ".join(words(random.Random(22), 60))
+    left = suffix_array.drop_repeats(frame(spark, [(4, text)] * 50 + [(5, text + " tail of it")], 3), Workspace(spark, "t")).collect()
+    assert sorted(r.doc_id for r in left) == [4] * 50 + [5] and {r.text for r in left if r.doc_id == 4} == {text}
+
+
+def test_extra_columns_with_clashing_names(spark, docs):
+    few = [d for d in docs if d[0] != 63][:40]
+    df = spark.createDataFrame([(d, t, "x", "y", "z", 1, 2, 0.5, 3, "s", 4) for d, t in few], CLASH)
+    assert rows(suffix_array.remove_repeats(df, Workspace(spark, "t"))) == expected(brute.byte_repeats(few))
+    assert rows(substring_trees.remove_repeats(df, Workspace(spark, "t"))) == expected(brute.word_repeats(few))
+    assert suffix_array.drop_repeats(df, Workspace(spark, "t")).columns == df.columns
+
+
+def test_one_passage_in_many_different_texts(spark, monkeypatch):
+    rng, passage = random.Random(23), " ".join(words(random.Random(24), 70))
+    docs = [(i, f"{rng.random()} {rng.random()} {passage} {rng.random()}") for i in range(120)]
+    monkeypatch.setattr(repeats, "PART", 10)
+    assert rows(suffix_array.remove_repeats(frame(spark, docs), Workspace(spark, "t"))) == expected(brute.byte_repeats(docs))
+    assert rows(substring_trees.remove_repeats(frame(spark, docs), Workspace(spark, "t"))) == expected(brute.word_repeats(docs))
+
+
+def test_a_long_text(spark):
+    rng = random.Random(25)
+    long = " ".join(words(rng, 60_000))
+    got = rows(suffix_array.remove_repeats(frame(spark, [(1, long), (2, long[1000:]), (3, long[-300:] + "!")], 3), Workspace(spark, "t")))
+    assert [r[1:4] for r in got] == [(len(long.encode()), 0, 0), (len(long[1000:].encode()),) * 2 + (1,), (len(long[-300:].encode()) + 1, len(long[-300:].encode()), 1)]
+
+
 def test_empty_table(spark):
     none = frame(spark, [])
     assert suffix_array.remove_repeats(none, Workspace(spark, "t")).count() == 0
@@ -93,10 +145,10 @@ def test_two_stage_order():
         for p in pieces:
             wanted[at : at + len(p) - depth + 1] = True
             at += len(p) + 1
-        array, padded = suffix_array.suffix_array(text, wanted, depth)
-        keys = [padded[i : i + depth].tobytes() for i in array]
+        array, packed = suffix_array.suffix_array(text, wanted, depth)
+        keys = [text[i : i + depth].tobytes() for i in array]
         assert sorted(array) == np.flatnonzero(wanted).tolist() and keys == sorted(keys)
-        lengths = suffix_array.adjacent_prefixes(padded, array, depth)
+        lengths = suffix_array.adjacent_prefixes(packed, array, depth)
         for a, b, n in zip(keys, keys[1:], lengths[1:]):
             assert n == next((i for i in range(depth) if a[i] != b[i]), depth)
 
@@ -111,6 +163,40 @@ def test_small_tree_groups():
     assert (whole == substring_trees.covered_windows(snippets, starts, places, 8, 4)).all() and whole.any() and not whole.all()
 
 
+def test_groups_have_prefixes_of_several_lengths():
+    rng = np.random.default_rng(6)
+    text = rng.choice(4, 3000, p=[0.7, 0.1, 0.1, 0.1]).astype(np.uint32)
+    text[500:900] = 0
+    groups = list(substring_trees.prefix_groups(text, np.arange(2900), 20, 50))
+    assert len(groups) > 10 and len({shared for shared, _ in groups}) > 3
+    assert sorted(x for _, part in groups for x in part.tolist()) == list(range(2900))
+    for shared, part in groups:
+        assert len(part) <= 50 or shared == 20
+        assert len({text[x : x + shared].tobytes() for x in part}) == 1
+
+
+def test_tree_nodes():
+    rng = random.Random(3)
+    for _ in range(100):
+        keys = sorted(tuple(rng.randrange(2) for _ in range(6)) for _ in range(rng.randint(1, 30)))
+        common = np.array([0] + [next((i for i in range(6) if a[i] != b[i]), 6) for a, b in zip(keys, keys[1:], strict=False)])
+        tree = substring_trees.Tree(common)
+        nodes = {(d, a, b) for d, a, b in zip(tree.depth.tolist(), tree.first.tolist(), tree.end.tolist(), strict=True)}
+        want = {(0, 0, len(keys))}
+        for a in range(len(keys)):
+            for b in range(a + 2, len(keys) + 1):
+                depth = int(common[a + 1 : b].min())
+                if common[a] < depth and (b == len(keys) or common[b] < depth):
+                    want.add((depth, a, b))
+        assert nodes == want
+        for i in range(1, len(tree.depth)):
+            p = tree.parent[i]
+            assert tree.depth[p] < tree.depth[i] and tree.first[p] <= tree.first[i] and tree.end[i] <= tree.end[p]
+        for least in range(1, 7):
+            deep = [(a, b) for d, a, b in want if d >= least]
+            assert sorted(map(tuple, tree.deep_nodes(least).tolist())) == sorted(x for x in deep if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in deep))
+
+
 def test_drop_repeats_keeps_characters(spark):
     text = "é" * 30 + " ".join(words(random.Random(7), 40))
     docs = [(1, "x" + text), (2, "yy" + text + "é tail"), (3, text), (4, ""), (5, None)]
