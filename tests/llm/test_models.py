@@ -7,7 +7,7 @@ import pytest
 from tallybar.llm import chat, embedding_dedup, packing, quality, queries, toxicity, url_filter
 from tallybar.llm.workspace import Workspace
 
-SMALL = "/root/testdata/sf0.01"
+SMALL, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def auc(score, y):
@@ -16,12 +16,12 @@ def auc(score, y):
     return ((a[:, None] > b).mean() + 0.5 * (a[:, None] == b).mean()).item()
 
 
-@pytest.mark.parametrize("name,label,least", [("op5_quality_classifier", "quality", 0.95), ("op4_toxicity", "toxic", 0.6)])
-def test_held_out(spark, name, label, least):
-    scored = queries.queries()[name](spark, SMALL)
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+@pytest.mark.parametrize("name,label,sf,least", [("op5_quality_classifier", "quality", SMALL, 0.95), ("op5_quality_classifier", "quality", LARGER, 0.95), ("op4_toxicity", "toxic", SMALL, 0.6), ("op4_toxicity", "toxic", LARGER, 0.9)])
+def test_held_out(spark, name, label, sf, least):
+    scored = queries.queries()[name](spark, sf).cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = scored.join(labels, "doc_id").where("held_out").collect()
-    assert scored.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert scored.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert auc([r.score for r in rows], [r[label] for r in rows]) >= least
 
