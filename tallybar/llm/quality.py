@@ -1,14 +1,18 @@
 """Quality classification by supervised subword embeddings.
 
-A document is the average of learned vectors of its words, of its byte 3- and 5-grams (over the whole text,
-spaces included), each hashed to one of ``BUCKETS`` rows, and of its word pairs, which count as a repetition
-or not; a softmax layer over the average gives the
-class. Vectors and layer are trained together by stochastic gradient descent in numpy on the driver, on a
+A document is the average of learned vectors of its words, its word pairs and its character 3- and 5-grams (over
+the whole text, spaces included), each hashed to one of ``BUCKETS`` rows; a softmax layer over the average gives
+the class. Vectors and layer are trained together by stochastic gradient descent in numpy on the driver, on a
 bounded sample (see ``labelled``). As only the difference of the two logits matters for two classes, a
 task scores with one number per bucket: the bucket's vector times that difference of the layer's rows.
 
+A document's gradient reaches each of its vectors with the share that the vector has in the average, which is
+tiny, so vectors move at a rate of their own: the layer's, times ``SPREAD`` and the square root of the number of
+the document's distinct features over that rate.
+
 Defined results: a null or empty text has no features and gets the layer's bias alone; without labelled
-rows of both classes every score is the class share (k + 1) / (n + 2). Other columns are no inputs.
+rows of both classes every score is the class share (k + 1) / (n + 2); rows that repeat are scored each on its
+own; an empty table gives no rows. Other columns are no inputs.
 """
 
 from __future__ import annotations
@@ -25,27 +29,25 @@ from pyspark.sql import types as T
 from . import textblocks as tb
 from .labelled import fitting_sample, held_out
 
-BITS, DIM, EPOCHS, RATE = 17, 12, 6, 0.4
+BITS, DIM, EPOCHS, RATE, SPREAD = 17, 12, 8, 0.4, 24
 BUCKETS = 1 << BITS
 GRAMS = (3, 5)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and rows of the words and of each size of byte n-gram."""
+    """Buckets and rows of the words, of the word pairs and of each size of character n-gram."""
     shift = np.uint64(64 - BITS)
     starts, ends, rows = tb.tokens(data, offsets, tb.word_table("space"))
     prefix = tb.prefix_hash(tb.BYTE_VALUES[data])
     words = tb.span_hash(prefix, starts, ends)
     out = [((words >> shift).astype(np.int32), rows)]
     pair = np.flatnonzero(rows[1:] == rows[:-1])
-    twice = words[pair] == words[pair + 1]
-    out.append((np.where(twice, 0, 1).astype(np.int32), rows[pair]))
-    length = np.diff(offsets)
-    owner = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    out.append(((tb.mix(words[pair] * np.uint64(3) + words[pair + 1]) >> shift).astype(np.int32), rows[pair]))
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # each character's first byte
+    owner = np.searchsorted(offsets, first[:-1], "right") - 1
     for n in GRAMS:
-        h = tb.gram_hash(prefix, n)
-        inside = owner[: len(h)] == owner[n - 1 : n - 1 + len(h)]
-        out.append(((tb.mix(h[inside]) >> shift).astype(np.int32), owner[: len(h)][inside]))
+        at = np.flatnonzero(owner[: max(len(owner) - n + 1, 0)] == owner[n - 1 :])
+        out.append(((tb.mix(tb.span_hash(prefix, first[at], first[at + n])) >> shift).astype(np.int32), owner[at]))
     return out
 
 
@@ -78,7 +80,7 @@ def train(sample: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, flo
             back = p @ layer
             layer -= rate * np.outer(p, mean)
             bias -= rate * np.float32(0.1) * p
-            vectors[ids] -= (rate * len(ids)) ** np.float32(0.5) * np.outer(share, back) * np.float32(8)
+            vectors[ids] -= np.float32(SPREAD) * (rate * len(ids)) ** np.float32(0.5) * np.outer(share, back)
             step += 1
     weights = vectors @ (layer[1] - layer[0])
     return weights.astype(np.float32), float(bias[1] - bias[0])
