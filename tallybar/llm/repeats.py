@@ -13,9 +13,9 @@ document, first start, number of starts): two rows for W - k + 2 units.
 3. Snippets that share an anchor meet in one task, which finds the classes of equal windows among them
    (``resolve``, by suffix array or suffix tree) and says of each window whether an earlier place holds it.
    Every other copy takes over what was found for the last one.
-4. An anchor with more than ``PART`` different snippets is not compared so: the windows of its runs are dealt
-   again by the next longer k-gram. The longest is the window itself, where at most two snippets meet. So no
-   anchor, however common, gathers an unbounded group.
+4. An anchor with more than ``PART`` different snippets is not compared so: the windows of its snippets are
+   dealt again by the next longer k-gram. The longest is the window itself, where at most two snippets meet. So
+   no anchor, however common, gathers an unbounded group.
 5. What was found returns to the documents as covered runs of units.
 
 A place is (document, start). Rows equal in document id and text are one place, so neither stands earlier
@@ -38,7 +38,7 @@ from . import textblocks as tb
 from .workspace import Workspace
 
 #: Different snippets of one anchor up to which they are compared in one task.
-PART = 2_000
+PART = 4_000
 #: Snippet text that a task compares at once, if a single anchor does not need more.
 STEP_BYTES = 1 << 20
 _U = np.uint64
@@ -122,11 +122,20 @@ def _again(values: np.ndarray, at: np.ndarray, n: np.ndarray, window: int, gram:
     return h.view(np.int64), src, skip, m
 
 
-KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>"
+_PLACE = "doc_order: bigint, start: int, row_id: bigint"
+_OWNER = "of_anchor: bigint, of_key: bigint, which: int, skip: int"
+
+
+def _key_fields(level: int) -> str:
+    """Of a snippet's places in a batch; of a part of a snippet also the snippet and where in it the part begins."""
+    return f"anchor bigint, key bigint, n int, places array<struct<{_PLACE}{', ' + _OWNER if level else ''}>>"
 
 
 def _keys(units: Units, level: int):
-    """Texts and their runs to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order."""
+    """Texts and their runs to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order.
+
+    runs: (start, n, anchor), or above level 0 (start, n, of_anchor, of_key, which), to be dealt by the level's gram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.each(batches):
@@ -134,28 +143,31 @@ def _keys(units: Units, level: int):
             data, offsets = tb.byte_column(batch.column("text"))
             if not batch.num_rows:
                 continue
-            fields, ends = _run_fields(batch, "runs", 2 if level else 3)
+            fields, ends = _run_fields(batch, "runs", 5 if level else 3)
             out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in tb.row_blocks(offsets):
                 raw = data[offsets[lo] : offsets[hi]]
                 values, cut, first, _ = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
                 start, n, *known = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
                 doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
+                owner = []
                 if level:
                     anchor, src, skip, n = _again(values, cut[doc - lo] + start, n, units.window, units.grams[level])
-                    doc, start = doc[src], start[src] + skip
+                    doc, start, owner = doc[src], start[src] + skip, [*(x[src] for x in known), skip]
                 else:
                     anchor = known[0]
                 at = cut[doc - lo] + start
                 body, width = memoryview((raw if first is None else values).tobytes()), 1 if first is None else 8
                 spans = zip((at * width).tolist(), ((at + n - 1 + units.window) * width).tolist(), strict=True)
                 key = np.array([xxhash.xxh3_64_intdigest(body[x:y]) for x, y in spans], dtype=np.uint64).view(np.int64)
-                out.append((anchor, key, n, orders[doc], start, ids[doc]))
-            anchor, key, n, order, start, row = (np.concatenate(c) for c in zip(*out, strict=True))
+                out.append((anchor, key, n, orders[doc], start, ids[doc], *owner))
+            anchor, key, n, order, start, row, *owner = (np.concatenate(c) for c in zip(*out, strict=True))
             by = np.lexsort((row, start, order, key, anchor))
             anchor, key = anchor[by], key[by]
             head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))) if len(by) else by
-            struct = pa.StructArray.from_arrays([pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(row[by])], ["doc_order", "start", "row_id"])
+            columns = [order, start.astype(np.int32), row] + ([owner[0], owner[1], owner[2].astype(np.int32), owner[3].astype(np.int32)] if level else [])
+            names = [f.split(":")[0] for f in f"{_PLACE}, {_OWNER}".split(", ")][: len(columns)]
+            struct = pa.StructArray.from_arrays([pa.array(c[by]) for c in columns], names)
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
             yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places], ["anchor", "key", "n", "places"])
 
@@ -230,12 +242,88 @@ def _resolved(resolve: Callable):
     return run
 
 
+def _rejoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What was found for the parts of snippets, as bits of the snippets."""
+    for batch in tb.each(batches):
+        first_bits, last_bits = [], []
+        for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            gone = np.zeros((2, n), dtype=bool)
+            for p in parts:
+                gone[p["which"], p["skip"] : p["skip"] + p["n"]] |= np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["n"]).astype(bool)
+            for out, bits in zip((first_bits, last_bits), gone, strict=True):
+                out.append(np.packbits(bits).tobytes() if bits.any() else None)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor", "key", "first_order", "first_start")), pa.array(first_bits, pa.binary()), pa.array(last_bits, pa.binary())], [f.split()[0] for f in JUDGED.split(", ")])
+
+
 def _later(place: Column, first: tuple[Column, Column], same_text: bool) -> Column:
     """Whether a place is later than the first one in the sense that counts."""
     later = place["doc_order"] > first[0]
     return later | ((place["doc_order"] == first[0]) & (place["start"] > first[1])) if same_text else later
 
 
+@dataclass(frozen=True)
+class _Search:
+    """Texts (doc_order, row_id, text; each place once) and how they are compared."""
+
+    texts: DataFrame
+    units: Units
+    resolve: Callable
+    same_text: bool
+    ws: Workspace
+
+    def runs_of(self, stand: DataFrame, *fields: str) -> DataFrame:
+        """Snippets (at, and the fields) gathered by their text."""
+        return stand.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct(*fields)).alias("runs"))
+
+    def folded(self, keys: DataFrame, level: int) -> DataFrame:
+        """anchor, key, n and the first and last place of each snippet."""
+        place = lambda x: F.struct(x["doc_order"], x["start"], x["row_id"])
+        first, last = place(F.col("places")[0]), place(F.element_at("places", -1))
+        return self.ws.save(keys.groupBy("anchor", "key").agg(F.min(first).alias("first"), F.max(last).alias("last"), F.max("n").alias("n")), f"folded-{level}")
+
+    def found(self, keys: DataFrame, judged: DataFrame) -> DataFrame:
+        """n, at (a place of a snippet) and the bits of its covered windows."""
+        places = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
+        bits = F.when(_later(F.col("at"), (F.col("first_order"), F.col("first_start")), self.same_text), F.col("last_bits")).otherwise(F.col("first_bits"))
+        return places.select("n", "at", bits.alias("bits")).where("bits is not null")
+
+    def judged(self, keys: DataFrame, level: int = 0) -> DataFrame:
+        """For each snippet with covered windows its first place, and the bits of the first and the last."""
+        ws, row = self.ws, ["doc_order", "row_id"]
+        folded = self.folded(keys, level)
+        crowded = None
+        if self.units.grams[level] < self.units.window:
+            crowded = ws.save(folded.groupBy("anchor").count().where(F.col("count") > PART).select("anchor"), f"crowded-{level}")
+            crowded = None if crowded.isEmpty() else crowded
+        few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
+        out = ws.save(self._compared(few, level), f"judged-{level}")
+        if crowded is not None:
+            many = folded.join(crowded, "anchor")
+            runs = ws.save(self.runs_of(self._both(many), "at.start", "n", F.col("anchor").alias("of_anchor"), F.col("key").alias("of_key"), "which"), f"again-{level}")
+            parts = ws.save(self.texts.join(runs, row).mapInArrow(_keys(self.units, level + 1), _key_fields(level + 1)), f"keys-{level + 1}")
+            ws.drop(f"again-{level}")
+            found = self.found(parts, self.judged(parts, level + 1))
+            found = found.groupBy(F.col("at.of_anchor").alias("anchor"), F.col("at.of_key").alias("key")).agg(F.collect_list(F.struct("at.which", "at.skip", "n", "bits")).alias("parts"))
+            whole = many.select("anchor", "key", "n", F.col("first.doc_order").alias("first_order"), F.col("first.start").cast("bigint").alias("first_start"))
+            more = ws.save(found.join(whole, ["anchor", "key"]).mapInArrow(_rejoined, JUDGED), f"rejoined-{level}")
+            ws.drop(f"keys-{level + 1}", f"judged-{level + 1}", f"rejoined-{level + 1}")
+            out = out.unionByName(more)
+        ws.drop(f"folded-{level}", f"crowded-{level}")
+        return out
+
+    def _both(self, folded: DataFrame) -> DataFrame:
+        """anchor, key, n, which and at: the first place of each snippet, and the last if it is later in the sense that counts."""
+        at = [F.struct(F.lit(i).alias("which"), F.col(c).alias("at")) for i, c in enumerate(("first", "last"))]
+        both = folded.select("anchor", "key", "n", "first", F.explode(F.array(*at)).alias("x"))
+        both = both.where((F.col("x.which") == 0) | _later(F.col("x.at"), (F.col("first.doc_order"), F.col("first.start")), self.same_text))
+        return both.select("anchor", "key", "n", "x.which", "x.at")
+
+    def _compared(self, folded: DataFrame, level: int) -> DataFrame:
+        runs = self.ws.save(self.runs_of(self._both(folded), "anchor", "key", "which", "at.start", "n"), f"stand-{level}")
+        bodies = self.texts.join(runs, ["doc_order", "row_id"]).mapInArrow(_bodies(self.units), SNIPPETS)
+        return bodies.repartition("anchor").sortWithinPartitions("anchor", "key", "which").mapInArrow(_resolved(self.resolve), JUDGED)
+
+
 def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bool, ws: Workspace) -> DataFrame:
     """doc_order, row_id and marks (array of (start, n, bits)) of the windows that an earlier place holds.
 
@@ -245,47 +333,19 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
     """
     row = ["doc_order", "row_id"]
     texts = rows.select(*row, "text")
-    if rows.where("repeated").isEmpty():
-        once = texts
-    else:
-        once = ws.save(texts.groupBy(*row).agg(F.first("text").alias("text")), "once")
-    runs = ws.save(once.mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int"), "anchors")
+    if not rows.where("repeated").isEmpty():
+        texts = ws.save(texts.groupBy(*row).agg(F.first("text").alias("text")), "once")
+    search = _Search(texts, units, resolve, same_text, ws)
+    runs = ws.save(texts.mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int"), "anchors")
     counted = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("doc_order").alias("low"), F.max("doc_order").alias("high"))
     often = ws.save(counted.where("times > 1" if same_text else "low < high").select("anchor"), "often")
     grouped = ws.save(runs.join(often, "anchor").groupBy(*row).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs")), "runs")
     ws.drop("anchors", "often")
-    marked, used = [], []
-    for level in range(len(units.grams)):
-        keys = ws.save(once.join(grouped, row).mapInArrow(_keys(units, level), KEYS), f"keys-{level}")
-        ws.drop("runs" if level == 0 else f"again-{level}")
-        places = F.col("places")
-        folded = keys.groupBy("anchor", "key").agg(F.min(places[0]).alias("first"), F.max(F.element_at(places, -1)).alias("last"), F.max("n").alias("n"))
-        folded = ws.save(folded, f"folded-{level}")
-        crowded = None
-        if units.grams[level] < units.window:
-            crowded = ws.save(folded.groupBy("anchor").count().where(F.col("count") > PART).select("anchor"), f"crowded-{level}")
-            crowded = None if crowded.isEmpty() else crowded
-        few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
-        both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("first").alias("at")), F.struct(F.lit(1).alias("which"), F.col("last").alias("at")))).alias("x")
-        stand = few.select("anchor", "key", "n", "first", both).where((F.col("x.which") == 0) | _later(F.col("x.at"), (F.col("first.doc_order"), F.col("first.start")), same_text))
-        stand = stand.groupBy("x.at.doc_order", "x.at.row_id").agg(F.collect_list(F.struct("anchor", "key", "x.which", "x.at.start", "n")).alias("runs"))
-        bodies = once.join(ws.save(stand, f"stand-{level}"), row).mapInArrow(_bodies(units), SNIPPETS)
-        judged = bodies.repartition("anchor").sortWithinPartitions("anchor", "key", "which").mapInArrow(_resolved(resolve), JUDGED)
-        judged = ws.save(judged, f"judged-{level}")
-        ws.drop(f"stand-{level}", f"folded-{level}")
-        found = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
-        bits = F.when(_later(F.col("at"), (F.col("first_order"), F.col("first_start")), same_text), F.col("last_bits")).otherwise(F.col("first_bits")).alias("bits")
-        marked.append(found.select("at.doc_order", "at.row_id", "at.start", "n", bits).where("bits is not null"))
-        used += [f"keys-{level}", f"judged-{level}", f"crowded-{level}"]
-        if crowded is None:
-            break
-        again = keys.join(crowded, "anchor").select("n", F.explode("places").alias("at"))
-        grouped = ws.save(again.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("at.start", "n")).alias("runs")), f"again-{level + 1}")
-    found = marked[0]
-    for more in marked[1:]:
-        found = found.unionByName(more)
-    marks = ws.save(found.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
-    ws.drop("once", *used)
+    keys = ws.save(texts.join(grouped, row).mapInArrow(_keys(units, 0), _key_fields(0)), "keys-0")
+    ws.drop("runs")
+    found = search.found(keys, search.judged(keys))
+    marks = ws.save(found.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("at.start", "n", "bits")).alias("marks")), "marks")
+    ws.drop("once", "keys-0", "judged-0", "rejoined-0", "stand-0", "stand-1", "stand-2")
     return marks
 
 
@@ -298,12 +358,13 @@ def keyed_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", order.alias("doc_order"), row_id.alias("row_id"), F.lit(repeated).alias("repeated"), "text", *row)
 
 
-def covered_units(marks, n_units: int, window: int) -> np.ndarray:
-    """Boolean for each unit: under a marked window. marks: rows of (start, n, bits)."""
-    change = np.zeros(n_units + 1, dtype=np.int64)
-    for m in marks:
-        start, n, bits = m["start"], m["n"], m["bits"]
-        at = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
-        np.add.at(change, at, 1)
-        np.add.at(change, at + window, -1)
+def covered_units(marks: pa.Array, offsets: np.ndarray, window: int) -> np.ndarray:
+    """Boolean for each unit of some texts: under a marked window. marks: a list of (start, n, bits) or null for each text."""
+    lengths, flat = marks.value_lengths().fill_null(0).to_numpy(), marks.flatten()
+    bits, cut = tb.byte_column(flat.field("bits"))
+    ones = np.flatnonzero(np.unpackbits(bits))
+    mark = np.searchsorted(cut * 8, ones, "right") - 1
+    base = np.repeat(offsets[:-1], lengths) + flat.field("start").to_numpy()
+    at = base[mark] + ones - cut[mark] * 8
+    change = np.bincount(at, minlength=offsets[-1] + 1) - np.bincount(at + window, minlength=offsets[-1] + 1)
     return np.cumsum(change[:-1]) > 0

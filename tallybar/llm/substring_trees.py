@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -152,14 +153,14 @@ def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
-        out: list[list] = [[], [], []]
-        for i, marks in enumerate(batch.column("marks")):
-            words = data[offsets[i] : offsets[i + 1]].tobytes().split()
-            gone = covered_units(marks.as_py() or (), len(words), WINDOW)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            for column, x in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest()), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for lo, hi in tb.row_blocks(offsets):
+            words = [data[a:b].tobytes().split() for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
+            n = np.array([len(w) for w in words])
+            cut = np.append(0, np.cumsum(n))
+            gone = covered_units(batch.column("marks").slice(lo, hi - lo), cut, WINDOW)
+            removed = np.diff(np.append(0, np.cumsum(gone))[cut])
+            kept = [compress(w, ~gone[a:b]) if r else w for w, a, b, r in zip(words, cut.tolist(), cut[1:].tolist(), removed.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in kept])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:

@@ -176,14 +176,16 @@ def _inside(n: np.ndarray) -> np.ndarray:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
-        out: list[list] = [[], [], [], []]
-        for i, marks in enumerate(batch.column("marks")):
-            body = data[offsets[i] : offsets[i + 1]]
-            gone = covered_units(marks.as_py() or (), len(body), WINDOW)
-            runs = int(np.count_nonzero(gone & ~np.append(False, gone[:-1]))) if len(gone) else 0
-            for column, x in zip(out, (len(body), int(gone.sum()), runs, hashlib.sha256(body[~gone].tobytes()).hexdigest()), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for lo, hi in tb.row_blocks(offsets):
+            body, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            gone = covered_units(batch.column("marks").slice(lo, hi - lo), cut, WINDOW)
+            head = gone.copy()
+            head[1:] &= ~gone[:-1]
+            head[cut[:-1][np.diff(cut) > 0]] = gone[cut[:-1][np.diff(cut) > 0]]
+            removed, runs = (np.diff(np.append(0, np.cumsum(x))[cut]) for x in (gone, head))
+            kept, at = body[~gone].tobytes(), cut - np.append(0, np.cumsum(gone))[cut]
+            digest = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in (np.diff(cut), removed, runs)), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -198,18 +200,15 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.text_column(batch)
         texts = tb.text_array(batch)
-        out = []
-        for i, marks in enumerate(batch.column("marks")):
-            if not marks.is_valid or not texts[i].is_valid:
-                out.append(texts[i].as_py())
-                continue
-            body = data[offsets[i] : offsets[i + 1]]
-            gone = covered_units(marks.as_py(), len(body), WINDOW)
-            head = (body & 0xC0) != 0x80
-            char = np.cumsum(head) - 1
-            whole = np.bincount(char, gone) == np.bincount(char)  # every byte of the character goes
-            out.append(body[~whole[char]].tobytes().decode())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "kept_text"])
+        for lo, hi in tb.row_blocks(offsets):
+            body, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            gone = covered_units(batch.column("marks").slice(lo, hi - lo), cut, WINDOW)
+            char = np.cumsum((body & 0xC0) != 0x80) - 1
+            whole = np.bincount(char, gone) == np.bincount(char) if len(char) else gone  # every byte of the character goes
+            gone = whole[char] if len(char) else gone
+            kept, at = body[~gone].tobytes(), (cut - np.append(0, np.cumsum(gone))[cut]).tolist()
+            out = [kept[a:b].decode() if ok else None for a, b, ok in zip(at, at[1:], texts.slice(lo, hi - lo).is_valid().to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(out, pa.string())], ["row", "kept_text"])
 
 
 def drop_repeats(docs: DataFrame, ws: Workspace) -> DataFrame:
