@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 Equal vectors are folded first: one node stands for all rows with the same components, with their number.
-Nodes are dealt into blocks, packed into one row a block, and every pair of blocks is a tile. In a tile the
+Nodes are dealt into large blocks, each packed into rows of ``PACK`` nodes, and every pair of blocks is a tile: a
+block goes to as many tiles as there are blocks, so the larger the blocks, the less is shuffled. In a tile the
 unit vectors' int8 codes q (u = s q + e, s the vector's own scale) are multiplied; as |e| is known,
 s_i s_j q_i.q_j differs from the cosine by at most |e_i| + |e_j| + |e_i||e_j|. Pairs below the threshold even
 with that much added are dropped, pairs above it with that much taken off are linked, and only the rest is
@@ -13,7 +14,8 @@ index is in 64 dimensions; tiles bound the memory and spread it over tasks of eq
 
 Defined results: a row without an id links with nothing; a vector that is null, empty, zero, or holds a null or non-finite component links with
 nothing and is its own component; vectors of different lengths never link; equal vectors link; rows that
-share a vec_id are one node, with the links of all its vectors. Other columns are ignored.
+share a vec_id are one node, with the links of all its vectors; an empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textblocks as tb
 from .components import connected_components
 from .workspace import Workspace
 
-#: Nodes a block on average, and the side of the products inside a tile.
-BLOCK, SIDE = 3000, 1000
+#: Nodes a block on average, the fewest that a block is made of, nodes a packed row, and the side of the products inside a tile.
+BLOCK, LEAST, PACK, SIDE = 40_000, 2_000, 10_000, 1_000
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,32 +81,45 @@ def forest(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nd
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's components as bytes, null where it can link with nothing."""
     for batch in batches:
-        ids, out = batch.column("vec_id"), []
-        for v in batch.column("embedding"):
-            x = None
-            if v.is_valid and len(v.values) and not v.values.null_count:
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                x = (x + 0.0).tobytes() if np.isfinite(x).all() and x.any() else None  # -0.0 becomes 0.0
-            out.append(x)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.binary())], ["vec_id", "key"])
+        vectors = batch.column("embedding")
+        size = vectors.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        flat = vectors.flatten()
+        x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # a null is NaN, and -0.0 becomes 0.0
+        cut = np.append(0, np.cumsum(size))
+        bad, some = (np.append(0, np.cumsum(f))[cut] for f in (~np.isfinite(x), x != 0))
+        usable = (np.diff(bad) == 0) & (np.diff(some) > 0)
+        keys = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((cut * 8).astype(np.int32)), pa.py_buffer(x)])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pc.if_else(pa.array(usable), keys, pa.scalar(None, pa.binary()))], ["vec_id", "key"])
+
+
+_PACKED = "part bigint, dims int, blocks int, block int, nums binary, nodes binary, sizes binary, vectors binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block from rows sorted by block: node numbers and ids, numbers of rows, vectors."""
-    block, held = None, []
+    """Rows of at most about ``PACK`` nodes of one block, from rows sorted by block: node numbers and ids, numbers of rows, vectors."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    block, held, n = None, [], 0
 
     def row():
-        body = [np.concatenate([np.frombuffer(x, t) for x in p]).tobytes() if t else b"".join(p) for p, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.int64, None), strict=True)]
-        return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(block, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)), *(pa.array([x], pa.binary()) for x in body)], ["part", "dims", "blocks", "block", "nums", "nodes", "sizes", "vectors"])
+        body = [b"".join(parts) for parts in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(block, kinds, strict=True)), *(pa.array([x], pa.binary()) for x in body)], [f.split()[0] for f in _PACKED.split(", ")])
 
     for batch in batches:
-        for *at, num, node, size, key in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if at != block:
-                if held:
-                    yield row()
-                block, held = at, []
-            held.append((*(np.int64(x).tobytes() for x in (num, node, size)), key))
+        where = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+        numbers = [batch.column(i).to_numpy() for i in (4, 5, 6)]
+        data, cut = tb.byte_column(batch.column(7))
+        ends = np.append(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1, len(where)).tolist() if len(where) else []
+        lo = 0
+        for hi in ends:
+            at = tuple(where[lo].tolist())
+            if held and (at != block or n >= PACK):
+                yield row()
+                held, n = [], 0
+            block = at
+            held.append((*(x[lo:hi].tobytes() for x in numbers), data[cut[lo] : cut[hi]].tobytes()))
+            n, lo = n + hi - lo, hi
     if held:
         yield row()
 
@@ -132,16 +149,20 @@ def _tiles(threshold: float):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (nums, nodes, low, links)], ["num", "u", "v", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, tile = None, None
+        # a tile's rows come with the smaller block's first; those stay, and each later row meets them once
+        tile, left = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                part = unpacked(row[4:])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                part = unpacked(row[5:])
                 if row[:4] != tile:
-                    tile, left = row[:4], part
-                    if row[2] == row[3]:
-                        yield from compared(part, part)
-                else:
-                    yield from compared(left, part)
+                    tile, left = row[:4], []
+                own, first = row[2] == row[3], row[4] == row[2]
+                for other in left if own or not first else ():
+                    yield from compared(other, part)
+                if own:
+                    yield from compared(part, part)
+                if first:
+                    left.append(part)
 
     return run
 
@@ -155,12 +176,12 @@ def _compared(nodes: DataFrame, n_tiles: int | None, ws: Workspace, name: str, t
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
     dealt = nodes.select("part", (F.length("key") / 8).cast("int").alias("dims"), "blocks", block, "num", "node", "size", "key")
     blocks = dealt.repartition("part", "dims", "block").sortWithinPartitions("part", "dims", "block")
-    blocks = ws.save(blocks.mapInArrow(_pack, "part bigint, dims int, blocks int, block int, nums binary, nodes binary, sizes binary, vectors binary"), f"{name}-blocks")
+    blocks = ws.save(blocks.mapInArrow(_pack, _PACKED), f"{name}-blocks")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = blocks.select("part", "dims", "block", "nums", "nodes", "sizes", "vectors", others)
-    tiles = tiles.select("part", "dims", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nums", "nodes", "sizes", "vectors")
+    tiles = tiles.select("part", "dims", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nums", "nodes", "sizes", "vectors")
     most = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.repartition(max(1, min(n_tiles or most, most)), "part", "dims", "i", "j").sortWithinPartitions("part", "dims", "i", "j")
+    tiles = tiles.repartition(max(1, min(n_tiles or most, most)), "part", "dims", "i", "j").sortWithinPartitions("part", "dims", "i", "j", "block")
     return ws.save(tiles.mapInArrow(_tiles(threshold), "num bigint, u bigint, v bigint, links bigint"), f"{name}-found")
 
 
@@ -173,7 +194,10 @@ def link_embeddings(vectors: DataFrame, ws: Workspace, threshold: float = 0.95)
     usable = keyed.where("key is not null and vec_id is not null")
     nodes = usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
     nodes = ws.save(nodes.withColumn("num", F.monotonically_increasing_id()), "nodes")
-    n_blocks = max(1, math.ceil(nodes.count() / BLOCK))
+    count = nodes.count()
+    # large blocks are copied less often; on few nodes there are more, so that all cores have a tile
+    wide = math.ceil(math.sqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    n_blocks = max(1, math.ceil(count / BLOCK), min(wide, math.ceil(count / LEAST)))
     whole = nodes.select(F.lit(0).cast("bigint").alias("part"), F.lit(n_blocks).alias("blocks"), "num", "node", "size", "key")
     found = _compared(whole, n_blocks * (n_blocks + 1) // 2, ws, "all", threshold)
     links = found.groupBy("num").agg(F.sum("links").alias("links"))
@@ -186,6 +210,7 @@ def link_embeddings(vectors: DataFrame, ws: Workspace, threshold: float = 0.95)
         mine = ws.save(mine.withColumn("num", F.monotonically_increasing_id()), "mine")
         edges = edges.unionByName(mine.join(nodes.select("key", "node"), "key").select(F.col("vec_id").alias("u"), F.col("node").alias("v")))
     parts = connected_components(edges, ws)
+    ws.drop("all-blocks")
     node = nodes.join(links, "num", "left").join(parts, "node", "left")
     node = ws.save(node.select("key", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "labelled")
     out = keyed.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("key"))).join(node, "key", "left")
