@@ -8,20 +8,22 @@ earliest point that counts, so two texts agree on a place with exactly the weigh
 sum(min) / sum(max), and weight w costs log(w) processes. The processes are followed only up to a time by
 which all places are expected to be filled; a text with an empty place is followed to twice the time.
 
-Equal texts are folded first. ``BANDS`` bands of ``ROWS`` places find candidates, which exact multiset overlap
+Equal texts are folded first, by a 128-bit cryptographic hash of their words. ``BANDS`` bands of ``ROWS`` places find candidates, which exact multiset overlap
 verifies. In each bucket of equal bands every text is first compared with the bucket's smallest document,
 never with all others. Buckets that then still hold several components are compared whole, in tiles: the
 bucket is cut into blocks of ``BLOCK`` shingles, a task gets two blocks, counts the common shingles of all
-pairs of different components by matrix products, and hands on a spanning forest of the links. So no link
-that the bands offer is lost, and no list of all pairs is ever made.
+pairs of different components by matrix products, and hands on a spanning forest of the links. Of buckets with
+the same members only one is compared. So no link that the bands offer is lost, and no list of all pairs is
+ever made.
 
-Defined results: a row without an id is a class of its own; words are runs of non-space bytes, compared as they are; a null or wordless text is a
-class of its own; texts with the same words in the same order are one class; a document id on several rows
-is one node. Other columns are ignored.
+Defined results: a row without an id is a class of its own; words are runs of non-space bytes, compared as they
+are; a null or wordless text is a class of its own; texts with the same words in the same order are one class; a
+document id on several rows is one node; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,19 +47,26 @@ BLOCK, CHUNK, FEW = 1 << 18, 1 << 12, 32
 _U = np.uint64
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes, their rows, and two hashes of each text's word sequence."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes and their rows."""
     n = len(offsets) - 1
     starts, ends, rows = tb.tokens(data, offsets, tb.word_table("space"))
     words = tb.token_hashes(data, starts, ends)
     base = np.searchsorted(rows, np.arange(n + 1))
-    prefix, other = tb.prefix_hash(words), tb.prefix_hash(tb.mix(words + _U(0xD1B54A32D192ED03)))
+    prefix = tb.prefix_hash(words)
     first = np.arange(len(words))
     last = first + SHINGLE <= base[rows + 1]
     whole = (first == base[rows]) & (base[rows + 1] - base[rows] < SHINGLE)
     at = np.flatnonzero(last | whole)
     end = np.minimum(at + SHINGLE, base[rows[at] + 1])
-    return tb.span_hash(prefix, at, end), rows[at], tb.span_hash(prefix, base[:-1], base[1:]), tb.span_hash(other, base[:-1], base[1:])
+    return tb.span_hash(prefix, at, end), rows[at]
+
+
+def text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The two halves of a hash of each text's words in order: n x 2."""
+    text, at = data.tobytes(), offsets.tolist()
+    digests = b"".join(hashlib.blake2b(b" ".join(text[a:b].split()), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def processes(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,13 +171,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         for lo, hi in tb.row_blocks(offsets, tb.BLOCK_BYTES // 2):
-            h, rows, k1, k2 = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            body, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            h, rows = shingles(body, cut)
+            keys = text_keys(body, cut)
             n = hi - lo
             count = np.bincount(rows, minlength=n)
             bands = band_hashes(signatures(h, rows, n))
             size = np.where(count > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(bands[count > 0].ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(count, pa.int64()), lists], ["doc_id", "k1", "k2", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(count, pa.int64()), lists], ["doc_id", "k1", "k2", "n_shingles", "bands"])
 
 
 def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +187,15 @@ def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         for lo, hi in tb.row_blocks(offsets):
-            keys = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[2:]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id")), *(pa.array(x.view(np.int64)) for x in keys)], ["row", "doc_id", "k1", "k2"])
+            keys = text_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc_id")), *(pa.array(keys[:, i].copy()) for i in (0, 1))], ["row", "doc_id", "k1", "k2"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
         for lo, hi in tb.row_blocks(offsets):
-            h, rows, _, _ = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            h, rows = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             h = h[np.lexsort((h, rows))]
             cut = np.searchsorted(rows, np.arange(hi - lo + 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "shingles"])
@@ -247,10 +258,10 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between components. left, right: (id, component, shingles); right None: left itself."""
+    """A spanning forest of the links between components, as pairs of components. left, right: (component, shingles); right None: left itself."""
     other = left if right is None else right
-    ids, parts, sets = zip(*left, strict=True)
-    ids_b, parts_b, sets_b = zip(*other, strict=True)
+    parts, sets = zip(*left, strict=True)
+    parts_b, sets_b = zip(*other, strict=True)
     size, size_b = (np.array([len(x) for x in s], dtype=np.float64) for s in (sets, sets_b))
     possible = np.array(parts)[:, None] != np.array(parts_b)[None, :]
     possible &= np.minimum(size[:, None], size_b) >= threshold * np.maximum(size[:, None], size_b)
@@ -275,7 +286,7 @@ def tile_links(left: list[tuple], right: list[tuple] | None, threshold: float) -
         a, b = top(parts[i]), top(parts_b[j])
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append((ids[i], ids_b[j]))
+            out.append((a, b))
     return out
 
 
@@ -290,7 +301,7 @@ def _tiles(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for batch in tb.each(batches):
-            head = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "block", "rep", "component")), strict=True))
+            head = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "block", "component")), strict=True))
             for (band, i, j, *rest), blob in zip(head, batch.column("shingles"), strict=True):
                 if (band, i, j) != tile:
                     if held:
@@ -327,19 +338,26 @@ def _judged(docs: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
     with_v = ws.save(pairs, "pairs").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("sv")), "v")
     both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("su")), "u")
     good = ws.save(both.select("u", "v", "su", "sv").mapInArrow(_verify(threshold), "u bigint, v bigint"), "good")
-    label = connected_components(good, ws, "cc-star")
+    label = connected_components(good, ws, "star")
+    ws.drop("crowded", "wanted", "pairs", "good")
     members = ws.save(members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "members-labelled")
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks")).where("low < high")
-    mixed = ws.save(mixed.select("band", "blocks"), "mixed")
+    alike = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38, 0)")).alias(f"sum{i}") for i in (0, 1)]
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), *alike).where("low < high")
+    mixed = ws.save(mixed.groupBy("n", "sum0", "sum1").agg(F.min("band").alias("band"), F.first("blocks").alias("blocks")).select("band", "blocks"), "mixed")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     dealt = members.join(mixed, "band").select("band", "rep", "component", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    tiled = ws.save(dealt, "dealt").join(sets, "rep").select("band", "i", "j", "block", "rep", "component", "shingles")
+    tiled = ws.save(dealt, "dealt").join(sets, "rep").select("band", "i", "j", "block", "component", "shingles")
     more = tiled.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_tiles(threshold), "u bigint, v bigint")
-    more = ws.save(more, "more")
-    label = connected_components(good.unionByName(more), ws, "cc-all")
+    # the star's components stand for their members
+    joined = connected_components(ws.save(more, "more"), ws, "tiles").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    label = label.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(label.select("node"), "node", "left_anti")
+    label = ws.save(label.unionByName(alone), "label")
+    ws.drop("members", "sets", "members-labelled", "mixed", "dealt", "more", "star", "tiles")
     node = reps.select("k1", "k2", "rep", "n_copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     node = ws.save(node.select("k1", "k2", F.col("n_copies"), F.coalesce("component", "rep").alias("class_id"), F.lit(True).alias("worded")), "classes")
+    ws.drop("reps", "label")
     out = signed.select("doc_id", "k1", "k2", (F.col("n_shingles") > 0).alias("worded")).join(node, ["k1", "k2", "worded"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "k1", "k2", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
