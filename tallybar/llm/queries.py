@@ -23,7 +23,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), Workspace(spark, "op3"))
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3, but each word of a window may stand one word off its place; n_hit counts places of windows' rarest words."""
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), Workspace(spark, "near"), slop=1)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_minhash_near_dedup, op8_url_filters, op9_substring_dedup, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_toxicity, op5_quality_classifier, op6_best_fit_packing, op7_minhash_near_dedup, op8_url_filters, op9_substring_dedup, op10_chat_formatting, benchmark_proximity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -224,6 +224,20 @@ def test_near_duplicate_odd_rows(spark):
     assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 4, 5]
 
 
+def test_all_pairs_of_the_small_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs, Workspace(spark, "t")).collect()}
+    want = brute.near_classes([tuple(r) for r in docs.collect()])
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_different_texts_are_not_folded(spark):
+    order = [bin(i).count("1") % 2 for i in range(1024)]  # polynomial hashes of these two collide
+    docs = [(i, " ".join("ab"[x ^ i] for x in order)) for i in (0, 1)]
+    got = bagminhash.near_duplicates(frame(spark, docs, 2), Workspace(spark, "t")).collect()
+    assert [r.n_copies for r in got] == [1, 1]
+
+
 def test_first_of_each_class_by_row(spark):
     x, y, z = (" ".join(words(random.Random(seed), 60)) for seed in (11, 12, 13))
     docs = [(3, x), (9, x), (9, y), (9, y), (5, z), (6, z + " more"), (6, None), (None, x)]
@@ -251,9 +265,9 @@ def test_contamination(spark, docs, block, monkeypatch):
     texts = dict(docs)
     items = [(7, " ".join(texts[62].split()[3:40]).upper()), (10, " ".join(texts[20].split()[:4])), (11, ""), (12, None), (13, "never seen words at all"), (2, texts[50]), (2, texts[50]), (None, "x")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, doc_id int")
-    got = rows(decontaminate.contamination(frame(spark, docs), bench))
+    got = rows(decontaminate.contamination(frame(spark, docs), bench, Workspace(spark, "t")))
     assert got == expected(brute.contamination(docs, [x for x in items if x[0] is not None]))
-    clean = decontaminate.clean_documents(frame(spark, docs), bench)
+    clean = decontaminate.clean_documents(frame(spark, docs), bench, Workspace(spark, "t"))
     assert clean.columns == SCHEMA.replace(" bigint", "").replace(" string", "").split(", ")
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in got if not r[5])
 
@@ -271,25 +285,52 @@ def test_one_benchmark_block_at_a_time(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
     monkeypatch.setattr(decontaminate.Queries, "__init__", counted)
     items = [(i, texts[i]) for i in (20, 50, 62)] + [(1, "short one"), (2, None), (3, "")]
-    found = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    found = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), Workspace(spark, "t"))
     assert len(most) > 3 and max(most) == 1 and max(sizes) <= 40
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert rows(found) == expected(brute.contamination(docs, items))
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one two x three four"), (2, "four three two one"), (3, "one two"), (4, "one two three four")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(9, "one two three four")], "item_id bigint, text string")
-    found = lambda slop: sorted(r.doc_id for r in decontaminate.find_benchmark(docs, bench, 10, slop).where("size(items) > 0").collect())
+    found = lambda slop: sorted(r.doc_id for r in decontaminate.find_benchmark(docs, bench, Workspace(spark, "t"), 10, slop).where("size(items) > 0").collect())
     assert found(None) == [4] and found(1) == [1, 4] and found(5) == [1, 4] and found(6) == [1, 2, 4]
 
 
+def postings(queries, *texts):
+    """The postings of one segment that a search over ``queries`` gets."""
+    hashes, rows = decontaminate.words_of(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    lists = list(decontaminate.segment_postings(hashes))
+    terms, counts, places = (np.concatenate([x[i] for x in lists] or [np.empty(0, t)]) for i, t in ((1, np.uint64), (2, np.int32), (3, np.int32)))
+    ours = np.isin(terms, queries.terms)
+    return decontaminate.Postings(np.searchsorted(queries.terms, terms[ours]), counts[ours].astype(np.int64), places[np.repeat(ours, counts)], len(queries.terms), np.searchsorted(rows, np.arange(len(texts))), len(rows))
+
+
+def test_postings():
+    hashes = np.random.default_rng(0).integers(0, 2**64, 50, dtype=np.uint64)[np.random.default_rng(1).integers(0, 50, 4000)]
+    seen = {}
+    for bucket, terms, counts, places in decontaminate.segment_postings(hashes):
+        assert (decontaminate.bucket_of(terms) == bucket).all() and (np.diff(terms.astype(object)) > 0).all()
+        for term, own in zip(terms.tolist(), np.split(places, np.cumsum(counts)[:-1]), strict=True):
+            seen[term] = own.tolist()
+    assert seen == {t: np.flatnonzero(hashes == np.uint64(t)).tolist() for t in set(hashes.tolist())}
+
+
+def test_one_index_for_many_searches(spark, docs):
+    texts = dict(docs)
+    index = decontaminate.build_index(frame(spark, docs), Workspace(spark, "t"))
+    for i in (20, 50):
+        bench = spark.createDataFrame([(7, texts[i])], "item_id bigint, text string")
+        hits = {r.doc_id for r in index.texts().join(index.matches(bench), ["segment", "place"]).collect()}
+        assert hits == {r[0] for r in brute.contamination(docs, [(7, texts[i])]) if r[5]}
+
+
 def test_proximity_in_adjacent_texts():
     queries = decontaminate.Queries([(9, decontaminate.words_of(np.frombuffer(b"one two three four", np.uint8), np.array([0, 18]))[0])], 10)
 
     def found(slop, *texts):
-        data = "".join(texts).encode()
-        return decontaminate.find(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), queries, slop)[2]
+        found = decontaminate.find(postings(queries, *texts), queries, slop)
+        return [found[i][1] if i in found else [] for i in range(len(texts))]
 
     phrase = "one two three four"
     assert found(2, "ends in two", phrase) == [[], [9]] and found(2, phrase, "three four two one") == [[9], []]
@@ -310,5 +351,5 @@ def near(words, texts, terms, slop):
 
 def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
-    assert decontaminate.contamination(frame(spark, docs), none).where("contaminated").count() == 0
-    assert decontaminate.contamination(frame(spark, []), none).count() == 0
+    assert decontaminate.contamination(frame(spark, docs), none, Workspace(spark, "t")).where("contaminated").count() == 0
+    assert decontaminate.contamination(frame(spark, []), none, Workspace(spark, "t")).count() == 0
