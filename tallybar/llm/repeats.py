@@ -114,28 +114,16 @@ def inside(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _again(values: np.ndarray, at: np.ndarray, n: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows dealt by another gram: anchor, source run, windows skipped, number of starts."""
-    size = n + window - 1
-    spans = values[np.repeat(at, size) + inside(size)]
-    h, src, skip, m = anchors(tb.prefix_hash(spans), np.cumsum(np.append(0, size)), window, gram)
-    return h.view(np.int64), src, skip, m
+KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>"
 
 
-_PLACE = "doc_order: bigint, start: int, row_id: bigint"
-_OWNER = "of_anchor: bigint, of_key: bigint, which: int, skip: int"
+def _named(body: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes."""
+    return np.array([xxhash.xxh3_64_intdigest(body[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
 
 
-def _key_fields(level: int) -> str:
-    """Of a snippet's places in a batch; of a part of a snippet also the snippet and where in it the part begins."""
-    return f"anchor bigint, key bigint, n int, places array<struct<{_PLACE}{', ' + _OWNER if level else ''}>>"
-
-
-def _keys(units: Units, level: int):
-    """Texts and their runs to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order.
-
-    runs: (start, n, anchor), or above level 0 (start, n, of_anchor, of_key, which), to be dealt by the level's gram.
-    """
+def _keys(units: Units):
+    """Texts and their runs (start, n, anchor) to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.each(batches):
@@ -143,31 +131,22 @@ def _keys(units: Units, level: int):
             data, offsets = tb.byte_column(batch.column("text"))
             if not batch.num_rows:
                 continue
-            fields, ends = _run_fields(batch, "runs", 5 if level else 3)
+            fields, ends = _run_fields(batch, "runs", 3)
             out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in tb.row_blocks(offsets):
                 raw = data[offsets[lo] : offsets[hi]]
                 values, cut, first, _ = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
-                start, n, *known = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
+                start, n, anchor = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
                 doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
-                owner = []
-                if level:
-                    anchor, src, skip, n = _again(values, cut[doc - lo] + start, n, units.window, units.grams[level])
-                    doc, start, owner = doc[src], start[src] + skip, [*(x[src] for x in known), skip]
-                else:
-                    anchor = known[0]
                 at = cut[doc - lo] + start
-                body, width = memoryview((raw if first is None else values).tobytes()), 1 if first is None else 8
-                spans = zip((at * width).tolist(), ((at + n - 1 + units.window) * width).tolist(), strict=True)
-                key = np.array([xxhash.xxh3_64_intdigest(body[x:y]) for x, y in spans], dtype=np.uint64).view(np.int64)
-                out.append((anchor, key, n, orders[doc], start, ids[doc], *owner))
-            anchor, key, n, order, start, row, *owner = (np.concatenate(c) for c in zip(*out, strict=True))
+                width = 1 if first is None else 8
+                key = _named(memoryview((raw if first is None else values).tobytes()), at * width, (at + n - 1 + units.window) * width)
+                out.append((anchor, key, n, orders[doc], start, ids[doc]))
+            anchor, key, n, order, start, row = (np.concatenate(c) for c in zip(*out, strict=True))
             by = np.lexsort((row, start, order, key, anchor))
             anchor, key = anchor[by], key[by]
             head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))) if len(by) else by
-            columns = [order, start.astype(np.int32), row] + ([owner[0], owner[1], owner[2].astype(np.int32), owner[3].astype(np.int32)] if level else [])
-            names = [f.split(":")[0] for f in f"{_PLACE}, {_OWNER}".split(", ")][: len(columns)]
-            struct = pa.StructArray.from_arrays([pa.array(c[by]) for c in columns], names)
+            struct = pa.StructArray.from_arrays([pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(row[by])], ["doc_order", "start", "row_id"])
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
             yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places], ["anchor", "key", "n", "places"])
 
@@ -203,6 +182,33 @@ def _bodies(units: Units):
     return run
 
 
+PARTS = "anchor bigint, key bigint, n bigint, doc_order bigint, start bigint, body binary, of_anchor bigint, of_key bigint, which int, skip int"
+
+
+def _parts(units: Units, level: int):
+    """Snippets to the runs of their windows that share an anchor of the level's gram, as snippets of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.each(batches):
+            data, offsets = tb.byte_column(batch.column("body"))
+            of_anchor, of_key, which, order, start = (batch.column(c).to_numpy() for c in ("anchor", "key", "which", "doc_order", "start"))
+            for lo, hi in tb.row_blocks(offsets):
+                raw = data[offsets[lo] : offsets[hi]]
+                values, cut, first, last = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
+                anchor, src, skip, n = anchors(tb.prefix_hash(values), cut, units.window, units.grams[level])
+                a = cut[src] + skip
+                b = a + n - 1 + units.window
+                if first is not None:
+                    a, b = first[a], last[b - 1]
+                text = raw.tobytes()
+                body = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                own = lo + src
+                columns = [anchor.view(np.int64), _named(memoryview(text), a, b), n, order[own], start[own] + skip, body, of_anchor[own], of_key[own], which[own].astype(np.int32), skip.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if c is body else pa.array(c) for c in columns], [f.split()[0] for f in PARTS.split(", ")])
+
+    return run
+
+
 JUDGED = "anchor bigint, key bigint, first_order bigint, first_start bigint, first_bits binary, last_bits binary"
 
 
@@ -263,65 +269,53 @@ def _later(place: Column, first: tuple[Column, Column], same_text: bool) -> Colu
 
 @dataclass(frozen=True)
 class _Search:
-    """Texts (doc_order, row_id, text; each place once) and how they are compared."""
+    """How snippets are compared."""
 
-    texts: DataFrame
     units: Units
     resolve: Callable
     same_text: bool
     ws: Workspace
 
-    def runs_of(self, stand: DataFrame, *fields: str) -> DataFrame:
-        """Snippets (at, and the fields) gathered by their text."""
-        return stand.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct(*fields)).alias("runs"))
-
-    def folded(self, keys: DataFrame, level: int) -> DataFrame:
-        """anchor, key, n and the first and last place of each snippet."""
-        place = lambda x: F.struct(x["doc_order"], x["start"], x["row_id"])
-        first, last = place(F.col("places")[0]), place(F.element_at("places", -1))
-        return self.ws.save(keys.groupBy("anchor", "key").agg(F.min(first).alias("first"), F.max(last).alias("last"), F.max("n").alias("n")), f"folded-{level}")
-
-    def found(self, keys: DataFrame, judged: DataFrame) -> DataFrame:
-        """n, at (a place of a snippet) and the bits of its covered windows."""
-        places = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
-        bits = F.when(_later(F.col("at"), (F.col("first_order"), F.col("first_start")), self.same_text), F.col("last_bits")).otherwise(F.col("first_bits"))
-        return places.select("n", "at", bits.alias("bits")).where("bits is not null")
-
-    def judged(self, keys: DataFrame, level: int = 0) -> DataFrame:
-        """For each snippet with covered windows its first place, and the bits of the first and the last."""
-        ws, row = self.ws, ["doc_order", "row_id"]
-        folded = self.folded(keys, level)
-        crowded = None
-        if self.units.grams[level] < self.units.window:
-            crowded = ws.save(folded.groupBy("anchor").count().where(F.col("count") > PART).select("anchor"), f"crowded-{level}")
-            crowded = None if crowded.isEmpty() else crowded
-        few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
-        out = ws.save(self._compared(few, level), f"judged-{level}")
-        if crowded is not None:
-            many = folded.join(crowded, "anchor")
-            runs = ws.save(self.runs_of(self._both(many), "at.start", "n", F.col("anchor").alias("of_anchor"), F.col("key").alias("of_key"), "which"), f"again-{level}")
-            parts = ws.save(self.texts.join(runs, row).mapInArrow(_keys(self.units, level + 1), _key_fields(level + 1)), f"keys-{level + 1}")
-            ws.drop(f"again-{level}")
-            found = self.found(parts, self.judged(parts, level + 1))
-            found = found.groupBy(F.col("at.of_anchor").alias("anchor"), F.col("at.of_key").alias("key")).agg(F.collect_list(F.struct("at.which", "at.skip", "n", "bits")).alias("parts"))
-            whole = many.select("anchor", "key", "n", F.col("first.doc_order").alias("first_order"), F.col("first.start").cast("bigint").alias("first_start"))
-            more = ws.save(found.join(whole, ["anchor", "key"]).mapInArrow(_rejoined, JUDGED), f"rejoined-{level}")
-            ws.drop(f"keys-{level + 1}", f"judged-{level + 1}", f"rejoined-{level + 1}")
-            out = out.unionByName(more)
-        ws.drop(f"folded-{level}", f"crowded-{level}")
-        return out
-
-    def _both(self, folded: DataFrame) -> DataFrame:
+    def both(self, folded: DataFrame) -> DataFrame:
         """anchor, key, n, which and at: the first place of each snippet, and the last if it is later in the sense that counts."""
         at = [F.struct(F.lit(i).alias("which"), F.col(c).alias("at")) for i, c in enumerate(("first", "last"))]
         both = folded.select("anchor", "key", "n", "first", F.explode(F.array(*at)).alias("x"))
         both = both.where((F.col("x.which") == 0) | _later(F.col("x.at"), (F.col("first.doc_order"), F.col("first.start")), self.same_text))
         return both.select("anchor", "key", "n", "x.which", "x.at")
 
-    def _compared(self, folded: DataFrame, level: int) -> DataFrame:
-        runs = self.ws.save(self.runs_of(self._both(folded), "anchor", "key", "which", "at.start", "n"), f"stand-{level}")
-        bodies = self.texts.join(runs, ["doc_order", "row_id"]).mapInArrow(_bodies(self.units), SNIPPETS)
-        return bodies.repartition("anchor").sortWithinPartitions("anchor", "key", "which").mapInArrow(_resolved(self.resolve), JUDGED)
+    def crowded(self, folded: DataFrame, level: int) -> DataFrame | None:
+        """Anchors of more snippets than one task compares, if there are any."""
+        if self.units.grams[level] == self.units.window:
+            return None
+        found = self.ws.save(folded.groupBy("anchor").count().where(F.col("count") > PART).select("anchor"), f"crowded-{level}")
+        return None if found.isEmpty() else found
+
+    def compared(self, bodies: DataFrame) -> DataFrame:
+        """For each snippet with covered windows its first place, and the bits of the first and the last."""
+        own = bodies.select(*(f.split()[0] for f in SNIPPETS.split(", ")))
+        return own.repartition("anchor").sortWithinPartitions("anchor", "key", "which").mapInArrow(_resolved(self.resolve), JUDGED)
+
+    def bits(self, at: Column) -> Column:
+        """What was found for a place of a judged snippet."""
+        return F.when(_later(at, (F.col("first_order"), F.col("first_start")), self.same_text), F.col("last_bits")).otherwise(F.col("first_bits")).alias("bits")
+
+    def in_parts(self, bodies: DataFrame, level: int) -> DataFrame:
+        """As ``compared``, by anchors of the level's gram."""
+        ws = self.ws
+        parts = ws.save(bodies.mapInArrow(_parts(self.units, level), PARTS), f"parts-{level}")
+        place = F.struct("doc_order", "start", "body")
+        folded = ws.save(parts.groupBy("anchor", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("n").alias("n")), f"folded-{level}")
+        crowded = self.crowded(folded, level)
+        stand = self.both(folded).select("anchor", "key", "which", "at.doc_order", "at.start", "n", "at.body")
+        judged = ws.save(self.compared(stand if crowded is None else stand.join(crowded, "anchor", "left_anti")), f"judged-{level}")
+        if crowded is not None:
+            judged = judged.unionByName(self.in_parts(stand.join(crowded, "anchor"), level + 1))
+        found = parts.drop("body").join(judged, ["anchor", "key"]).select("of_anchor", "of_key", "which", "skip", "n", self.bits(F.struct("doc_order", "start"))).where("bits is not null")
+        found = found.groupBy(F.col("of_anchor").alias("anchor"), F.col("of_key").alias("key")).agg(F.collect_list(F.struct("which", "skip", "n", "bits")).alias("parts"))
+        firsts = bodies.where("which = 0").select("anchor", "key", "n", F.col("doc_order").alias("first_order"), F.col("start").alias("first_start"))
+        out = ws.save(found.join(firsts, ["anchor", "key"]).mapInArrow(_rejoined, JUDGED), f"rejoined-{level}")
+        ws.drop(*(f"{table}-{level}" for table in ("parts", "folded", "crowded", "judged")), f"rejoined-{level + 1}")
+        return out
 
 
 def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bool, ws: Workspace) -> DataFrame:
@@ -335,17 +329,36 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
     texts = rows.select(*row, "text")
     if not rows.where("repeated").isEmpty():
         texts = ws.save(texts.groupBy(*row).agg(F.first("text").alias("text")), "once")
-    search = _Search(texts, units, resolve, same_text, ws)
+    search = _Search(units, resolve, same_text, ws)
     runs = ws.save(texts.mapInArrow(_runs(units), "anchor bigint, doc_order bigint, row_id bigint, start int, n int"), "anchors")
-    counted = runs.groupBy("anchor").agg(F.count("*").alias("times"), F.min("doc_order").alias("low"), F.max("doc_order").alias("high"))
-    often = ws.save(counted.where("times > 1" if same_text else "low < high").select("anchor"), "often")
+    if same_text:
+        often = runs.groupBy("anchor").count().where("count > 1")
+    else:
+        often = runs.groupBy("anchor").agg(F.min("doc_order").alias("low"), F.max("doc_order").alias("high")).where("low < high")
+    often = ws.save(often.select("anchor"), "often")
     grouped = ws.save(runs.join(often, "anchor").groupBy(*row).agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs")), "runs")
     ws.drop("anchors", "often")
-    keys = ws.save(texts.join(grouped, row).mapInArrow(_keys(units, 0), _key_fields(0)), "keys-0")
+    keys = ws.save(texts.join(grouped, row).mapInArrow(_keys(units), KEYS), "keys")
     ws.drop("runs")
-    found = search.found(keys, search.judged(keys))
-    marks = ws.save(found.groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("at.start", "n", "bits")).alias("marks")), "marks")
-    ws.drop("once", "keys-0", "judged-0", "rejoined-0", "stand-0", "stand-1", "stand-2")
+    places = F.col("places")
+    folded = ws.save(keys.groupBy("anchor", "key").agg(F.min(places[0]).alias("first"), F.max(F.element_at(places, -1)).alias("last"), F.max("n").alias("n")), "folded-0")
+    crowded = search.crowded(folded, 0)
+
+    def bodies(snippets: DataFrame, name: str) -> DataFrame:
+        own = search.both(snippets).groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("anchor", "key", "which", "at.start", "n")).alias("runs"))
+        return texts.join(ws.save(own, name), row).mapInArrow(_bodies(units), SNIPPETS)
+
+    few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
+    judged = ws.save(search.compared(bodies(few, "stand")), "judged-0")
+    ws.drop("stand")
+    if crowded is not None:
+        many = ws.save(bodies(folded.join(crowded, "anchor"), "stand-many"), "many")
+        judged = judged.unionByName(search.in_parts(many, 1))
+    ws.drop("folded-0", "crowded-0", "stand-many", "many")
+    found = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
+    found = found.select("at.doc_order", "at.row_id", "at.start", "n", search.bits(F.col("at"))).where("bits is not null")
+    marks = ws.save(found.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
+    ws.drop("once", "keys", "judged-0", "rejoined-1")
     return marks
 
 
