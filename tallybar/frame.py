@@ -64,14 +64,17 @@ class BarFrame:
         """Append recursive indicators, all in one grouped map."""
         return self._with(recursive.with_recursive(self.df, self.key, self.order, list(indicators)))
 
-    def patterns(self, *names: str, strict: bool = False, symmetric: bool = False) -> BarFrame:
-        """Append candlestick patterns as CDL_<NAME>; all share one window over the lagged bars."""
+    def patterns(self, *names: str, strict: bool = False, symmetric: bool = False, min_body_factor: float | None = None, max_shadow_factor: float | None = None, lookahead: int = 3) -> BarFrame:
+        """Append candlestick patterns as CDL_<NAME>; all share one window over the lagged bars.
+
+        The factors replace the defaults of the patterns that have them; ``lookahead`` is for the hikkake forms.
+        """
         extra: dict[str, str] = {}
         stages: tuple[dict[str, str], ...] = ({}, {})
         for n in names:
-            a, b = patterns.bar_stages(n)
+            a, b = patterns.bar_stages(n, lookahead)
             stages = (stages[0] | a, stages[1] | b)
-            extra[f"CDL_{n.upper()}"] = patterns.pattern_sql(n, strict, symmetric)
+            extra[f"CDL_{n.upper()}"] = patterns.pattern_sql(n, strict, symmetric, min_body_factor, max_shadow_factor)
         return self._with(apply_stages(self.df, (*stages, extra), tuple(extra), self.key, self.order))
 
     def shifted(self, columns, offset: int = 0, fillna: float | None = None) -> BarFrame:
@@ -98,6 +101,10 @@ def apply_stages(df: DataFrame, stages, outputs, key: str, order: str) -> DataFr
     """Run the stages and keep the frame's own columns and the outputs."""
     own = [c for c in df.columns if c not in outputs]
     for stage in stages:
-        if stage:
-            df = df.withColumns({name: F.expr(windows.render(sql, key, order)) for name, sql in stage.items()})
+        averages = {name: x for name, x in stage.items() if isinstance(x, windows.Average)}
+        plain = {name: F.expr(windows.render(x, key, order)) for name, x in stage.items() if name not in averages}
+        if plain:
+            df = df.withColumns(plain)
+        if averages:
+            df = recursive.with_recursive(df, key, order, [recursive.average(name, x.kind, x.column, x.length) for name, x in averages.items()])
     return df.select(*own, *outputs)

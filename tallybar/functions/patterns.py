@@ -2,7 +2,9 @@
 
 ``o0 h0 l0 c0`` are the current bar's prices, ``o1 ...`` those of the bar before, and so on; ``b`` is a bar's
 body, ``r`` its range, ``u`` and ``d`` its upper and lower shadow. A pattern's value is that of the first
-condition that holds, else 0.0; a bar with too few predecessors gets 0.0. The thresholds are fixed values.
+condition that holds, else 0.0; a bar with too few predecessors gets 0.0. The thresholds are fixed values, but for
+``@B`` and ``@S``, the factors of smallest body and largest shadow, whose defaults stand in ``FACTORS`` or with the
+pattern.
 """
 
 from __future__ import annotations
@@ -59,8 +61,8 @@ def _kicking() -> str:
     return f"{ranged(2)} and u1 <= 0.1 * r1 and d1 <= 0.1 * r1 and u0 <= 0.1 * r0 and d0 <= 0.1 * r0 and (({white(1)} and {black(0)}) or ({black(1)} and {white(0)})) and (least(o0, c0) > greatest(o1, c1) or greatest(o0, c0) < least(o1, c1))"
 
 
-def _evening(small: float) -> str:
-    return f"{ranged(3)} and {white(2)} and b1 <= {small} * r1 and l1 > h2 and {black(0)} and c0 <= o2 + 0.5 * b2"
+def _evening() -> str:
+    return f"{ranged(3)} and {white(2)} and b1 <= @B * r1 and l1 > h2 and {black(0)} and c0 <= o2 + 0.5 * b2"
 
 
 def _hikkake(price_low: str, price_high: str, share: float) -> Pattern:
@@ -91,19 +93,19 @@ PATTERNS: dict[str, Pattern] = {
     "concealbabyswall": Pattern(4, ((1.0, f"{ranged(4)} and {black(3, 2, 1, 0)} and c3 = h3 and c2 = h2 and o1 < o2 and o1 > c2 and c1 < c2 and o0 < o1 and o0 > c1 and c0 < c1"),), (0.5, 0.3)),
     "counterattack": signed(2, f"{ranged(2)} and {black(1)} and {white(0)} and o0 < l1 and c0 > c1 and abs(c0 - c1) <= 0.25 * (r0 + r1)", f"{ranged(2)} and {white(1)} and {black(0)} and o0 > h1 and c0 < c1 and abs(c0 - c1) <= 0.25 * (r0 + r1)", (0.3, 0.5)),
     "darkcloudcover": signed(2, None, f"{ranged(2)} and {white(1)} and {black(0)} and o0 > h1 and c0 < c1 and c0 > o1 and c0 < o1 + 0.5 * b1", (0.5, 0.5)),
-    "dojistar": signed(2, f"{ranged(2)} and b0 <= 0.1 * r0 and h0 < l1", f"{ranged(2)} and b0 <= 0.1 * r0 and l0 > h1"),
-    "dragonflydoji": mask(1, "r0 > 0", "b0 <= 0.1 * r0", "o0 = h0", "c0 = h0"),
+    "dojistar": signed(2, f"{ranged(2)} and b0 <= @B * r0 and h0 < l1", f"{ranged(2)} and b0 <= @B * r0 and l0 > h1"),
+    "dragonflydoji": mask(1, "r0 > 0", "b0 <= @B * r0", "o0 = h0", "c0 = h0"),
     "engulfing": signed(2, f"{ranged(2)} and {black(1)} and {white(0)} and o0 <= c1 and c0 >= o1", f"{ranged(2)} and {white(1)} and {black(0)} and o0 >= c1 and c0 <= o1", (0.3, 0.5)),
-    "eveningdojistar": signed(3, None, _evening(0.1)),
-    "eveningstar": signed(3, None, _evening(0.3)),
+    "eveningdojistar": signed(3, None, _evening()),
+    "eveningstar": signed(3, None, _evening()),
     "gapsidesidewhite": signed(3, f"{ranged(3)} and {white(2, 1, 0)} and l1 > h2 and {_SIDE}", f"{ranged(3)} and {black(2)} and {white(1, 0)} and h1 < l2 and {_SIDE}", (0.3, 0.5)),
-    "gravestonedoji": signed(1, None, "r0 > 0 and b0 <= 0.1 * r0 and o0 = l0 and c0 = l0"),
+    "gravestonedoji": signed(1, None, "r0 > 0 and b0 <= @B * r0 and o0 = l0 and c0 = l0"),
     "hammer": Pattern(1, ((1.0, _hammer_shape()),)),
     "hangingman": Pattern(1, ((-1.0, _hammer_shape()),)),
     "harami": signed(2, f"{ranged(2)} and {black(1)} and {white(0)} and o0 >= c1 and c0 <= o1", f"{ranged(2)} and {white(1)} and {black(0)} and o0 <= c1 and c0 >= o1"),
-    "haramicross": signed(2, f"{ranged(2)} and {black(1)} and b0 <= 0.1 * r0 and o0 >= c1 and c0 <= o1", f"{ranged(2)} and {white(1)} and b0 <= 0.1 * r0 and o0 <= c1 and c0 >= o1"),
+    "haramicross": signed(2, f"{ranged(2)} and {black(1)} and b0 <= @B * r0 and o0 >= c1 and c0 <= o1", f"{ranged(2)} and {white(1)} and b0 <= @B * r0 and o0 <= c1 and c0 >= o1"),
     # the lower shadow is measured from the upper edge of the body
-    "highwave": mask(1, "r0 > 0", "b0 <= 0.1 * r0", "u0 >= 0.3 * r0", "greatest(o0, c0) - l0 >= 0.3 * r0"),
+    "highwave": mask(1, "r0 > 0", "b0 <= @B * r0", "u0 >= @S * r0", "greatest(o0, c0) - l0 >= @S * r0"),
     "hikkake": _hikkake("low", "high", 0.2),
     "hikkakemod": _hikkake("close", "close", 0.25),
     "homingpigeon": mask(2, black(1, 0), "o0 <= o1", "c0 >= c1"),
@@ -139,21 +141,35 @@ PATTERNS: dict[str, Pattern] = {
     "xsidegap3methods": mask(3, f"({white(2, 1)} and o1 > c2 and {black(0)} and c0 > c2 and c0 < o1) or ({black(2, 1)} and o1 < c2 and {white(0)} and c0 > o1 and c0 < c2)"),
 }
 
-#: Strict forms that are more than "every body and shadow within its factor": condition by name.
+#: Default factors of the patterns whose forms are not "every body and shadow within its factor".
+FACTORS: dict[str, tuple[float, float]] = {
+    "dojistar": (0.1, 1.0),
+    "dragonflydoji": (0.1, 0.5),
+    "gravestonedoji": (0.1, 0.5),
+    "eveningdojistar": (0.1, 0.5),
+    "eveningstar": (0.3, 0.5),
+    "hammer": (0.5, 0.3),
+    "hangingman": (0.5, 0.3),
+    "harami": (0.3, 0.5),
+    "haramicross": (0.1, 0.5),
+    "highwave": (0.1, 0.3),
+    "concealbabyswall": (0.5, 0.3),
+}
+#: Their strict forms, and those of the hikkake forms: condition by name.
 STRICT: dict[str, str] = {
-    "dojistar": "u0 + d0 <= 1.0 * r0",
-    "dragonflydoji": "r0 >= 0.5 * r0",
-    "gravestonedoji": "r0 >= 0.5 * r0",
-    "eveningdojistar": " and ".join(f"u{k} + d{k} <= 0.5 * r{k}" for k in (2, 1, 0)),
-    "eveningstar": " and ".join(f"u{k} + d{k} <= 0.5 * r{k}" for k in (2, 1, 0)),
-    "hammer": "b0 <= 0.5 * r0 and u0 <= 0.3 * r0",
-    "hangingman": "b0 <= 0.5 * r0 and u0 <= 0.3 * r0",
-    "harami": "b1 >= 0.3 * r1 and b0 <= 0.5 * r0 and u1 + d1 <= 0.5 * r1 and u0 + d0 <= 0.5 * r0",
-    "haramicross": "b1 >= 0.1 * r1 and u1 + d1 <= 0.5 * r1 and u0 + d0 <= 0.5 * r0",
+    "dojistar": "u0 + d0 <= @S * r0",
+    "dragonflydoji": "r0 >= @S * r0",
+    "gravestonedoji": "r0 >= @S * r0",
+    "eveningdojistar": " and ".join(f"u{k} + d{k} <= @S * r{k}" for k in (2, 1, 0)),
+    "eveningstar": " and ".join(f"u{k} + d{k} <= @S * r{k}" for k in (2, 1, 0)),
+    "hammer": "b0 <= @B * r0 and u0 <= @S * r0",
+    "hangingman": "b0 <= @B * r0 and u0 <= @S * r0",
+    "harami": "b1 >= @B * r1 and b0 <= @S * r0 and u1 + d1 <= @S * r1 and u0 + d0 <= @S * r0",
+    "haramicross": "b1 >= @B * r1 and u1 + d1 <= @S * r1 and u0 + d0 <= @S * r0",
     "highwave": "u0 >= 2 * b0 and greatest(o0, c0) - l0 >= 2 * b0",
     "hikkake": "r2 > 0 and r1 > 0 and r1 >= 0.2 * r2",
     "hikkakemod": "r2 > 0 and r1 > 0 and r1 >= 0.25 * r2",
-    "concealbabyswall": "b3 >= 0.5 * r3 and b2 >= 0.5 * r2 and " + " and ".join(f"u{k} + d{k} <= 0.3 * r{k}" for k in range(4)),
+    "concealbabyswall": "b3 >= @B * r3 and b2 >= @B * r2 and " + " and ".join(f"u{k} + d{k} <= @S * r{k}" for k in range(4)),
 }
 #: Patterns whose symmetric form takes its sign from the body instead.
 BY_BODY = ("dragonflydoji", "gravestonedoji", "hammer", "hangingman", "highwave")
@@ -166,12 +182,11 @@ def strict_condition(name: str) -> str:
         return STRICT[name]
     if not p.strict:
         return "true"
-    body, shadow = p.strict
-    return " and ".join(f"b{k} >= {body} * r{k} and u{k} + d{k} <= {shadow} * r{k}" for k in range(p.bars))
+    return " and ".join(f"b{k} >= @B * r{k} and u{k} + d{k} <= @S * r{k}" for k in range(p.bars))
 
 
-def pattern_sql(name: str, strict: bool = False, symmetric: bool = False) -> str:
-    """The value of a pattern over the columns of ``bar_stages``."""
+def pattern_sql(name: str, strict: bool = False, symmetric: bool = False, min_body_factor: float | None = None, max_shadow_factor: float | None = None) -> str:
+    """The value of a pattern over the columns of ``bar_stages``; a factor of None is the pattern's default."""
     p = PATTERNS[name]
     cases = [*p.cases, *([p.mirror] if symmetric and p.mirror else [])]
     extra = f" and {strict_condition(name)}" if strict else ""
@@ -181,7 +196,11 @@ def pattern_sql(name: str, strict: bool = False, symmetric: bool = False) -> str
         if symmetric and name in BY_BODY:
             result = f"case when c0 < o0 then -1.0 when c0 > o0 then 1.0 else {value if name not in ('hammer', 'hangingman', 'highwave') else 1.0!r} end"
         parts.append(f"when ({condition}){extra} then {result}")
-    return f"cast(case {' '.join(parts)} else 0.0 end as double)"
+    sql = f"cast(case {' '.join(parts)} else 0.0 end as double)"
+    defaults = FACTORS.get(name) or p.strict or (0.0, 1.0)
+    for token, given, default in zip(("@B", "@S"), (min_body_factor, max_shadow_factor), defaults, strict=True):
+        sql = sql.replace(token, repr(float(default if given is None else given)))
+    return sql
 
 
 def bar_stages(name: str | None = None, lookahead: int = 3) -> tuple[dict[str, str], ...]:

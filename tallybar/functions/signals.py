@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def crossed_up(a: Column, b: Column, over) -> Column:
-    return F.coalesce((a > b) & (F.lag(a).over(over) <= F.lag(b).over(over)), F.lit(False))
+def crossed_up(a: Column, b: Column, over, strict: bool = False) -> Column:
+    """Whether a is above b now and was below before, or with ``strict`` off at most equal."""
+    before, other = F.lag(a).over(over), F.lag(b).over(over)
+    return F.coalesce((a > b) & (before < other if strict else before <= other), F.lit(False))
 
 
-def crossed_down(a: Column, b: Column, over) -> Column:
-    return crossed_up(b, a, over)
+def crossed_down(a: Column, b: Column, over, strict: bool = False) -> Column:
+    return crossed_up(b, a, over, strict)
 
 
 def first_label(cases: list[tuple[str, Column]]) -> Column:
@@ -45,21 +47,34 @@ def last_ott_signal(signals: DataFrame, key: str, order: str, suffix: str = "")
     return signals.groupBy(key).agg(F.max_by(label, order).alias("signal"))
 
 
-def line_cross(df: DataFrame, key: str, order: str, a: str, b: str, name: str = "cross") -> DataFrame:
-    """1 where a crosses b upwards, -1 downwards, else 0."""
+def clouds_signals(df: DataFrame, key: str, order: str, line: str, trigger: str, histogram: str) -> DataFrame:
+    """macd_cross, 1 where the line crosses its trigger upwards and -1 downwards, and hist_cross, the same of the histogram and zero; else 0."""
     over = Window.partitionBy(key).orderBy(order)
-    up, down = crossed_up(F.col(a), F.col(b), over), crossed_down(F.col(a), F.col(b), over)
-    return df.withColumn(name, F.when(up, 1).when(down, -1).otherwise(0))
 
+    def crossing(a: Column, b: Column) -> Column:
+        return F.when(crossed_up(a, b, over, True), 1).when(crossed_down(a, b, over, True), -1).otherwise(0)
 
-def level_cross(df: DataFrame, key: str, order: str, column: str, levels: list[float], name: str = "cross") -> DataFrame:
-    """1 or -1 where the column crosses one of the levels, the first given winning; else 0."""
-    over = Window.partitionBy(key).orderBy(order)
-    value, out = F.col(column), F.lit(0)
-    for level in reversed(levels):
-        limit = F.lit(float(level))
-        out = F.when(crossed_up(value, limit, over), 1).when(crossed_down(value, limit, over), -1).otherwise(out)
-    return df.withColumn(name, out)
+    return df.withColumns({"macd_cross": crossing(F.col(line), F.col(trigger)), "hist_cross": crossing(F.col(histogram), F.lit(0.0))})
+
+
+def last_clouds_signal(signals: DataFrame, key: str, order: str) -> DataFrame:
+    """Each instrument's last line cross as buy, sell or null."""
+    name = F.when(F.col("macd_cross") == 1, "buy").when(F.col("macd_cross") == -1, "sell")
+    return signals.groupBy(key).agg(F.max_by(F.struct(name.alias("x")), order)["x"].alias("signal"))
+
+
+def cycle_signals(df: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """buy where the index rises to 50 or above 0, sell where it falls to 50 or below 100, as 0 or 1."""
+    now, before = F.col(column), F.lag(column).over(Window.partitionBy(key).orderBy(order))
+    buy = ((before < 50) & (now >= 50)) | ((before <= 0) & (now > 0))
+    sell = ((before > 50) & (now <= 50)) | ((before >= 100) & (now < 100))
+    return df.withColumns({"buy": F.coalesce(buy, F.lit(False)).cast("int"), "sell": F.coalesce(sell, F.lit(False)).cast("int")})
+
+
+def last_cycle_signal(signals: DataFrame, key: str, order: str) -> DataFrame:
+    """Each instrument's last signal as long, short or null; a buy comes first."""
+    name = F.when(F.col("buy") == 1, "long").when(F.col("sell") == 1, "short")
+    return signals.groupBy(key).agg(F.max_by(F.struct(name.alias("x")), order)["x"].alias("signal"))
 
 
 def band_signal(df: DataFrame, key: str, order: str, upper: str, lower: str, price: str = "close") -> DataFrame:
@@ -78,7 +93,7 @@ def stochastic_cross(df: DataFrame, key: str, order: str, k: str, d: str, low: f
     """%K crossing %D upwards below ``low`` (buy), downwards above ``high`` (sell)."""
     over = Window.partitionBy(key).orderBy(order)
     a, b = F.col(k), F.col(d)
-    return df.withColumns({"buy": crossed_up(a, b, over) & (a < low), "sell": crossed_down(a, b, over) & (a > high)})
+    return df.withColumns({"buy": crossed_up(a, b, over, True) & (a < low), "sell": crossed_down(a, b, over, True) & (a > high)})
 
 
 _COMPARE = {ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Eq: operator.eq, ast.NotEq: operator.ne}

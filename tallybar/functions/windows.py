@@ -5,6 +5,9 @@ stands for the last n bars of the series, ``@O`` for the series in order, ``@U``
 same declaration compiles to DataFrame columns here and to plain SQL text elsewhere, so Catalyst plans all
 indicators of a request over shared windows and no row leaves the JVM.
 
+A stage may also ask for a recursive average by name (``Average``); those of a stage run in one grouped map, while
+finite averages stay expressions.
+
 Missing values are NULL, never NaN. A window counts only if all its inputs are there; a division by zero
 gives NULL.
 """
@@ -15,7 +18,17 @@ import math
 import re
 from dataclasses import dataclass
 
-Stage = dict[str, str]
+
+@dataclass(frozen=True)
+class Average:
+    """A recursive moving average of a column, by name."""
+
+    kind: str
+    column: str
+    length: int
+
+
+Stage = dict[str, str | Average]
 
 
 @dataclass(frozen=True)
@@ -124,13 +137,18 @@ def one(name: str, expression: str) -> Indicator:
     return Indicator(({name: expression},), (name,))
 
 
-def _ma(kind: str, x: str, n: int) -> str:
-    """Finite moving averages by name; recursive ones are kernels."""
-    if kind == "sma":
-        return avg(x, n)
-    if kind == "wma":
-        return weighted(x, linear_weights(n))
-    raise ValueError(f"{kind!r} is not a finite moving average; use the kernel form")
+def _ma(kind: str, x: str, n: int) -> str | Average:
+    """A moving average of column x by name: an expression if it is one finite window, else a request; unknown names are EMA's."""
+    finite = {
+        "sma": lambda: avg(x, n),
+        "wma": lambda: weighted(x, linear_weights(n)),
+        "fwma": lambda: weighted(x, fibonacci_weights(n)),
+        "pwma": lambda: weighted(x, pascal_weights(n)),
+        "sinwma": lambda: weighted(x, sine_weights(n)),
+        "swma": lambda: weighted(x, triangle_weights(n)),
+        "midpoint": lambda: f"0.5 * ({low(x, n)} + {high(x, n)})",
+    }
+    return finite[kind.lower()]() if kind.lower() in finite else Average(kind.lower(), x, n)
 
 
 def _true_range(drift: int = 1) -> str:
@@ -173,7 +191,8 @@ def trima(length=10):
 
 def hma(length=10, mamode="wma"):
     half, root = length // 2, int(math.sqrt(length))
-    return Indicator(({"x1": f"2 * {_ma(mamode, 'close', half)} - {_ma(mamode, 'close', length)}"}, {f"HMA_{length}": _ma(mamode, "x1", root)}), (f"HMA_{length}",))
+    stages = ({"x2": _ma(mamode, "close", half), "x3": _ma(mamode, "close", length)}, {"x1": "2 * x2 - x3"}, {f"HMA_{length}": _ma(mamode, "x1", root)})
+    return Indicator(stages, (f"HMA_{length}",))
 
 
 def linreg(length=14, mode="line", degrees=False):
@@ -214,12 +233,12 @@ def wcp():
     return one("WCP", "(high + low + 2 * close) / 4.0")
 
 
-def hilo(high_length=13, low_length=21):
+def hilo(high_length=13, low_length=21, mamode="sma"):
     a = f"{high_length}_{low_length}"
     ph, pl = back("mh", 1), back("ml", 1)
     up, down = f"close > ({ph})", f"close < ({pl})"
     stages = (
-        {"mh": avg("high", high_length), "ml": avg("low", low_length)},
+        {"mh": _ma(mamode, "high", high_length), "ml": _ma(mamode, "low", low_length)},
         {"up": f"coalesce({up}, false)", "down": f"coalesce({down}, false)"},
         {"turn": "case when up then ml when down then mh end", "own": "up or down"},
         {"since": "count(case when own then 1 end) @U"},
@@ -248,11 +267,12 @@ def ao(fast=5, slow=34):
 
 def apo(fast=12, slow=26, mamode="sma"):
     fast, slow = min(fast, slow), max(fast, slow)
-    return one(f"APO_{fast}_{slow}", f"{_ma(mamode, 'close', fast)} - {_ma(mamode, 'close', slow)}")
+    return Indicator(({"x1": _ma(mamode, "close", fast), "x2": _ma(mamode, "close", slow)}, {f"APO_{fast}_{slow}": "x1 - x2"}), (f"APO_{fast}_{slow}",))
 
 
 def bias(length=26, mamode="sma"):
-    return one(f"BIAS_{mamode.upper()}_{length}", ratio("close", _ma(mamode, "close", length)) + " - 1")
+    name = f"BIAS_{mamode.upper()}_{length}"
+    return Indicator(({"x1": _ma(mamode, "close", length)}, {name: ratio("close", "x1") + " - 1"}), (name,))
 
 
 def bop(scalar=1.0):
@@ -301,9 +321,9 @@ def roc(length=10, scalar=100.0):
     return one(f"ROC_{length}", f"{scalar!r} * {ratio(f'close - {back('close', length)}', back('close', length))}")
 
 
-def stochf(k=14, d=3):
+def stochf(k=14, d=3, mamode="sma"):
     a, b = f"STOCHFk_{k}_{d}", f"STOCHFd_{k}_{d}"
-    return Indicator(({a: f"100.0 * {ratio(f'close - {low('low', k)}', f'{high('high', k)} - {low('low', k)}')}"}, {b: avg(a, d)}), (a, b))
+    return Indicator(({a: f"100.0 * {ratio(f'close - {low('low', k)}', f'{high('high', k)} - {low('low', k)}')}"}, {b: _ma(mamode, a, d)}), (a, b))
 
 
 def entropy(length=10, base=2.0):
@@ -363,7 +383,8 @@ def zscore(length=30, multiplier=1.0, ddof=1):
     return one(f"ZS_{length}", ratio(f"close - {avg('close', length)}", f"{multiplier!r} * {spread('close', length, ddof)}"))
 
 
-def true_range(drift=1):
+def true_range(drift=1, prenan=False):
+    """The first ``drift`` bars have no value, with ``prenan`` or without."""
     return one(f"TRUERANGE_{drift}", _true_range(drift))
 
 
@@ -413,9 +434,12 @@ def tos_stdevall(length=None, stds=(1, 2, 3), ddof=1):
     return Indicator(stages, (f"{name}_LR", *(f"{name}_{s}_{k}" for k in stds for s in "LU")))
 
 
-def doji(length=10, factor=10.0, scalar=100.0):
+def doji(length=10, factor=10.0, scalar=100.0, naive=False, asint=True):
+    """A body below ``factor`` per cent of the mean range, or with ``naive`` of the bar's own; ``asint`` gives scalar or 0, else a boolean."""
     name = f"CDL_DOJI_{length}_{factor:g}"
-    return Indicator(({"x1": "high - low"}, {name: f"cast(case when abs(open - close) < {factor / 100!r} * {avg('x1', length)} then {scalar!r} else 0.0 end as double)"}), (name,))
+    small = f"abs(open - close) < {factor / 100!r} * {'x1' if naive else avg('x1', length)}"
+    value = f"cast(case when {small} then {scalar!r} else 0.0 end as double)" if asint else f"coalesce({small}, false)"
+    return Indicator(({"x1": "high - low"}, {name: value}), (name,))
 
 
 INDICATORS = {f.__name__: f for f in (sma, wma, fwma, pwma, sinwma, swma, alma, trima, hma, linreg, midpoint, midprice, vwma, hl2, hlc3, ohlc4, wcp, hilo, ichimoku, ao, apo, bias, bop, brar, cci, cfo, cg, cmo, coppock, roc, stochf, entropy, skew, kurtosis, mad, median, quantile, stdev, stdev_multi, variance, zscore, true_range, atr_sma, accbands, bbands, cdl_z, cdl_z_full, tos_stdevall, doji)}

@@ -245,10 +245,9 @@ def _fibonacci(n: int) -> Series:
     return np.array(w[:n]) / sum(w[:n])
 
 
-def moving_average(name: str, x: Series, n: int) -> Series:
-    if name.lower() not in AVERAGES:
-        raise ValueError(f"unknown moving average {name!r}; known: {', '.join(AVERAGES)}")
-    return AVERAGES[name.lower()](x, n)
+def moving_average(name: str | None, x: Series, n: int) -> Series:
+    """An average by name; no name, or an unknown one, is the exponential average's."""
+    return AVERAGES.get((name or "ema").lower(), ema)(x, n)
 
 
 def mama(x: Series, fastlimit: float = 0.5, slowlimit: float = 0.05, prenan: int = 3) -> tuple[Series, Series]:
@@ -347,12 +346,12 @@ def atr(high: Series, low: Series, close: Series, n: int = 14, mamode: str = "rm
     return out * 100 / close if percent else out
 
 
-def macd(x: Series, fast: int = 12, slow: int = 26, signal: int = 9, asmode: bool = False) -> tuple[Series, ...]:
-    line = ema(x, min(fast, slow)) - ema(x, max(fast, slow))
-    trigger = ema(line, signal)
+def macd(x: Series, fast: int = 12, slow: int = 26, signal: int = 9, asmode: bool = False, mamode: str = "ema") -> tuple[Series, ...]:
+    line = moving_average(mamode, x, min(fast, slow)) - moving_average(mamode, x, max(fast, slow))
+    trigger = moving_average(mamode, line, signal)
     if asmode:
         line = line - trigger
-        trigger = ema(line, signal)
+        trigger = moving_average(mamode, line, signal)
     return line, trigger, line - trigger
 
 
@@ -542,9 +541,9 @@ def ott(x: Series, n: int = 2, percent: float = 1.4, ma_type: str = "VAR") -> tu
     return mean, long, short, way, np.where(mean > stop, stop * (200 + percent) / 200, stop * (200 - percent) / 200)
 
 
-def rsi_clouds(open_, high, low, close, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[Series, ...]:
-    r = rsi((open_ + high + low + close) / 4, n)
-    return (r, *macd(r, fast, slow, signal))
+def rsi_clouds(open_, high, low, close, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, scalar: float = 100.0, drift: int = 1, mamode: str = "ema") -> tuple[Series, ...]:
+    r = rsi((open_ + high + low + close) / 4, n, scalar, drift)
+    return (r, *macd(r, fast, slow, signal, False, mamode))
 
 
 def scrsi(x: Series, domcycle: int = 20, vibration: int = 10, leveling: float = 10.0) -> tuple[Series, ...]:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as k
@@ -41,6 +42,11 @@ def _average(name: str):
     return build
 
 
+def average(output: str, kind: str, column: str, length: int) -> Recursive:
+    """A moving average of any column, by name."""
+    return _make([output], (column,), lambda x: k.moving_average(kind, x, length))
+
+
 INDICATORS: dict[str, Callable[..., Recursive]] = {
     "ema": _average("ema"),
     "rma": _average("rma"),
@@ -60,20 +66,20 @@ INDICATORS: dict[str, Callable[..., Recursive]] = {
     "alligator": lambda jaw=13, teeth=8, lips=5: _make([f"AG{n}_{jaw}_{teeth}_{lips}" for n in "jtl"], C, k.alligator, jaw, teeth, lips),
     "rsi": lambda length=14, scalar=100.0, drift=1: _make([f"RSI_{length}"], C, k.rsi, length, scalar, drift),
     "atr": lambda length=14, mamode="rma", drift=1, percent=False: _make([f"ATR_{length}"], HLC, k.atr, length, mamode, drift, percent),
-    "atrts": lambda length=14, ma_length=20, kk=3.0: _make([f"ATRTS_{tag(length, ma_length, kk)}"], HLC, k.atr_stop, length, ma_length, kk),
+    "atrts": lambda length=14, ma_length=20, kk=3.0, mamode="ema", percent=False: _make([f"ATRTS_{tag(length, ma_length, kk)}"], HLC, k.atr_stop, length, ma_length, kk, mamode, percent),
     "aberration": lambda length=5, atr_length=15: _make([f"ABER_{n}_{length}_{atr_length}" for n in ("ZG", "SG", "XG", "ATR")], HLC, k.aberration, length, atr_length),
     "macd": lambda fast=12, slow=26, signal=9, asmode=False: _make([f"MACD{'AS' if asmode else ''}{n}_{fast}_{slow}_{signal}" for n in ("", "s", "h")], C, k.macd, fast, slow, signal, asmode),
     "adx": lambda length=14, signal_length=None, adxr_length=2, scalar=100.0, mamode="rma", drift=1, tvmode=False: _make([f"ADX_{signal_length or length}", f"ADXR_{signal_length or length}_{adxr_length}", f"DMP_{length}", f"DMN_{length}"], HLC, k.adx, length, signal_length, adxr_length, scalar, mamode, drift, tvmode),
-    "rwi": lambda length=14: _make([f"RWI_HIGH_{length}", f"RWI_LOW_{length}"], HLC, k.rwi, length),
-    "supertrend": lambda length=7, atr_length=None, multiplier=3.0: _make([f"SUPERT{n}_{tag(length, multiplier)}" for n in ("", "d", "l", "s")], HLC, k.supertrend, length, atr_length, multiplier),
-    "stochrsi": lambda length=14, rsi_length=14, kk=3, d=3: _make([f"STOCHRSI{n}_{length}_{rsi_length}_{kk}_{d}" for n in "kd"], C, k.stochrsi, length, rsi_length, kk, d),
-    "crsi": lambda rsi_length=3, streak_length=2, rank_length=100: _make([f"CRSI_{rsi_length}_{streak_length}_{rank_length}"], C, k.crsi, rsi_length, streak_length, rank_length),
+    "rwi": lambda length=14, mamode="rma", drift=1: _make([f"RWI_HIGH_{length}", f"RWI_LOW_{length}"], HLC, k.rwi, length, mamode, drift),
+    "supertrend": lambda length=7, atr_length=None, multiplier=3.0, atr_mamode="rma": _make([f"SUPERT{n}_{tag(length, multiplier)}" for n in ("", "d", "l", "s")], HLC, k.supertrend, length, atr_length, multiplier, atr_mamode),
+    "stochrsi": lambda length=14, rsi_length=14, kk=3, d=3, mamode="sma": _make([f"STOCHRSI{n}_{length}_{rsi_length}_{kk}_{d}" for n in "kd"], C, k.stochrsi, length, rsi_length, kk, d, mamode),
+    "crsi": lambda rsi_length=3, streak_length=2, rank_length=100, scalar=100.0, normalize=False: _make([f"CRSI_{rsi_length}_{streak_length}_{rank_length}"], C, k.crsi, rsi_length, streak_length, rank_length, scalar, normalize),
     "ha": lambda: _make([f"HA_{n}" for n in OHLC], OHLC, k.heikin_ashi),
     "kagi": lambda reversal=5.0: _make(["KAGI"], C, k.kagi, reversal),
     "pf_trend": lambda box_size=2.0, reversal=3: _make(["PF_TREND"], C, k.point_and_figure, box_size, reversal),
     "renko": lambda box_size=2.0: _make(["RENKO"], C, k.renko, box_size),
     "ott": lambda length=2, percent=1.4, ma_type="VAR": _make([f"{n}_{tag(length, percent)}_{ma_type}" for n in ("OTT_MA", "OTT_LONG_STOP", "OTT_SHORT_STOP", "OTT_DIRECTION", "OTT")], C, k.ott, length, percent, ma_type),
-    "rsi_clouds": lambda rsi_length=14, macd_fast=12, macd_slow=26, macd_signal=9: _make([f"RSI_CLOUDS_{n}_{rsi_length}" for n in ("RSI", "MACD", "SIGNAL", "HIST")], OHLC, k.rsi_clouds, rsi_length, macd_fast, macd_slow, macd_signal),
+    "rsi_clouds": lambda rsi_length=14, macd_fast=12, macd_slow=26, macd_signal=9, rsi_scalar=100.0, rsi_drift=1, macd_mamode="ema": _make([f"RSI_CLOUDS_{n}_{rsi_length}" for n in ("RSI", "MACD", "SIGNAL", "HIST")], OHLC, k.rsi_clouds, rsi_length, macd_fast, macd_slow, macd_signal, rsi_scalar, rsi_drift, macd_mamode),
     "scrsi": lambda domcycle=20, vibration=10, leveling=10.0: _make([f"SCRSI_{n}_{domcycle}_{vibration}" for n in ("scaled", "crsi", "lb", "ub")], C, k.scrsi, domcycle, vibration, leveling),
     "avsl": lambda fast=12, slow=26, stand_div=1.0, max_deviation=None: _make(["avsl"], ("low", "close", "volume"), k.price_volume_stop, fast, slow, stand_div, max_deviation, -1),
     "avsr": lambda fast=12, slow=26, stand_div=1.0, max_deviation=None: _make(["avsr"], ("high", "close", "volume"), k.price_volume_stop, fast, slow, stand_div, max_deviation, 1),
@@ -81,17 +87,25 @@ INDICATORS: dict[str, Callable[..., Recursive]] = {
 
 
 def with_recursive(bars: DataFrame, key: str, order: str, requests: list[Recursive]) -> DataFrame:
-    """Bars with the requests' outputs, computed in one pass over each series."""
-    fields = bars.schema.fields
-    schema = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for r in requests for n in r.outputs)])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable", ignore_index=True)
+    """Bars with the requests' outputs, computed in one pass over each series.
+
+    What the requests read is a column of its own; all others travel as one struct, which no kernel looks into.
+    """
+    used = [key, order, *dict.fromkeys(c for r in requests for c in r.inputs if c not in (key, order))]
+    rest = [c for c in bars.columns if c not in used]
+    packed = bars.select(*used, *([F.struct(*rest).alias("__rest")] if rest else []))
+    schema = T.StructType([*packed.schema.fields, *(T.StructField(n, T.DoubleType()) for r in requests for n in r.outputs)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        columns = {c: table.column(c) for c in table.column_names}
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             for r in requests:
-                out = r.kernel(*(frame[c].to_numpy(dtype=np.float64, na_value=np.nan) for c in r.inputs))
+                out = r.kernel(*(columns[c].cast(pa.float64()).to_numpy().copy() for c in r.inputs))
                 for name, values in zip(r.outputs, out if isinstance(out, tuple) else (out,), strict=True):
-                    frame[name] = np.where(np.isfinite(values), values, np.nan)
-        return frame
+                    columns[name] = pa.array(np.asarray(values, dtype=np.float64), mask=~np.isfinite(values))
+        return pa.table(columns)
 
-    return bars.groupBy(key).applyInPandas(run, schema)
+    out = packed.groupBy(key).applyInArrow(run, schema)
+    outputs = [n for r in requests for n in r.outputs]
+    return out.select(*(F.col(f"__rest.{c}").alias(c) if c in rest else F.col(c) for c in bars.columns if c not in outputs), *outputs)

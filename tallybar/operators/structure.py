@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def flat_tops(x: np.ndarray, least: int) -> np.ndarray:
@@ -76,17 +80,29 @@ def zigzag(bars: DataFrame, key: str, order: str, prominence_peak: float = 0.01,
     return bars.groupBy(key).applyInPandas(run, schema)
 
 
-def market_structure(flagged: DataFrame, key: str, order: str, streak: int = 3) -> DataFrame:
-    """Extremes only, labelled HH, LH, HL or LL against the one before of their kind, with the trend that the
-    last ``streak`` labels agree on: up (HH, HL), down (LH, LL) or none."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
+def market_structure(flagged: DataFrame, key: str, order: str, lookback: int = 10, min_consecutive: int = 3) -> DataFrame:
+    """structure_label and trend_direction as of every bar with an extreme, from bars with is_peak and is_valley.
 
-    kinds = F.explode(F.array_compact(F.array(F.when(F.col("is_peak"), F.struct(F.lit("H").alias("kind"), F.col("high").alias("price"))), F.when(F.col("is_valley"), F.struct(F.lit("L").alias("kind"), F.col("low").alias("price"))))))
-    extremes = flagged.select(key, order, kinds.alias("x")).select(key, order, "x.kind", "x.price")
-    before = F.lag("price").over(Window.partitionBy(key, "kind").orderBy(order))
-    label = F.when(before.isNotNull(), F.concat(F.when(F.col("price") > before, "H").otherwise("L"), F.col("kind")))
-    along = Window.partitionBy(key).orderBy(order, "kind").rowsBetween(1 - streak, 0)
-    labelled = extremes.withColumn("label", label)
-    count = lambda first: F.sum(F.when(F.col("label").startswith(first), 1).otherwise(0)).over(along)
-    return labelled.withColumn("trend", F.when(count("H") == streak, "up").when(count("L") == streak, "down").otherwise("none"))
+    The label says whether the last peak is above the one before it (HH, else LH) and the last valley above its
+    predecessor (HL, else LL); it needs two of each, and a ``lookback``, in extremes of a kind, that holds two. The trend
+    is up if the last ``min_consecutive`` extremes within the lookback, peaks after valleys of the same bar, are all of kinds
+    that rose, down if all are of kinds that did not, else null.
+    """
+    high, low = (F.struct(F.lit(i).alias("kind"), F.col(c).alias("price")) for i, c in ((1, "high"), (0, "low")))
+    both = F.array_compact(F.array(F.when(F.col("is_valley"), low), F.when(F.col("is_peak"), high)))
+    extremes = flagged.select(key, order, F.explode(both).alias("x")).select(key, order, "x.kind", "x.price")
+    along = Window.partitionBy(key).orderBy(order, "kind")
+    sofar = along.rowsBetween(Window.unboundedPreceding, 0)
+    above = F.col("price") > F.lag("price").over(Window.partitionBy(key, "kind").orderBy(order))
+    out = extremes.withColumn("above", above)
+    for i, name in ((1, "peak"), (0, "valley")):
+        is_kind = F.col("kind") == i
+        seen = F.count(F.when(is_kind, 1))
+        out = out.withColumns({f"{name}s": seen.over(sofar), f"{name}_up": F.last(F.when(is_kind, F.col("above")), ignorenulls=True).over(sofar), f"{name}_near": (seen.over(along.rowsBetween(1 - min_consecutive, 0)) > 0) | F.lit(min_consecutive > lookback)})
+    known = (F.col("peaks") >= 2) & (F.col("valleys") >= 2) & F.lit(lookback >= 2)
+    enough = known & (F.least("peaks", F.lit(lookback)) + F.least("valleys", F.lit(lookback)) >= min_consecutive)
+    agree = lambda way: reduce(lambda a, b: a & b, (~F.col(f"{n}_near") | (F.col(f"{n}_up") == way) for n in ("peak", "valley")))
+    label = F.concat(F.when(F.col("peak_up"), "HH").otherwise("LH"), F.lit("/"), F.when(F.col("valley_up"), "HL").otherwise("LL"))
+    trend = F.when(enough & agree(True), "up").when(enough & agree(False), "down")
+    out = out.withColumn("last", F.row_number().over(Window.partitionBy(key, order).orderBy(F.col("kind").desc()))).where("last = 1")
+    return out.select(key, order, F.when(known, label).alias("structure_label"), trend.alias("trend_direction"))

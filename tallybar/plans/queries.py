@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import strategy
 from ..frame import BarFrame
 from ..functions import patterns, signals, windows
 from ..operators import levels, order_blocks, recursive, structure, zones
@@ -67,9 +68,9 @@ def _recursive(request: recursive.Recursive, source: str = "events") -> Query:
     return lambda spark, d: _shown(BarFrame(SOURCES[source][0](spark, d), "sym", "ts").recursive(request).df, request.outputs)
 
 
-def _pattern(names: list[str], strict: bool = False, symmetric: bool = False) -> Query:
+def _pattern(names: list[str], strict: bool = False, symmetric: bool = False, **how) -> Query:
     outputs = [f"CDL_{n.upper()}" for n in names]
-    return lambda spark, d: _shown(BarFrame(sources.events_hourly(spark, d), "sym", "ts").patterns(*names, strict=strict, symmetric=symmetric).df, outputs)
+    return lambda spark, d: _shown(BarFrame(sources.events_hourly(spark, d), "sym", "ts").patterns(*names, strict=strict, symmetric=symmetric, **how).df, outputs)
 
 
 def _pattern_sql(names: list[str], strict: bool = False, symmetric: bool = False) -> str:
@@ -109,7 +110,8 @@ last_stage as (select x.sym, x.ts, {shown} from x left join s on s.sym = x.sym a
 
 
 def _recursion_sql(name: str) -> str:
-    return f"{_recursion_tables(name)} {_shown_sql(RECURSIONS[name].outputs)}"
+    outputs = RECURSIONS[name].outputs
+    return f"{_recursion_tables(name)} {_shown_sql(outputs, plain=[n for n in outputs if n.startswith(('entry', 'exit'))])}"
 
 
 def _crosses(a: str, b: str, over: str = "over (partition by sym order by ts)") -> str:
@@ -136,11 +138,77 @@ raw as (select sym, ts, case when n = 14 then coalesce(100 * (r - low) / nullif(
 
 
 def _stochastic_signals_sql() -> str:
-    k, d = "STOCHRSIk_14_14_3_3", "STOCHRSId_14_14_3_3"
-    crosses = f"select sym, ts, {_crosses(k, d)} and coalesce({k} < 20, false) as buy, {_crosses(d, k)} and coalesce({k} > 80, false) as sell from stochastic"
+    k, d = '"STOCHRSIk_14_14_3_3"', '"STOCHRSId_14_14_3_3"'
+    crosses = f"select sym, ts, coalesce({k} > {d} and lag({k}) over w < lag({d}) over w and {k} < 20, false) as buy, coalesce({k} < {d} and lag({k}) over w > lag({d}) over w and {k} > 80, false) as sell from stochastic window w as (partition by sym order by ts)"
     return f"{_stochastic_tables()}, crosses as ({crosses}) {_shown_sql(['buy', 'sell'], 'crosses', ['buy', 'sell'])}"
 
 
+def _clouds_tables() -> str:
+    signs = {"macd_cross": ("RSI_CLOUDS_MACD_14", "RSI_CLOUDS_SIGNAL_14"), "hist_cross": ("RSI_CLOUDS_HIST_14", "0")}
+    before = lambda x: x if x == "0" else f"lag({x}) over w"
+    columns = ", ".join(f"case when {before(a)} < {before(b)} and {a} > {b} then 1 when {before(a)} > {before(b)} and {a} < {b} then -1 else 0 end as {n}" for n, (a, b) in signs.items())
+    return f"{_recursion_tables('rsi_clouds')}, crosses as (select sym, ts, {columns} from last_stage window w as (partition by sym order by ts))"
+
+
+def _cycle_tables() -> str:
+    now, before = "SCRSI_crsi_20_10", "lag(SCRSI_crsi_20_10) over w"
+    buy = f"case when ({before} < 50 and {now} >= 50) or ({before} <= 0 and {now} > 0) then 1 else 0 end"
+    sell = f"case when ({before} > 50 and {now} <= 50) or ({before} >= 100 and {now} < 100) then 1 else 0 end"
+    return f"{_recursion_tables('scrsi')}, crosses as (select sym, ts, {buy} as buy, {sell} as sell from last_stage window w as (partition by sym order by ts))"
+
+
+def _last_sql(tables: str, label: str) -> str:
+    return f"{tables} select sym, {label} as signal from crosses qualify row_number() over (partition by sym order by ts desc) = 1"
+
+
+def _swings_sql(column: str, least: float = 0.01, apart: int = 5) -> str:
+    """Strict maxima of a column that stand out by ``least`` above the higher of both sides' lowest points; of those less than ``apart`` bars after the first of their group, the highest."""
+    tops = f"select sym, rn, {column} as v, {column} > lag({column}) over w and {column} > lead({column}) over w as top, {column} - greatest(min({column}) over (partition by sym order by rn), min({column}) over (partition by sym order by rn desc)) as out from x window w as (partition by sym order by rn)"
+    kept = f"select sym, rn, v, min(rn) over (partition by sym order by rn range between {apart} following and unbounded following) as next from ({tops}) where top and out >= {least}"
+    return kept
+
+
+def _zigzag_tables() -> str:
+    heads = lambda n: f"g{n} as (select sym, min(rn) as rn from k{n} group by sym union all select k{n}.sym, k{n}.next from g{n} join k{n} using (sym, rn) where k{n}.next is not null)"
+    best = lambda n: f"f{n} as (select g.sym, arg_max(k.rn, (k.v, -k.rn)) as rn from g{n} g join k{n} k on k.sym = g.sym and k.rn between g.rn and g.rn + 4 group by g.sym, g.rn)"
+    x = f"x as (select *, -low as neg, row_number() over (partition by sym order by ts) as rn from bars)"
+    parts = [f"bars as ({EVENTS})", x]
+    for n, column in ((1, "high"), (2, "neg")):
+        parts += [f"k{n} as ({_swings_sql(column)})", heads(n), best(n)]
+    parts.append("last_stage as (select x.sym, x.ts, x.rn, x.high, x.low, f1.rn is not null as is_peak, f2.rn is not null as is_valley from x left join f1 on f1.sym = x.sym and f1.rn = x.rn left join f2 on f2.sym = x.sym and f2.rn = x.rn)")
+    return f"with recursive {', '.join(parts)}"
+
+
+def _market_structure_sql() -> str:
+    """For each bar with an extreme: all peaks and valleys so far, as lists of prices and of kinds."""
+    extremes = "select sym, ts, rn * 2 as pos, 'V' as kind, low as price from last_stage where is_valley union all select sym, ts, rn * 2 + 1, 'P', high from last_stage where is_peak"
+    lists = "select sym, ts, pos, list(price) filter (where kind = 'P') over w as p, list(price) filter (where kind = 'V') over w as v, list(kind) over w as kinds from extremes window w as (partition by sym order by pos)"
+    judged = "select sym, ts, pos, len(p) >= 2 and len(v) >= 2 as known, case when p[-1] > p[-2] then 'HH' else 'LH' end as a, case when v[-1] > v[-2] then 'HL' else 'LL' end as b, kinds[-3:] as recent from lists"
+    votes = "list_transform(recent, lambda k: case k when 'P' then a else b end)"
+    trend = f"case when known and len(recent) = 3 and len(list_filter({votes}, lambda t: t[1] = 'H')) = 3 and not list_contains({votes}, 'LH') then case when list_contains({votes}, 'LL') then null else 'up' end when known and len(recent) = 3 and len(list_filter({votes}, lambda t: t in ('LH', 'LL'))) = 3 then 'down' end"
+    last = f"select sym, ts, case when known then a || '/' || b end as structure_label, {trend} as trend_direction from judged qualify row_number() over (partition by sym, ts order by pos desc) = 1"
+    return f"{_zigzag_tables()}, extremes as ({extremes}), lists as ({lists}), judged as ({judged}), structures as ({last}) {_shown_sql(['structure_label', 'trend_direction'], 'structures', ['structure_label', 'trend_direction'])}"
+
+
+FORWARD = f"""with bars as ({ORDERS}), seen as (select sym, ts, row_number() over w as rn, count(*) over (partition by sym) - row_number() over w as left_, max(ts) over (partition by sym) as last,
+(max(high) over a + min(low) over a + max(high) over b + min(low) over b) / 4 as one, (max(high) over c + min(low) over c) / 2 as two from bars window w as (partition by sym order by ts), a as (partition by sym order by ts rows 8 preceding), b as (partition by sym order by ts rows 25 preceding), c as (partition by sym order by ts rows 51 preceding)),
+last_stage as (select sym, last + to_days(cast(26 - left_ as integer)) as ts, case when rn >= 52 then one end as "ISA_9", case when rn >= 52 then two end as "ISB_52" from seen where left_ < 26) """ + _shown_sql(["ISA_9", "ISB_52"])
+
+FACTORS = {
+    "cdl_engulfing_factors": ("CDL_ENGULFING", "case when r0 > 0 and r1 > 0 and b0 >= 0.1 * r0 and b1 >= 0.1 * r1 and r0 - b0 <= 0.9 * r0 and r1 - b1 <= 0.9 * r1 then case when c1 < o1 and close > open and open <= c1 and close >= o1 then 1.0 when c1 > o1 and close < open and open >= c1 and close <= o1 then -1.0 else 0.0 end else 0.0 end"),
+    "cdl_eveningstar_factors": ("CDL_EVENINGSTAR", "case when r0 > 0 and r1 > 0 and r2 > 0 and c2 > o2 and b1 <= 0.6 * r1 and l1 > h2 and close < open and close <= o2 + 0.5 * (c2 - o2) then -1.0 else 0.0 end"),
+    "cdl_hikkake_ahead": ("CDL_HIKKAKE", "case when rn + 5 <= n and h1 < h2 and l1 > l2 then case when low < l1 and high <= h1 and top5 > h1 then 1.0 when high > h1 and low >= l1 and bottom5 < l1 then -1.0 else 0.0 end else 0.0 end"),
+}
+
+
+def _factors_sql(name: str) -> str:
+    output, value = FACTORS[name]
+    lags = ", ".join(f"lag({c}, {k}) over w as {c[0]}{k}" for c in ("open", "high", "low", "close") for k in (1, 2))
+    shapes = "high - low as r0, abs(close - open) as b0, h1 - l1 as r1, abs(c1 - o1) as b1, h2 - l2 as r2"
+    ahead = "max(high) over f as top5, min(low) over f as bottom5, row_number() over w as rn, count(*) over (partition by sym) as n"
+    return f"with bars as ({EVENTS}), lagged as (select *, {lags}, {ahead} from bars window w as (partition by sym order by ts), f as (partition by sym order by ts rows between 1 following and 5 following)), shaped as (select *, {shapes} from lagged), last_stage as (select sym, ts, coalesce({value}, 0.0) as {output} from shaped) {_shown_sql([output])}"
+
+
 #: Moving averages by name that are finite windows.
 AVERAGES = {n: windows.INDICATORS[n](10) for n in ("sma", "wma", "fwma", "pwma", "sinwma", "swma", "trima", "hma", "linreg", "midpoint")}
 
@@ -162,7 +230,7 @@ def _zigzag_flat(spark: SparkSession, d: str) -> DataFrame:
 
 def _market_structure(spark: SparkSession, d: str) -> DataFrame:
     flagged = structure.zigzag(sources.events_hourly(spark, d), "sym", "ts")
-    return _shown(structure.market_structure(flagged, "sym", "ts"), ["kind", "price", "label", "trend"])
+    return _shown(structure.market_structure(flagged, "sym", "ts"), ["structure_label", "trend_direction"])
 
 
 def _order_blocks(bars=sources.orders_daily, **how) -> Query:
@@ -208,16 +276,32 @@ def _last_ott_signal(spark: SparkSession, d: str) -> DataFrame:
     return signals.last_ott_signal(signals.ott_signals(frame, "sym", "ts", "close", request.outputs[4], request.outputs[0]), "sym", "ts")
 
 
-def _clouds_signals(spark: SparkSession, d: str) -> DataFrame:
+def _clouds(spark: SparkSession, d: str) -> DataFrame:
     request = recursive.INDICATORS["rsi_clouds"]()
     frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(request).df
-    return _shown(signals.line_cross(frame, "sym", "ts", request.outputs[1], request.outputs[2]), ["cross"])
+    return signals.clouds_signals(frame, "sym", "ts", *request.outputs[1:])
 
 
-def _scrsi_signals(spark: SparkSession, d: str) -> DataFrame:
+def _clouds_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_clouds(spark, d), ["macd_cross", "hist_cross"])
+
+
+def _last_clouds_signal(spark: SparkSession, d: str) -> DataFrame:
+    return signals.last_clouds_signal(_clouds(spark, d), "sym", "ts")
+
+
+def _cycle(spark: SparkSession, d: str) -> DataFrame:
     request = recursive.INDICATORS["scrsi"]()
     frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(request).df
-    return _shown(signals.level_cross(frame, "sym", "ts", request.outputs[1], [50, 0, 100]), ["cross"])
+    return signals.cycle_signals(frame, "sym", "ts", request.outputs[1])
+
+
+def _scrsi_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_cycle(spark, d), ["buy", "sell"])
+
+
+def _last_scrsi_signal(spark: SparkSession, d: str) -> DataFrame:
+    return signals.last_cycle_signal(_cycle(spark, d), "sym", "ts")
 
 
 def _band_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -258,6 +342,16 @@ def _strategy_sql() -> str:
     return sql[: sql.rindex("select sym, strftime")] + _shown_sql(["entry", "exit"], f"stage_{len(stages) - 1}", ["entry", "exit"])
 
 
+#: A strategy that names its own indicators.
+STRATEGY = """{"indicators": {"rsi": {"type": "RSI", "length": 14}, "mean": {"type": "SMA", "length": 10}, "top": {"type": "EMA", "source": "high", "length": 10}},
+"entry": {"long": ["rsi.value < 45", "price > mean.sma"]}, "exit": {"long": ["rsi.rsi > 55 or price > top.value", "not price < mean.value"]}}"""
+
+
+def _strategy_text(spark: SparkSession, d: str) -> DataFrame:
+    frame = strategy.apply(BarFrame(sources.events_hourly(spark, d), "sym", "ts"), strategy.parse(STRATEGY))
+    return _shown(frame.df, ["entry_long", "exit_long"])
+
+
 def _bars(source: str) -> Query:
     return lambda spark, d: _shown(SOURCES[source][0](spark, d), ["open", "high", "low", "close", "volume"])
 
@@ -309,7 +403,10 @@ def queries() -> dict[str, Query]:
     blocks = {"order_blocks_all_breakouts": {"check_breaker": True, "use_market_structure_filter": True}, "order_blocks_clustered": {"cluster_blocks": True, "cluster_price_tolerance": 0.05}}
     for name, how in blocks.items():
         out |= {name: _order_blocks(multiple_breakouts=True, **how), f"{name}_short": _order_blocks(lookback_max=8, multiple_breakouts=True, **how)}
-    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "scrsi_signals": _scrsi_signals, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
+    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "last_rsi_clouds_signal": _last_clouds_signal, "scrsi_signals": _scrsi_signals, "last_scrsi_signal": _last_scrsi_signal, "strategy_text": _strategy_text, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
+    modes = {"apo_ema": windows.apo(mamode="ema"), "bias_ema": windows.bias(mamode="ema"), "bbands_ema": windows.bbands(mamode="ema"), "accbands_ema": windows.accbands(mamode="ema"), "hma_ema": windows.hma(mamode="ema"), "hilo_ema": windows.hilo(mamode="ema"), "stochf_ema": windows.stochf(mamode="ema"), "doji_naive": windows.doji(naive=True)}
+    out |= {name: _finite(i, "events") for name, i in modes.items()}
+    out |= {"cdl_engulfing_factors": _pattern(["engulfing"], True, min_body_factor=0.1, max_shadow_factor=0.9), "cdl_eveningstar_factors": _pattern(["eveningstar"], min_body_factor=0.6), "cdl_hikkake_ahead": _pattern(["hikkake"], lookahead=5)}
     return out
 
 
@@ -325,6 +422,11 @@ def oracle_sql() -> dict[str, str]:
     kinds, sides = ("price_cross", "support_cross", "color_change"), ("buy", "sell")
     out |= {"ott_signals": _ott_signals_sql([f"{a}_{b}" for a in sides for b in kinds], False), "last_ott_signal": _ott_signals_sql([f"{a}_{b}" for b in kinds for a in sides], True)}
     out |= {"stochrsi": f"{_stochastic_tables()} {_shown_sql(['STOCHRSIk_14_14_3_3', 'STOCHRSId_14_14_3_3'], 'stochastic')}", "stochrsi_signals": _stochastic_signals_sql()}
+    out |= {"rsi_clouds_signals": f"{_clouds_tables()} {_shown_sql(['macd_cross', 'hist_cross'], 'crosses', ['macd_cross', 'hist_cross'])}", "last_rsi_clouds_signal": _last_sql(_clouds_tables(), "case macd_cross when 1 then 'buy' when -1 then 'sell' end")}
+    out |= {"scrsi_signals": f"{_cycle_tables()} {_shown_sql(['buy', 'sell'], 'crosses', ['buy', 'sell'])}", "last_scrsi_signal": _last_sql(_cycle_tables(), "case when buy = 1 then 'long' when sell = 1 then 'short' end")}
+    out |= {"zigzag": f"{_zigzag_tables()} {_shown_sql(['is_peak', 'is_valley'], plain=['is_peak', 'is_valley'])}", "market_structure": _market_structure_sql(), "ichimoku_forward": FORWARD}
+    out |= {name: _factors_sql(name) for name in FACTORS}
+    out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, case when abs(open - close) < 0.1 * (high - low) then 100.0 else 0.0 end as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
     out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
     out |= {"resample_monthly": MONTHLY, "order_zones": ORDER_ZONES, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
     sma = windows.sma(10)

@@ -215,6 +215,124 @@ def _tracker(n: int, kind: str) -> Recursion:
     return Recursion(first, state, {f"OTT_MA_{tail}": "m", f"OTT_LONG_STOP_{tail}": "l", f"OTT_SHORT_STOP_{tail}": "u", f"OTT_DIRECTION_{tail}": "coalesce(d, 1)", f"OTT_{tail}": line}, extra)
 
 
+def _exponentials(n: int, depth: int, value: str = "x.close") -> list[str]:
+    """Steps of an average, of its average, and so on: states e1, e2, ... from bar 1 on."""
+    steps = [value]
+    for k in range(1, depth + 1):
+        steps.append(_begun(k * (n - 1) + 1, n, (n + 1) / 2, f"s.e{k}", steps[-1]))
+    return steps[1:]
+
+
+def _t3(n: int, output: str) -> Recursion:
+    steps = _exponentials(n, 6)
+    state = {f"e{k}": (f"avg(close) / {n}" if k == 1 else "0.0", step) for k, step in enumerate(steps, 1)}
+    weights = (-0.7**3, 3 * 0.7**2 + 3 * 0.7**3, -6 * 0.7**2 - 3 * 0.7 - 3 * 0.7**3, 1 + 3 * 0.7 + 0.7**3 + 3 * 0.7**2)
+    mix = " + ".join(f"({w!r}) * e{k}" for w, k in zip(weights, (6, 5, 4, 3), strict=True))
+    return Recursion(1, state, {output: f"case when x.rn >= {6 * n - 5} then {mix} end"})
+
+
+def _macd_after_signal() -> Recursion:
+    state = dict(_macd().state)
+    (_, fast), (_, slow), (_, trigger) = (state[v] for v in "fwg")
+    state["h"] = ("0.0", _begun(42, 9, 5, "s.h", f"(({fast} - {slow}) - {trigger})"))
+    outputs = {"MACDAS_12_26_9": "case when x.rn >= 34 then f - w - g end", "MACDASs_12_26_9": "case when x.rn >= 42 then h end", "MACDASh_12_26_9": "case when x.rn >= 42 then f - w - g - h end"}
+    return Recursion(26, state, outputs)
+
+
+def _clouds() -> Recursion:
+    gain, loss = (f"((13 * s.{v} + greatest({a} - {b}, 0)) / 14)" for v, a, b in (("g", "x.q", "x.pq"), ("l", "x.pq", "x.q")))
+    index, seed = f"(100 * {gain} / nullif({gain} + {loss}, 0))", "(100 * sum(greatest(q - pq, 0)) / nullif(sum(abs(q - pq)), 0))"
+    fast, slow = _begun(25, 12, 6.5, "s.f", index), _begun(39, 26, 13.5, "s.w", index)
+    state = {
+        "g": ("sum(coalesce(greatest(q - pq, 0), 0)) / 14", gain),
+        "l": ("sum(coalesce(greatest(pq - q, 0), 0)) / 14", loss),
+        "f": (f"{seed} / 12", fast),
+        "w": (f"{seed} / 26", slow),
+        "t": ("0.0", _begun(47, 9, 5, "s.t", f"({fast} - {slow})")),
+    }
+    outputs = {"RSI": "100 * g / nullif(g + l, 0)", "MACD": "case when x.rn >= 39 then f - w end", "SIGNAL": "case when x.rn >= 47 then t end", "HIST": "case when x.rn >= 47 then f - w - t end"}
+    extra = {"q": "(open + high + low + close) / 4", "pq": "(lag(open) over w + lag(high) over w + lag(low) over w + lag(close) over w) / 4"}
+    return Recursion(14, state, {f"RSI_CLOUDS_{k}_14": v for k, v in outputs.items()}, extra)
+
+
+def _cycle() -> Recursion:
+    """The scaled index of the last bars stands in a, b, c, d, newest first."""
+    over = "over (partition by sym order by ts rows 9 preceding)"
+    up, down = (f"sum(coalesce(greatest({x}, 0), 0)) {over}" for x in ("close - p", "p - close"))
+    scaled = f"case when rn >= 10 then coalesce(200 * {up} / nullif({up} + {down}, 0), 100) - 100 end"
+    at = lambda k: f"max(case when rn = {14 - k} then sc end)"
+    state = {"a": (at(0), "x.sc"), "b": (at(1), "s.a"), "c": (at(2), "s.b"), "d": (at(3), "s.c"), "v": (f"2.0 / 11 * (2 * {at(0)} - {at(4)})", "2.0 / 11 * (2 * x.sc - s.d) + 9.0 / 11 * s.v")}
+    bound = lambda q, none: f"case when count(v) over (partition by x.sym) >= 40 then quantile_cont(case when x.rn < 54 then v end, {q}) over (partition by x.sym) else {none} end"
+    names = {"scaled": "sc", "crsi": "v", "lb": bound(0.1, -100.0), "ub": bound(0.9, 100.0)}
+    return Recursion(14, state, {f"SCRSI_{k}_20_10": v for k, v in names.items()}, {"sc": scaled})
+
+
+def _streaks() -> Recursion:
+    way = "sign(x.close - x.p)"
+    streak = f"(case when {way} = 0 then 0 else {way} + case when s.k * {way} > 0 then s.k else 0 end end)"
+    state = {
+        "k": ("0.0", streak),
+        "g": ("0.0", _begun(3, 3, 3, "s.g", "greatest(x.close - x.p, 0)")),
+        "l": ("0.0", _begun(3, 3, 3, "s.l", "greatest(x.p - x.close, 0)")),
+        "a": ("0.0", _begun(2, 2, 2, "s.a", f"greatest({streak} - s.k, 0)")),
+        "b": ("0.0", _begun(2, 2, 2, "s.b", f"greatest(s.k - {streak}, 0)")),
+    }
+    rank = "case when rn >= 100 then len(list_filter(list(close) over (partition by sym order by ts rows 99 preceding), lambda v: v < close)) / 0.99 end"
+    return Recursion(1, state, {"CRSI_3_2_100": "(100 * g / nullif(g + l, 0) + 100 * a / nullif(a + b, 0) + rank) / 3"}, {"rank": rank})
+
+
+def _point_and_figure() -> Recursion:
+    move, box = "(x.close - s.e)", "floor(x.close / 2) * 2"
+    starts, goes, turns = f"(s.k = 0 and abs({move}) >= 2)", f"(s.k <> 0 and {move} * s.k >= 2)", f"(s.k <> 0 and -{move} * s.k >= 6)"
+    kind = f"case when {starts} then sign({move}) when {turns} then -s.k else s.k end"
+    return Recursion(1, {"k": ("0.0", kind), "e": ("avg(close)", f"case when {starts} or {goes} or {turns} then {box} else s.e end")}, {"PF_TREND": "k"})
+
+
+def _bricks() -> Recursion:
+    laid = "trunc((x.close - s.a) / 2)"
+    return Recursion(1, {"a": ("avg(close)", f"s.a + 2 * {laid}"), "o": ("0.0", f"sign({laid})")}, {"RENKO": "o"})
+
+
+def _hilo_exponential() -> Recursion:
+    over, under = _begun(13, 13, 7, "s.m", "x.high"), _begun(21, 21, 11, "s.k", "x.low")
+    up, down = "(x.rn > 13 and x.close > s.m)", "(x.rn > 21 and x.close < s.k)"
+    line = f"case when {up} then (case when x.rn >= 21 then {under} end) when {down} then {over} else s.h end"
+    state = {"m": ("avg(high) / 13", over), "k": ("avg(low) / 21", under), "u": ("0.0", f"case when {up} then 1 else 0 end"), "d": ("0.0", f"case when {down} then 1 else 0 end"), "h": ("null", line)}
+    return Recursion(1, state, {"HILO_13_21": "h", "HILOl_13_21": "case when d = 0 or u = 1 then h end", "HILOs_13_21": "case when u = 0 then h end"})
+
+
+def _bands_exponential() -> Recursion:
+    outputs = {"L": "v - 2 * d", "M": "v", "U": "v + 2 * d", "B": "400 * d / v", "P": "(close - v + 2 * d) / nullif(4 * d, 0)"}
+    return Recursion(20, {"v": ("avg(close)", _moved(10.5))}, {f"BB{k}_20_2_2": v for k, v in outputs.items()}, {"d": "stddev_samp(close) over (partition by sym order by ts rows 19 preceding)"})
+
+
+def _acceleration_exponential() -> Recursion:
+    wide = "4 * (high - low) / (high + low)"
+    state = {v: (f"avg({c})", _moved(10.5, f"s.{v}", f"x.{c}")) for v, c in (("u", "hi"), ("m", "close"), ("l", "lo"))}
+    return Recursion(20, state, {"ACCBU_20": "u", "ACCBM_20": "m", "ACCBL_20": "l"}, {"hi": f"high * (1 + {wide})", "lo": f"low * (1 - {wide})"})
+
+
+def _hull_exponential() -> Recursion:
+    short, long = _begun(5, 5, 3, "s.a", "x.close"), _begun(10, 10, 5.5, "s.b", "x.close")
+    state = {"a": ("avg(close) / 5", short), "b": ("avg(close) / 10", long), "c": ("0.0", _begun(12, 3, 2, "s.c", f"(2 * {short} - {long})"))}
+    return Recursion(1, state, {"HMA_10": "case when x.rn >= 12 then c end"})
+
+
+def _stochastic_exponential() -> Recursion:
+    over = "over (partition by sym order by ts rows 13 preceding)"
+    raw = f"case when rn >= 14 then 100 * (close - min(low) {over}) / nullif(max(high) {over} - min(low) {over}, 0) end"
+    return Recursion(16, {"v": ("avg(k)", _moved(2, "s.v", "x.k"))}, {"STOCHFk_14_3": "k", "STOCHFd_14_3": "v"}, {"k": raw})
+
+
+def _strategy() -> Recursion:
+    """An index of 14 bars and the average of 10 highs, beside the mean of 10 closes."""
+    state = {"e": ("avg(high) / 10", _begun(10, 10, 5.5, "s.e", "x.high"))}
+    state |= {v: ("0.0", _begun(14, 14, 14, f"s.{v}", f"greatest({a} - {b}, 0)")) for v, a, b in (("g", "x.close", "x.p"), ("l", "x.p", "x.close"))}
+    index, top = "(case when x.rn >= 14 then 100 * g / nullif(g + l, 0) end)", "(case when x.rn >= 10 then e end)"
+    outputs = {"entry_long": f"coalesce({index} < 45 and close > mean, false)", "exit_long": f"coalesce(({index} > 55 or close > {top}) and not close < mean, false)"}
+    return Recursion(1, state, outputs, {"mean": "case when rn >= 10 then avg(close) over (partition by sym order by ts rows 9 preceding) end"})
+
+
 RECURSIONS: dict[str, Recursion] = {
     "ema": _mean(10, 5.5, "EMA_10"),
     "rma": _mean(10, 10, "RMA_10"),
@@ -249,4 +367,20 @@ RECURSIONS: dict[str, Recursion] = {
     "atrts": _range_stop(),
     "ott": _tracker(2, "VAR"),
     **{f"ott_{kind.lower()}": _tracker(5, kind) for kind in ("SMA", "EMA", "WMA", "TMA", "WWMA", "ZLEMA", "TSF")},
+    "t3": _t3(10, "T3_10_0_7"),
+    "ma_t3": _t3(10, "MA_t3"),
+    "macd_as": _macd_after_signal(),
+    "rsi_clouds": _clouds(),
+    "scrsi": _cycle(),
+    "crsi": _streaks(),
+    "pf_trend": _point_and_figure(),
+    "renko": _bricks(),
+    "hilo_ema": _hilo_exponential(),
+    "bbands_ema": _bands_exponential(),
+    "accbands_ema": _acceleration_exponential(),
+    "hma_ema": _hull_exponential(),
+    "stochf_ema": _stochastic_exponential(),
+    "bias_ema": Recursion(26, {"v": ("avg(close)", _moved(13.5))}, {"BIAS_EMA_26": "close / v - 1"}),
+    "apo_ema": Recursion(26, {v: _macd().state[v] for v in "fw"}, {"APO_12_26": "f - w"}),
+    "strategy_text": _strategy(),
 }
