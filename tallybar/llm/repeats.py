@@ -7,15 +7,16 @@ Consecutive windows of a text mostly share an anchor, and such a run of windows
 document, first start, number of starts): two rows for W - k + 2 units.
 
 1. Anchors that occur once in the corpus are dropped: no window around them occurs twice.
-2. The texts of the remaining runs are snippets. Equal snippets are folded, first in each batch and then by
-   one aggregation, by a hash of their text beside the anchor's; what stands for them are the first and the
-   last place, and both are compared as text.
+2. The texts of the remaining runs are snippets. The places of equal snippets of a batch are one row, by a hash of
+   the text beside the anchor's.
 3. Snippets that share an anchor meet in one task, which finds the classes of equal windows among them
    (``resolve``, by suffix array or suffix tree) and says of each window whether an earlier place holds it.
-   Every other copy takes over what was found for the last one.
-4. An anchor with more than ``PART`` different snippets is not compared so: the windows of its snippets are
-   dealt again by the next longer k-gram. The longest is the window itself, where at most two snippets meet. So
-   no anchor, however common, gathers an unbounded group.
+   Equal snippets are folded again; the first and the last of them are compared, each as its own text, and
+   every other copy takes over what was found for the last one.
+4. An anchor with more than ``PART`` places is not compared so. Its equal snippets are folded by one aggregation,
+   and where more than ``PART`` different ones are left, their windows are dealt again by the next longer
+   k-gram. The longest is the window itself, where at most two snippets meet. So no anchor and no passage,
+   however common, gathers an unbounded group.
 5. What was found returns to the documents as covered runs of units.
 
 A place is (document, start). Rows equal in document id and text are one place, so neither stands earlier
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from . import textblocks as tb
 from .workspace import Workspace
 
-#: Different snippets of one anchor up to which they are compared in one task.
+#: Places, or different snippets, of one anchor up to which they are compared in one task.
 PART = 4_000
 #: Snippet text that a task compares at once, if a single anchor does not need more.
 STEP_BYTES = 1 << 20
@@ -114,7 +116,7 @@ def inside(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>"
+KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>, body binary"
 
 
 def _named(body: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -122,6 +124,10 @@ def _named(body: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(body[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
 
 
+def _spans(text: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    return [text[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 def _keys(units: Units):
     """Texts and their runs (start, n, anchor) to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order."""
 
@@ -135,20 +141,26 @@ def _keys(units: Units):
             out: list[tuple[np.ndarray, ...]] = []
             for lo, hi in tb.row_blocks(offsets):
                 raw = data[offsets[lo] : offsets[hi]]
-                values, cut, first, _ = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
+                values, cut, first, last = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
                 start, n, anchor = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
                 doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
                 at = cut[doc - lo] + start
-                width = 1 if first is None else 8
-                key = _named(memoryview((raw if first is None else values).tobytes()), at * width, (at + n - 1 + units.window) * width)
-                out.append((anchor, key, n, orders[doc], start, ids[doc]))
-            anchor, key, n, order, start, row = (np.concatenate(c) for c in zip(*out, strict=True))
+                end = at + n - 1 + units.window
+                if first is None:
+                    key = _named(memoryview(raw.tobytes()), at, end)
+                    at, end = at + offsets[lo], end + offsets[lo]
+                else:
+                    key = _named(memoryview(values.tobytes()), at * 8, end * 8)
+                    at, end = first[at] + offsets[lo], last[end - 1] + offsets[lo]
+                out.append((anchor, key, n, orders[doc], start, ids[doc], at, end))
+            anchor, key, n, order, start, row, at, end = (np.concatenate(c) for c in zip(*out, strict=True))
             by = np.lexsort((row, start, order, key, anchor))
             anchor, key = anchor[by], key[by]
             head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))) if len(by) else by
             struct = pa.StructArray.from_arrays([pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(row[by])], ["doc_order", "start", "row_id"])
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places], ["anchor", "key", "n", "places"])
+            body = _spans(data.tobytes(), at[by][head], end[by][head])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places, pa.array(body, pa.binary())], ["anchor", "key", "n", "places", "body"])
 
     return run
 
@@ -156,32 +168,82 @@ def _keys(units: Units):
 SNIPPETS = "anchor bigint, key bigint, which int, doc_order bigint, start bigint, n bigint, body binary"
 
 
-def _bodies(units: Units):
-    """Texts and their snippets (anchor, key, which, start, n) to the snippets' own text."""
+def _packed(covered: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The booleans of rows of n each as bits; null where none is set."""
+    size = (n + 7) // 8
+    begin = np.cumsum(size) - size
+    bits = np.zeros(int(size.sum()) * 8, dtype=bool)
+    bits[np.repeat(begin * 8, n) + inside(n)] = covered
+    some = np.add.reduceat(covered, np.cumsum(n) - n) > 0 if len(n) else np.zeros(0, dtype=bool)
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(begin, size.sum()).astype(np.int32)), pa.py_buffer(np.packbits(bits).tobytes())])
+    return pc.if_else(pa.array(some), packed, pa.scalar(None, pa.binary()))
+
+
+MARKS = "doc_order bigint, row_id bigint, start int, n int, bits binary"
+
+
+def _marked(resolve: Callable, same_text: bool):
+    """Rows of ``_keys`` sorted by anchor to the places whose windows an earlier place holds, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in tb.each(batches):
-            orders = batch.column("doc_order").to_numpy()
-            data, offsets = tb.byte_column(batch.column("text"))
-            fields, ends = _run_fields(batch, "runs", 5)
-            for lo, hi in tb.row_blocks(offsets):
-                raw = data[offsets[lo] : offsets[hi]]
-                _, cut, first, last = units.split(raw, offsets[lo : hi + 1] - offsets[lo])
-                text = raw.tobytes()
-                anchor, key, which, start, n = (f[ends[lo] : ends[hi]].astype(np.int64) for f in fields)
-                doc = np.repeat(np.arange(lo, hi), np.diff(ends[lo : hi + 1]))
-                a = cut[doc - lo] + start
-                b = a + n - 1 + units.window
-                if first is None:
-                    body = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                else:  # single spaces, as the words are what counts
-                    words = [text[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                    body = [b" ".join(words[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(which.astype(np.int32)), pa.array(orders[doc]), pa.array(start), pa.array(n), pa.array(body, pa.binary())], [f.split()[0] for f in SNIPPETS.split(", ")])
+            anchor, body = batch.column("anchor").to_numpy(), batch.column("body")
+            ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, batch.num_rows) if batch.num_rows else anchor
+            _, cut = tb.byte_column(body)
+            lo = 0
+            if held and batch.num_rows and held[-1].column("anchor")[-1].as_py() != anchor[0] and size >= STEP_BYTES:
+                yield _compared(held, resolve, same_text)
+                held, size = [], 0
+            for hi in ends.tolist():
+                # an anchor that a batch cuts stays with its rest
+                if size + cut[hi] - cut[lo] >= STEP_BYTES and hi < batch.num_rows:
+                    held.append(batch.slice(lo, hi - lo))
+                    yield _compared(held, resolve, same_text)
+                    held, size, lo = [], 0, hi
+            if lo < batch.num_rows:
+                held.append(batch.slice(lo))
+                size += int(cut[-1] - cut[lo])
+        if held:
+            yield _compared(held, resolve, same_text)
 
     return run
 
 
+def _compared(held: list[pa.RecordBatch], resolve: Callable, same_text: bool) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    anchor, key, n = (rows.column(c).to_numpy() for c in ("anchor", "key", "n"))
+    places = rows.column("places").combine_chunks()
+    order, start, row = (places.flatten().field(i).to_numpy() for i in range(3))
+    length = places.value_lengths().to_numpy().astype(np.int64)
+    end = np.cumsum(length)
+    begin = end - length
+    # rows of one snippet follow each other, as they are sorted by (anchor, key)
+    same = (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1])
+    snippet = np.cumsum(np.append(0, ~same))
+    by = np.lexsort((start[begin], order[begin], snippet))
+    first = by[np.flatnonzero(np.append(True, ~same))]
+    by = np.lexsort((start[end - 1], order[end - 1], snippet))
+    last = by[np.flatnonzero(np.append(~same, True))]
+    first_order, first_start = order[begin[first]], start[begin[first]]
+
+    def later(o, s, of):
+        return (o > first_order[of]) | ((o == first_order[of]) & (s > first_start[of])) if same_text else o > first_order[of]
+
+    twice = np.flatnonzero(later(order[end[last] - 1], start[end[last] - 1], np.arange(len(last))))
+    taken = np.concatenate([first, last[twice]])
+    at = np.concatenate([begin[first], end[last[twice]] - 1])
+    covered = resolve(rows.column("body").take(taken).to_pylist(), n[taken].tolist(), list(zip(order[at].tolist(), start[at].tolist(), strict=True)))
+    bits = _packed(covered, n[taken].astype(np.int64))
+    second = np.full(len(first), -1)
+    second[twice] = len(first) + np.arange(len(twice))
+    of = np.repeat(snippet, length)
+    source = np.where(later(order, start, of), second[of], of)
+    out = pa.RecordBatch.from_arrays([pa.array(order), pa.array(row), pa.array(start), pa.array(np.repeat(n, length)), bits.take(pa.array(source))], ["doc_order", "row_id", "start", "n", "bits"])
+    return out.filter(out.column("bits").is_valid())
+
+
 PARTS = "anchor bigint, key bigint, n bigint, doc_order bigint, start bigint, body binary, of_anchor bigint, of_key bigint, which int, skip int"
 
 
@@ -198,12 +260,15 @@ def _parts(units: Units, level: int):
                 anchor, src, skip, n = anchors(tb.prefix_hash(values), cut, units.window, units.grams[level])
                 a = cut[src] + skip
                 b = a + n - 1 + units.window
-                if first is not None:
-                    a, b = first[a], last[b - 1]
                 text = raw.tobytes()
-                body = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                if first is None:
+                    key = _named(memoryview(text), a, b)
+                else:
+                    key = _named(memoryview(values.tobytes()), a * 8, b * 8)
+                    a, b = first[a], last[b - 1]
+                body = _spans(text, a, b)
                 own = lo + src
-                columns = [anchor.view(np.int64), _named(memoryview(text), a, b), n, order[own], start[own] + skip, body, of_anchor[own], of_key[own], which[own].astype(np.int32), skip.astype(np.int32)]
+                columns = [anchor.view(np.int64), key, n, order[own], start[own] + skip, body, of_anchor[own], of_key[own], which[own].astype(np.int32), skip.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if c is body else pa.array(c) for c in columns], [f.split()[0] for f in PARTS.split(", ")])
 
     return run
@@ -299,18 +364,21 @@ class _Search:
         """What was found for a place of a judged snippet."""
         return F.when(_later(at, (F.col("first_order"), F.col("first_start")), self.same_text), F.col("last_bits")).otherwise(F.col("first_bits")).alias("bits")
 
+    def judged(self, folded: DataFrame, level: int) -> DataFrame:
+        """As ``compared``; folded: anchor, key, n and the first and last place of each snippet, with their bodies."""
+        crowded = self.crowded(folded, level)
+        stand = self.both(folded).select("anchor", "key", "which", "at.doc_order", "at.start", "n", "at.body")
+        few = self.ws.save(self.compared(stand if crowded is None else stand.join(crowded, "anchor", "left_anti")), f"judged-{level}")
+        return few if crowded is None else few.unionByName(self.in_parts(stand.join(crowded, "anchor"), level + 1))
+
     def in_parts(self, bodies: DataFrame, level: int) -> DataFrame:
         """As ``compared``, by anchors of the level's gram."""
         ws = self.ws
         parts = ws.save(bodies.mapInArrow(_parts(self.units, level), PARTS), f"parts-{level}")
         place = F.struct("doc_order", "start", "body")
         folded = ws.save(parts.groupBy("anchor", "key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("n").alias("n")), f"folded-{level}")
-        crowded = self.crowded(folded, level)
-        stand = self.both(folded).select("anchor", "key", "which", "at.doc_order", "at.start", "n", "at.body")
-        judged = ws.save(self.compared(stand if crowded is None else stand.join(crowded, "anchor", "left_anti")), f"judged-{level}")
-        if crowded is not None:
-            judged = judged.unionByName(self.in_parts(stand.join(crowded, "anchor"), level + 1))
-        found = parts.drop("body").join(judged, ["anchor", "key"]).select("of_anchor", "of_key", "which", "skip", "n", self.bits(F.struct("doc_order", "start"))).where("bits is not null")
+        found = parts.drop("body").join(self.judged(folded, level), ["anchor", "key"])
+        found = found.select("of_anchor", "of_key", "which", "skip", "n", self.bits(F.struct("doc_order", "start"))).where("bits is not null")
         found = found.groupBy(F.col("of_anchor").alias("anchor"), F.col("of_key").alias("key")).agg(F.collect_list(F.struct("which", "skip", "n", "bits")).alias("parts"))
         firsts = bodies.where("which = 0").select("anchor", "key", "n", F.col("doc_order").alias("first_order"), F.col("start").alias("first_start"))
         out = ws.save(found.join(firsts, ["anchor", "key"]).mapInArrow(_rejoined, JUDGED), f"rejoined-{level}")
@@ -340,28 +408,28 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
     ws.drop("anchors", "often")
     keys = ws.save(texts.join(grouped, row).mapInArrow(_keys(units), KEYS), "keys")
     ws.drop("runs")
-    places = F.col("places")
-    folded = ws.save(keys.groupBy("anchor", "key").agg(F.min(places[0]).alias("first"), F.max(F.element_at(places, -1)).alias("last"), F.max("n").alias("n")), "folded-0")
-    crowded = search.crowded(folded, 0)
-
-    def bodies(snippets: DataFrame, name: str) -> DataFrame:
-        own = search.both(snippets).groupBy("at.doc_order", "at.row_id").agg(F.collect_list(F.struct("anchor", "key", "which", "at.start", "n")).alias("runs"))
-        return texts.join(ws.save(own, name), row).mapInArrow(_bodies(units), SNIPPETS)
-
-    few = folded if crowded is None else folded.join(crowded, "anchor", "left_anti")
-    judged = ws.save(search.compared(bodies(few, "stand")), "judged-0")
-    ws.drop("stand")
-    if crowded is not None:
-        many = ws.save(bodies(folded.join(crowded, "anchor"), "stand-many"), "many")
-        judged = judged.unionByName(search.in_parts(many, 1))
-    ws.drop("folded-0", "crowded-0", "stand-many", "many")
-    found = keys.join(judged, ["anchor", "key"]).select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
-    found = found.select("at.doc_order", "at.row_id", "at.start", "n", search.bits(F.col("at"))).where("bits is not null")
+    hot = keys.groupBy("anchor").agg(F.sum(F.size("places")).alias("places")).where(F.col("places") > PART).select("anchor")
+    hot = ws.save(hot, "hot")
+    none = hot.isEmpty()
+    few = keys if none else keys.join(hot, "anchor", "left_anti")
+    found = few.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(_marked(resolve, same_text), MARKS)
+    if not none:
+        found = found.unionByName(_hot_marks(keys.join(hot, "anchor"), search))
     marks = ws.save(found.groupBy(*row).agg(F.collect_list(F.struct("start", "n", "bits")).alias("marks")), "marks")
-    ws.drop("once", "keys", "judged-0", "rejoined-1")
+    ws.drop("once", "keys", "hot", "folded-0", "crowded-0", "judged-0", "rejoined-1")
     return marks
 
 
+def _hot_marks(keys: DataFrame, search: _Search) -> DataFrame:
+    """The columns of ``MARKS`` for anchors of any number of places."""
+    place = lambda x: F.struct(x["doc_order"], x["start"].cast("bigint").alias("start"), F.col("body"))
+    first, last = F.min(place(F.col("places")[0])), F.max(place(F.element_at("places", -1)))
+    folded = search.ws.save(keys.groupBy("anchor", "key").agg(first.alias("first"), last.alias("last"), F.max("n").cast("bigint").alias("n")), "folded-0")
+    found = keys.drop("body").join(search.judged(folded, 0), ["anchor", "key"])
+    found = found.select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
+    return found.select("at.doc_order", "at.row_id", "at.start", "n", search.bits(F.col("at"))).where("bits is not null")
+
+
 def keyed_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, doc_order, row_id, text, whether any id stands on several rows, and the columns ``keep`` as a struct ``row`` if any."""
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -132,7 +132,7 @@ class Tree:
 
 def covered_windows(snippets: list[bytes], starts: list[int], places: list[tuple[int, int]], window: int = WINDOW, limit: int = GROUP) -> np.ndarray:
     """For each window of each snippet, whether an equal window stands in a smaller document."""
-    words = [s.split(b" ") for s in snippets]
+    words = [s.split() for s in snippets]
     number: dict[bytes, int] = {}
     text = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], dtype=np.uint32)
     size = np.array([len(w) for w in words])

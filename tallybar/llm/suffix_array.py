@@ -31,7 +31,7 @@ from .repeats import Units, covered_runs, covered_units, inside, keyed_rows
 from .workspace import Workspace
 
 WINDOW = 100
-BYTES = Units("bytes", WINDOW, (24, 60, WINDOW))
+BYTES = Units("bytes", WINDOW, (20, 60, WINDOW))
 
 
 def packed_words(padded: np.ndarray) -> np.ndarray:
@@ -52,24 +52,24 @@ def sort_directly(packed: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     digest = tb.mix(key)
     for off in range(8, depth, 8):
         digest = tb.mix(digest ^ packed[at + off])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at, key, digest = at[order], key[order], digest[order]
-    group = np.cumsum(np.append(0, key[1:] != key[:-1]))
+    # slots that may still change, and where their groups of equal beginnings start
+    slots, head = np.arange(len(at)), np.append(True, key[1:] != key[:-1])
     for off in range(8, depth, 8):
         # groups of one, or of equal strings, are done
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        first = np.flatnonzero(head)
         mixed = np.minimum.reduceat(digest, first) != np.maximum.reduceat(digest, first)
-        todo = np.flatnonzero(mixed[np.cumsum(np.append(0, group[1:] != group[:-1]))])
-        if not len(todo):
+        live = np.repeat(mixed, np.diff(np.append(first, len(head))))
+        if not live.any():
             break
-        key = packed[at[todo] + off]
-        order = np.lexsort((key, group[todo]))
-        at[todo], digest[todo], key, old = at[todo][order], digest[todo][order], key[order], group[todo][order]
-        new = np.zeros(len(group), dtype=np.int64)
-        new[1:] = group[1:] != group[:-1]
-        step = np.append(False, (key[1:] != key[:-1]) & (old[1:] == old[:-1]))
-        new[todo] |= step
-        group = np.cumsum(new)
+        slots, head, digest = slots[live], head[live], digest[live]
+        group = np.cumsum(head)
+        own = at[slots]
+        key = packed[own + off]
+        order = np.lexsort((key, group))
+        at[slots], digest, key = own[order], digest[order], key[order]
+        head[1:] |= key[1:] != key[:-1]
     return at
 
 
