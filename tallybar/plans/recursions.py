@@ -301,6 +301,14 @@ def _hilo_exponential() -> Recursion:
     return Recursion(1, state, {"HILO_13_21": "h", "HILOl_13_21": "case when d = 0 or u = 1 then h end", "HILOs_13_21": "case when u = 0 then h end"})
 
 
+def _hilo() -> Recursion:
+    mean = lambda c, n, rows: f"case when rn >= {n} then avg({c}) over (partition by sym order by ts {rows}) end"
+    extra = {"m": mean("high", 13, "rows 12 preceding"), "k": mean("low", 21, "rows 20 preceding"), "pm": mean("high", 14, "rows between 13 preceding and 1 preceding"), "pk": mean("low", 22, "rows between 21 preceding and 1 preceding")}
+    up, down = "coalesce(x.close > x.pm, false)", "coalesce(x.close < x.pk, false)"
+    state = {"u": ("0.0", f"case when {up} then 1 else 0 end"), "d": ("0.0", f"case when {down} then 1 else 0 end"), "h": ("null", f"case when {up} then x.k when {down} then x.m else s.h end")}
+    return Recursion(1, state, {"HILO_13_21": "h", "HILOl_13_21": "case when d = 0 or u = 1 then h end", "HILOs_13_21": "case when u = 0 then h end"}, extra)
+
+
 def _bands_exponential() -> Recursion:
     outputs = {"L": "v - 2 * d", "M": "v", "U": "v + 2 * d", "B": "400 * d / v", "P": "(close - v + 2 * d) / nullif(4 * d, 0)"}
     return Recursion(20, {"v": ("avg(close)", _moved(10.5))}, {f"BB{k}_20_2_2": v for k, v in outputs.items()}, {"d": "stddev_samp(close) over (partition by sym order by ts rows 19 preceding)"})
@@ -375,6 +383,7 @@ RECURSIONS: dict[str, Recursion] = {
     "crsi": _streaks(),
     "pf_trend": _point_and_figure(),
     "renko": _bricks(),
+    "hilo": _hilo(),
     "hilo_ema": _hilo_exponential(),
     "bbands_ema": _bands_exponential(),
     "accbands_ema": _acceleration_exponential(),
