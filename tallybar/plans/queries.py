@@ -414,6 +414,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     prices = ["open", "high", "low", "close", "volume"]
     out = {f"bars_{s}": f"with last_stage as ({sql}) {_shown_sql(prices)}" for s, (_, sql) in SOURCES.items()}
+    out |= {name: _staged_sql(source, i.duck or i.stages, i.outputs) for name, (i, source) in FINITE.items() if name not in finite_sql.FINITE}
     out |= {name: finite_sql.sql(SOURCES[FINITE[name][1]][1], _shown_sql(plain.columns), plain) for name, plain in finite_sql.FINITE.items()}
     out |= {name: _recursion_sql(name) for name in RECURSIONS} | {f"ma_{name}": _average_sql(name) for name in AVERAGES}
     out |= {f"cdl_{name}": _pattern_sql([name]) for name in patterns.PATTERNS}
