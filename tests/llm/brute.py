@@ -31,6 +31,30 @@ def byte_repeats(docs, width=100):
     return out
 
 
+def without_repeats(docs, width=100):
+    """Texts without the characters of which every byte is covered."""
+    first, out = {}, []
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - width + 1):
+            key = b[i : i + width]
+            first[key] = min(first.get(key, (order(d), i)), (order(d), i))
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if first[b[i : i + width]] < (order(d), i):
+                gone[i : i + width] = b"\1" * width
+        kept, at = [], 0
+        for c in t or "":
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                kept.append(c)
+            at += n
+        out.append((d, None if t is None else "".join(kept)))
+    return out
+
+
 def word_repeats(docs, width=50):
     split = [(d, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for d, t in docs]
     first = {}
