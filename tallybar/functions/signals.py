@@ -84,6 +84,11 @@ def band_signal(df: DataFrame, key: str, order: str, upper: str, lower: str, pri
     return df.withColumns({"buy": F.coalesce((p < F.col(upper)) & (before > F.col(upper)), F.lit(False)), "sell": F.coalesce((p > F.col(lower)) & (before < F.col(lower)), F.lit(False))})
 
 
+def last_value(df: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """Each instrument's value at its last bar, null if it is missing there."""
+    return df.groupBy(key).agg(F.max_by(F.struct(F.col(column).alias("x")), order)["x"].alias(column))
+
+
 def trend_gate(df: DataFrame, key: str, order: str, column: str, trigger: float) -> DataFrame:
     """Whether each instrument's last value, cut to an integer, reaches the trigger."""
     return df.groupBy(key).agg((F.max_by(F.col(column), order).cast("int") >= trigger).alias("trending"))

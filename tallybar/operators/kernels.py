@@ -563,8 +563,11 @@ def scrsi(x: Series, domcycle: int = 20, vibration: int = 10, leveling: float =
     return scaled, out, np.full(len(x), bounds[0]), np.full(len(x), bounds[1])
 
 
-def price_volume_stop(price: Series, close: Series, volume: Series, fast: int, slow: int, stand_div: float = 1.0, max_deviation: float | None = None, side: int = -1) -> Series:
-    """Average of price -/+ the volume-weighted price part and its deviation; side -1 below (support), 1 above."""
+def price_volume_stop(price: Series, close: Series, volume: Series, fast: int, slow: int, stand_div: float = 1.0, max_deviation: float | None = None, side: int = -1, older: bool = False) -> Series:
+    """Average of price -/+ the volume-weighted price part and its deviation; side -1 below (support), 1 above.
+
+    ``older``: a part whose bars reach back before the first known relation is missing, rather than made of those known.
+    """
     vw = lambda n: sma(close * volume, n) / sma(volume, n)
     spread = vw(slow) - sma(close, slow)
     relation = vw(fast) / sma(close, fast)
@@ -584,5 +587,5 @@ def price_volume_stop(price: Series, close: Series, volume: Series, fast: int, s
             continue
         span = slice(max(0, i - n + 1), i + 1)
         by = divisor[i] * relation[span]
-        part[i] = np.nansum(np.divide(price[span], by, out=np.zeros(len(by)), where=by != 0)) / n / 100
+        part[i] = (np.sum if older else np.nansum)(np.divide(price[span], by, out=np.zeros(len(by)), where=by != 0)) / n / 100
     return sma(price + side * (part - deviation), slow)

@@ -82,7 +82,9 @@ INDICATORS: dict[str, Callable[..., Recursive]] = {
     "rsi_clouds": lambda rsi_length=14, macd_fast=12, macd_slow=26, macd_signal=9, rsi_scalar=100.0, rsi_drift=1, macd_mamode="ema": _make([f"RSI_CLOUDS_{n}_{rsi_length}" for n in ("RSI", "MACD", "SIGNAL", "HIST")], OHLC, k.rsi_clouds, rsi_length, macd_fast, macd_slow, macd_signal, rsi_scalar, rsi_drift, macd_mamode),
     "scrsi": lambda domcycle=20, vibration=10, leveling=10.0: _make([f"SCRSI_{n}_{domcycle}_{vibration}" for n in ("scaled", "crsi", "lb", "ub")], C, k.scrsi, domcycle, vibration, leveling),
     "avsl": lambda fast=12, slow=26, stand_div=1.0, max_deviation=None: _make(["avsl"], ("low", "close", "volume"), k.price_volume_stop, fast, slow, stand_div, max_deviation, -1),
+    "avsl_older": lambda length_fast=12, length_slow=26, stand_div=1.0: _make(["avsl"], ("low", "close", "volume"), k.price_volume_stop, length_fast, length_slow, stand_div, None, -1, True),
     "avsr": lambda fast=12, slow=26, stand_div=1.0, max_deviation=None: _make(["avsr"], ("high", "close", "volume"), k.price_volume_stop, fast, slow, stand_div, max_deviation, 1),
+    "avsr_older": lambda length_fast=12, length_slow=26, stand_div=1.0: _make(["avsr"], ("high", "close", "volume"), k.price_volume_stop, length_fast, length_slow, stand_div, None, 1, True),
 }
 
 

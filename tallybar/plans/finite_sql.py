@@ -75,6 +75,22 @@ def _deviations(whole: str, bar: str = "true") -> Plain:
     return Plain(columns, ({"total": "count(*) over all_"}, {"y": f"case when {bar} then close end"}))
 
 
+def _price_volume(name: str, price: str, below: bool, older: bool = False) -> Plain:
+    """The level that price and volume hold: bars 12 and 26 back, a part over a number of bars that the pressure gives."""
+    part = f"list_sum(list_slice(ratios, -n, -1)) / divisor / n / 100"
+    if older:
+        part = f"case when list_contains(list_transform(list_slice(ratios, -n, -1), lambda r: r is null), true) then null else {part} end"
+    sign = ("-", "+") if below else ("+", "-")
+    stages = (
+        {f"vw{n}": after(n, f"sum(close * volume) over w{n} / sum(volume) over w{n}") for n in (12, 26)} | {f"m{n}": f"avg(close) over w{n}" for n in (12, 26)} | {"flow": after(26, "avg(volume) over w12 / avg(volume) over w26")},
+        {"spread": "vw26 - m26", "relation": "vw12 / m12"},
+        {"pressure": "spread * relation * flow", "ratios": f"list({price} / relation) over w"},
+        {"n": "cast(round_even(case when spread < 0 then abs(pressure - 3) else pressure + 3 end, 0) as bigint)", "divisor": "case when spread > -1 and spread < 0 then -1 when spread >= 0 and spread < 1 then 1 else spread end"},
+        {"level": f"case when pressure is not null then {price} {sign[0]} (case when n <= 0 then {price} else {part} end) {sign[1]} pressure * flow end"},
+    )
+    return Plain({name: "case when count(level) over w26 = 26 then avg(level) over w26 end"}, stages)
+
+
 FINITE: dict[str, Plain] = {
     "sma": Plain({"SMA_10": after(10, "avg(close) over w10")}),
     "sma_orders": Plain({"SMA_20": after(20, "avg(close) over w20")}),
@@ -137,4 +153,8 @@ FINITE: dict[str, Plain] = {
     "tos_stdevall": _deviations("TOS_STDEVALL"),
     "tos_stdevall_last": _deviations("TOS_STDEVALL_100", "rn > total - 100"),
     "doji": Plain({"CDL_DOJI_10_10": "case when rn >= 10 and 10 * abs(close - open) < avg(high - low) over w10 then 100.0 else 0.0 end"}),
+    "avsl": _price_volume("avsl", "low", True),
+    "avsr": _price_volume("avsr", "high", False),
+    "avsl_older": _price_volume("avsl", "low", True, True),
+    "avsr_older": _price_volume("avsr", "high", False, True),
 }

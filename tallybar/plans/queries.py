@@ -319,6 +319,11 @@ def _band_sql() -> str:
     return sql[: sql.rindex("select sym, strftime")] + _shown_sql(["buy", "sell"], f"stage_{len(i.stages)}", ["buy", "sell"])
 
 
+def _last_avsl(spark: SparkSession, d: str) -> DataFrame:
+    frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(recursive.INDICATORS["avsl_older"]()).df
+    return signals.last_value(frame, "sym", "ts", "avsl").select("sym", (F.round("avsl", 6) + 0.0).alias("avsl"))
+
+
 def _trend_gate(spark: SparkSession, d: str) -> DataFrame:
     request = recursive.INDICATORS["adx"]()
     frame = BarFrame(sources.events_hourly(spark, d), "sym", "ts").recursive(request).df
@@ -404,7 +409,7 @@ def queries() -> dict[str, Query]:
     blocks = {"order_blocks_all_breakouts": {"check_breaker": True, "use_market_structure_filter": True}, "order_blocks_clustered": {"cluster_blocks": True, "cluster_price_tolerance": 0.05}}
     for name, how in blocks.items():
         out |= {name: _order_blocks(multiple_breakouts=True, **how), f"{name}_short": _order_blocks(lookback_max=8, multiple_breakouts=True, **how)}
-    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "last_rsi_clouds_signal": _last_clouds_signal, "scrsi_signals": _scrsi_signals, "last_scrsi_signal": _last_scrsi_signal, "strategy_text": _strategy_text, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
+    out |= {"zigzag": _zigzag, "zigzag_flat": _zigzag_flat, "order_zones": _order_zones, "market_structure": _market_structure, "ott_signals": _ott_signals, "last_ott_signal": _last_ott_signal, "rsi_clouds_signals": _clouds_signals, "last_rsi_clouds_signal": _last_clouds_signal, "scrsi_signals": _scrsi_signals, "last_scrsi_signal": _last_scrsi_signal, "strategy_text": _strategy_text, "last_avsl": _last_avsl, "acceleration_bands_signals": _band_signals, "adx_trend": _trend_gate, "stochrsi_signals": _stochastic_signals, "strategy_dsl": _strategy}
     modes = {"apo_ema": windows.apo(mamode="ema"), "bias_ema": windows.bias(mamode="ema"), "bbands_ema": windows.bbands(mamode="ema"), "accbands_ema": windows.accbands(mamode="ema"), "hma_ema": windows.hma(mamode="ema"), "hilo_ema": windows.hilo(mamode="ema"), "stochf_ema": windows.stochf(mamode="ema"), "doji_naive": windows.doji(naive=True)}
     out |= {name: _finite(i, "events") for name, i in modes.items()}
     out |= {"cdl_engulfing_factors": _pattern(["engulfing"], True, min_body_factor=0.1, max_shadow_factor=0.9), "cdl_eveningstar_factors": _pattern(["eveningstar"], min_body_factor=0.6), "cdl_hikkake_ahead": _pattern(["hikkake"], lookahead=5)}
@@ -415,7 +420,7 @@ def oracle_sql() -> dict[str, str]:
     prices = ["open", "high", "low", "close", "volume"]
     out = {f"bars_{s}": f"with last_stage as ({sql}) {_shown_sql(prices)}" for s, (_, sql) in SOURCES.items()}
     out |= {name: _staged_sql(source, i.duck or i.stages, i.outputs) for name, (i, source) in FINITE.items() if name not in finite_sql.FINITE}
-    out |= {name: finite_sql.sql(SOURCES[FINITE[name][1]][1], _shown_sql(plain.columns), plain) for name, plain in finite_sql.FINITE.items()}
+    out |= {name: finite_sql.sql(SOURCES[FINITE[name][1] if name in FINITE else "events"][1], _shown_sql(plain.columns), plain) for name, plain in finite_sql.FINITE.items()}
     out |= {name: _recursion_sql(name) for name in RECURSIONS} | {f"ma_{name}": _average_sql(name) for name in AVERAGES}
     out |= {f"cdl_{name}": _pattern_sql([name]) for name in patterns.PATTERNS}
     out |= {"cdl_all_strict": _pattern_sql(list(patterns.PATTERNS), True), "cdl_all_symmetric": _pattern_sql(list(patterns.PATTERNS), False, True)}
@@ -428,6 +433,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"scrsi_signals": f"{_cycle_tables()} {_shown_sql(['buy', 'sell'], 'crosses', ['buy', 'sell'])}", "last_scrsi_signal": _last_sql(_cycle_tables(), "case when buy = 1 then 'long' when sell = 1 then 'short' end")}
     out |= {"zigzag": f"{_zigzag_tables()} {_shown_sql(['is_peak', 'is_valley'], plain=['is_peak', 'is_valley'])}", "market_structure": _market_structure_sql(), "ichimoku_forward": FORWARD}
     out |= {name: _factors_sql(name) for name in FACTORS}
+    out["last_avsl"] = finite_sql.sql(EVENTS, 'select sym, round(arg_max(case when avsl is null then null else avsl end, ts), 6) + 0.0 as avsl from last_stage group by sym', finite_sql.FINITE["avsl_older"])
     out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, case when abs(open - close) < 0.1 * (high - low) then 100.0 else 0.0 end as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
     out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
     out |= {"resample_monthly": MONTHLY, "order_zones": ORDER_ZONES, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
