@@ -169,11 +169,11 @@ def _swings_sql(column: str, least: float = 0.01, apart: int = 5) -> str:
     return kept
 
 
-def _zigzag_tables() -> str:
+def _zigzag_tables(source: str = "events") -> str:
     heads = lambda n: f"g{n} as (select sym, min(rn) as rn from k{n} group by sym union all select k{n}.sym, k{n}.next from g{n} join k{n} using (sym, rn) where k{n}.next is not null)"
     best = lambda n: f"f{n} as (select g.sym, arg_max(k.rn, (k.v, -k.rn)) as rn from g{n} g join k{n} k on k.sym = g.sym and k.rn between g.rn and g.rn + 4 group by g.sym, g.rn)"
     x = f"x as (select *, -low as neg, row_number() over (partition by sym order by ts) as rn from bars)"
-    parts = [f"bars as ({EVENTS})", x]
+    parts = [f"bars as ({SOURCES[source][1]})", x]
     for n, column in ((1, "high"), (2, "neg")):
         parts += [f"k{n} as ({_swings_sql(column)})", heads(n), best(n)]
     parts.append("last_stage as (select x.sym, x.ts, x.rn, x.high, x.low, f1.rn is not null as is_peak, f2.rn is not null as is_valley from x left join f1 on f1.sym = x.sym and f1.rn = x.rn left join f2 on f2.sym = x.sym and f2.rn = x.rn)")
@@ -191,6 +191,21 @@ def _market_structure_sql() -> str:
     return f"{_zigzag_tables()}, extremes as ({extremes}), lists as ({lists}), judged as ({judged}), structures as ({last}) {_shown_sql(['structure_label', 'trend_direction'], 'structures', ['structure_label', 'trend_direction'])}"
 
 
+def _order_blocks_sql(source: str, most: int) -> str:
+    """Blocks of the default rules, whose look-back stops at ``most``: swings, the one bar that may break each, the first bar that tests its zone."""
+    return f"""{_zigzag_tables(source)},
+y as (select *, lag(close) over w as p, case when rn >= 20 then avg(volume) over m end as mean, case when rn >= 10 then max(high) over l end as top, case when rn >= 10 then min(low) over l end as bottom, count(*) over (partition by sym) as total from x window w as (partition by sym order by rn), m as (partition by sym order by rn rows 19 preceding), l as (partition by sym order by rn rows 9 preceding)),
+t as (select sym, rn, greatest(high - low, abs(high - p), abs(low - p)) as tr from y where rn > 1),
+s as (select sym, cast(15 as bigint) as rn, avg(tr) as atr from t where rn <= 15 group by sym having count(*) = 14 union all select t.sym, t.rn, s.atr + (t.tr - s.atr) / 14 from s join t on t.sym = s.sym and t.rn = s.rn + 1),
+back as (select sym, cast(trunc(least({most}, greatest(5, 2 * median(atr)))) as bigint) as bars from s group by sym),
+swings as (select sym, rn, true as supply from f1 union all select sym, rn, false from f2 anti join f1 using (sym, rn)),
+zones as (select a.sym, a.rn, a.supply, o.ts as start, b.ts as break, b.rn as b_rn, o.close - s.atr as lo, o.close + s.atr as hi from swings a join y o using (sym, rn) join s using (sym, rn) join back k on k.sym = a.sym join y b on b.sym = a.sym and b.rn = a.rn + k.bars
+where case when a.supply then o.top - o.high < 0.001 and b.low < o.low else o.low - o.bottom < 0.001 and b.high > o.high end and b.volume > b.mean),
+tests as (select z.*, j.ts as retest, j.rn as j_rn, j.volume / greatest(j.mean, 1e-9) as loud, case when supply then (hi - j.close) / greatest(hi, 1e-9) else (j.close - lo) / greatest(lo, 1e-9) end as share from zones z join y j on j.sym = z.sym and j.rn between z.b_rn + 1 and z.b_rn + 9 where j.volume > j.mean and case when supply then j.low else j.high end between lo and hi),
+firsts as (select * from tests where share >= 0.002 qualify row_number() over (partition by sym, rn order by j_rn) = 1)
+select sym, row_number() over (partition by sym order by rn) - 1 as id, case when supply then 'supply' else 'demand' end as block_type, strftime(start, '%Y-%m-%d %H:%M:%S') as start, strftime(break, '%Y-%m-%d %H:%M:%S') as "break", strftime(retest, '%Y-%m-%d %H:%M:%S') as retest, round(lo, 6) as zone_low, round(hi, 6) as zone_high, round(greatest(0, least(loud * least(share, 3), 10)), 6) as strength, cast(null as varchar) as structure_label, cast(null as varchar) as trend_direction from firsts"""
+
+
 FORWARD = f"""with bars as ({ORDERS}), seen as (select sym, ts, row_number() over w as rn, count(*) over (partition by sym) - row_number() over w as left_, max(ts) over (partition by sym) as last,
 (max(high) over a + min(low) over a + max(high) over b + min(low) over b) / 4 as one, (max(high) over c + min(low) over c) / 2 as two from bars window w as (partition by sym order by ts), a as (partition by sym order by ts rows 8 preceding), b as (partition by sym order by ts rows 25 preceding), c as (partition by sym order by ts rows 51 preceding)),
 last_stage as (select sym, last + to_days(cast(26 - left_ as integer)) as ts, case when rn >= 52 then one end as "ISA_9", case when rn >= 52 then two end as "ISB_52" from seen where left_ < 26) """ + _shown_sql(["ISA_9", "ISB_52"])
@@ -238,7 +253,8 @@ def _order_blocks(bars=sources.orders_daily, **how) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = order_blocks.order_blocks(bars(spark, d), "sym", "ts", order_blocks.OrderBlockConfig(**how))
         times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "break", "retest")]
-        return found.select("sym", "id", "block_type", *times, "zone_low", "zone_high", "strength", "structure_label", "trend_direction")
+        numbers = [F.round(c, 6).alias(c) for c in ("zone_low", "zone_high", "strength")]
+        return found.select("sym", "id", "block_type", *times, *numbers, "structure_label", "trend_direction")
 
     return run
 
@@ -433,6 +449,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"scrsi_signals": f"{_cycle_tables()} {_shown_sql(['buy', 'sell'], 'crosses', ['buy', 'sell'])}", "last_scrsi_signal": _last_sql(_cycle_tables(), "case when buy = 1 then 'long' when sell = 1 then 'short' end")}
     out |= {"zigzag": f"{_zigzag_tables()} {_shown_sql(['is_peak', 'is_valley'], plain=['is_peak', 'is_valley'])}", "market_structure": _market_structure_sql(), "ichimoku_forward": FORWARD}
     out |= {name: _factors_sql(name) for name in FACTORS}
+    out |= {"order_blocks": _order_blocks_sql("orders", 8), "order_blocks_default": _order_blocks_sql("events", 50)}
     out["last_avsl"] = finite_sql.sql(EVENTS, 'select sym, round(arg_max(case when avsl is null then null else avsl end, ts), 6) + 0.0 as avsl from last_stage group by sym', finite_sql.FINITE["avsl_older"])
     out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, case when abs(open - close) < 0.1 * (high - low) then 100.0 else 0.0 end as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
     out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
