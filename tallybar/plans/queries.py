@@ -206,6 +206,44 @@ firsts as (select * from tests where share >= 0.002 qualify row_number() over (p
 select sym, row_number() over (partition by sym order by rn) - 1 as id, case when supply then 'supply' else 'demand' end as block_type, strftime(start, '%Y-%m-%d %H:%M:%S') as start, strftime(break, '%Y-%m-%d %H:%M:%S') as "break", strftime(retest, '%Y-%m-%d %H:%M:%S') as retest, round(lo, 6) as zone_low, round(hi, 6) as zone_high, round(greatest(0, least(loud * least(share, 3), 10)), 6) as strength, cast(null as varchar) as structure_label, cast(null as varchar) as trend_direction from firsts"""
 
 
+ADX_AHEAD = f"""with recursive bars as ({EVENTS}), x as (select *, row_number() over w as rn, count(*) over (partition by sym) as total, high - lag(high) over w as up, lag(low) over w - low as down, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr from bars window w as (partition by sym order by ts)),
+m as (select *, case when up > down and up > 0 then up else 0 end as plus, case when down > up and down > 0 then down else 0 end as minus from x),
+s as (select sym, cast(15 as bigint) as rn, avg(tr) as v, sum(plus) / avg(tr) as a, sum(minus) / avg(tr) as b from m where rn between 2 and 15 group by sym having count(*) = 14 union all select m.sym, m.rn, s.v + (m.tr - s.v) / 14, (m.plus / (s.v + (m.tr - s.v) / 14) + 13 * s.a) / 14, (m.minus / (s.v + (m.tr - s.v) / 14) + 13 * s.b) / 14 from s join m on m.sym = s.sym and m.rn = s.rn + 1),
+d as (select sym, rn - 14 as rn, coalesce(100 * abs(a - b) / nullif(a + b, 0), 0) as dx from s where rn >= 29),
+l as (select sym, cast(28 as bigint) as rn, avg(dx) as v from d where rn <= 28 group by sym having count(*) = 14 union all select d.sym, d.rn, l.v + (d.dx - l.v) / 14 from l join d on d.sym = l.sym and d.rn = l.rn + 1),
+last_stage as (select x.sym, x.ts, l.v as "ADX_14", 0.5 * (l.v + lag(l.v, 2) over (partition by x.sym order by x.rn)) as "ADXR_14_2", 100 * s.a as "DMP_14", 100 * s.b as "DMN_14" from x left join s using (sym, rn) left join l on l.sym = x.sym and l.rn = x.rn) """ + _shown_sql(["ADX_14", "ADXR_14_2", "DMP_14", "DMN_14"])
+
+
+def _mama_sql(fast: float = 0.5, slow: float = 0.05) -> str:
+    """The phase of a Hilbert transform: each list holds the last values, newest first, and each level of the step names new ones."""
+
+    def turned(new: str, old: str) -> str:
+        return f"scale * (0.0962 * {new} + 0.5769 * {old}[2] - 0.5769 * {old}[4] - 0.0962 * {old}[6])"
+
+    levels = [
+        "0.075 * period + 0.54 as scale, 0.4 * close + 0.3 * p1 + 0.2 * p2 + 0.1 * p3 as n_smooth",
+        f"{turned('n_smooth', 'smooth')} as n_flat, flat[3] as n_phase",
+        f"{turned('n_flat', 'flat')} as n_quad",
+        f"0.2 * (n_phase - {turned('n_quad', 'quad')}) + 0.8 * i2 as n_i, 0.2 * (n_quad + {turned('n_phase', 'phases')}) + 0.8 * q2 as n_q",
+        "0.2 * (n_i * i2 + n_q * q2) + 0.8 * re as n_re, 0.2 * (n_i * q2 + n_q * i2) + 0.8 * im as n_im",
+        "case when n_im <> 0 and n_re <> 0 then 360 / atan(n_im / n_re) else 0.0 end as raw",
+        "0.2 * least(greatest(greatest(least(raw, 1.5 * period), 0.67 * period), 6.0), 50.0) + 0.8 * period as n_period, case when n_phase <> 0 then atan(n_quad / n_phase) else angle end as n_angle",
+        f"least(greatest({fast} / greatest(angle - n_angle, 1.0), {slow}), {fast}) as alpha",
+        "mama + alpha * (close - mama) as n_mama",
+    ]
+    step = "select x.*, s.smooth, s.flat, s.quad, s.phases, s.period, s.i2, s.q2, s.re, s.im, s.angle, s.mama, s.fama from s join x on x.sym = s.sym and x.rn = s.rn + 1"
+    for level in levels:
+        step = f"select *, {level} from ({step})"
+    kept = ", ".join(f"list_prepend(n_{new}, {old})[1:6]" for new, old in (("smooth", "smooth"), ("flat", "flat"), ("quad", "quad"), ("phase", "phases")))
+    step = f"select sym, rn, {kept}, n_period, n_i, n_q, n_re, n_im, n_angle, n_mama, fama + 0.5 * alpha * (n_mama - fama) from ({step})"
+    zeros = "[0.0::double, 0.0, 0.0, 0.0, 0.0, 0.0]"
+    names = ("smooth", "flat", "quad", "phases", "period", "i2", "q2", "re", "im", "angle")
+    seed = ", ".join(f"{zeros if i < 4 else '0.0::double'} as {n}" for i, n in enumerate(names))
+    x = "select *, row_number() over w as rn, lag(close) over w as p1, lag(close, 2) over w as p2, lag(close, 3) over w as p3, count(*) over (partition by sym) as total from bars window w as (partition by sym order by ts)"
+    shown = "select x.sym, x.ts, case when x.rn > 3 and x.total >= 6 then coalesce(s.mama, x.close) end as \"MAMA_0_5_0_05\", case when x.rn > 3 and x.total >= 6 then coalesce(s.fama, x.close) end as \"FAMA_0_5_0_05\" from x left join s using (sym, rn)"
+    return f"with recursive bars as ({EVENTS}), x as ({x}), s as (select sym, cast(6 as bigint) as rn, {seed}, close as mama, close as fama from x where rn = 6 union all {step}), last_stage as ({shown}) {_shown_sql(['MAMA_0_5_0_05', 'FAMA_0_5_0_05'])}"
+
+
 FORWARD = f"""with bars as ({ORDERS}), seen as (select sym, ts, row_number() over w as rn, count(*) over (partition by sym) - row_number() over w as left_, max(ts) over (partition by sym) as last,
 (max(high) over a + min(low) over a + max(high) over b + min(low) over b) / 4 as one, (max(high) over c + min(low) over c) / 2 as two from bars window w as (partition by sym order by ts), a as (partition by sym order by ts rows 8 preceding), b as (partition by sym order by ts rows 25 preceding), c as (partition by sym order by ts rows 51 preceding)),
 last_stage as (select sym, last + to_days(cast(26 - left_ as integer)) as ts, case when rn >= 52 then one end as "ISA_9", case when rn >= 52 then two end as "ISB_52" from seen where left_ < 26) """ + _shown_sql(["ISA_9", "ISB_52"])
@@ -450,6 +488,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"zigzag": f"{_zigzag_tables()} {_shown_sql(['is_peak', 'is_valley'], plain=['is_peak', 'is_valley'])}", "market_structure": _market_structure_sql(), "ichimoku_forward": FORWARD}
     out |= {name: _factors_sql(name) for name in FACTORS}
     out |= {"order_blocks": _order_blocks_sql("orders", 8), "order_blocks_default": _order_blocks_sql("events", 50)}
+    out |= {"adx_ahead": ADX_AHEAD, "mama": _mama_sql()}
     out["last_avsl"] = finite_sql.sql(EVENTS, 'select sym, round(arg_max(case when avsl is null then null else avsl end, ts), 6) + 0.0 as avsl from last_stage group by sym', finite_sql.FINITE["avsl_older"])
     out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, case when abs(open - close) < 0.1 * (high - low) then 100.0 else 0.0 end as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
     out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
