@@ -284,41 +284,51 @@ def mama(x: Series, fastlimit: float = 0.5, slowlimit: float = 0.05, prenan: int
     return first, second
 
 
+def band_strength(x: Series, keep: float, power: float, most: float) -> Series:
+    """How fast an adaptive average may move: volatility around two bands, over its mean, to a power.
+
+    Each band jumps to a price beyond it, and else closes in on the price, the slower the calmer the series is: by
+    ``keep`` to the root of the strength.
+    """
+    n = len(x)
+    out = np.ones(n)
+    distance, smooth, total = np.zeros(n), np.zeros(n + 1), np.zeros(n + 1)  # smooth and total are one place ahead
+    top = bottom = x[0]
+    for i in range(1, n):
+        over, under = x[i] - top, x[i] - bottom
+        distance[i] = 0.0 if abs(over) == abs(under) else max(abs(over), abs(under))
+        smooth[i + 1] = smooth[i] + (distance[i] - distance[max(i - 10, 0)]) / 10
+        total[i + 1] = total[i] + smooth[i + 1]
+        mean = (total[i + 1] - total[max(i - 65, 0)]) / min(i + 1, 66)
+        relative = distance[i] / mean if mean else 0.0
+        out[i] = min(max(relative, 1.0), most) ** power
+        pace = keep ** math.sqrt(out[i])
+        top = x[i] - min(over, 0.0) * pace
+        bottom = x[i] - max(under, 0.0) * pace
+    return out
+
+
 def jma(x: Series, n: int = 7, phase: float = 0.0) -> Series:
-    """Jurik-like average: the smoothing follows the volatility around two bands."""
-    out = _empty(x)
-    s = _start(x)
+    """Jurik-like average: a fast average, its lead, and a pull towards both, all at the pace of ``band_strength``."""
+    out, s = _empty(x), _start(x)
     if len(x) - s < n or n < 2:
         return out
-    half = 0.5 * (n - 1)
-    share = 0.5 if phase < -100 else 2.5 if phase > 100 else 1.5 + phase * 0.01
+    half = (n - 1) / 2
     span = max(math.log2(math.sqrt(half)) + 2, 0.0)
-    power = max(span - 2, 0.5)
-    reach = span * math.sqrt(half)
-    band, beta = reach / (reach + 1), 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
-    top = span ** (1 / power)
-    volatility, sums = [0.0], [0.0]
-    fast = upper = lower = value = x[s]
+    power, reach = max(span - 2, 0.5), span * math.sqrt(half)
+    beta = 0.45 * (n - 1) / (0.45 * (n - 1) + 2)
+    share = min(max(1.5 + phase / 100, 0.5), 2.5)  # fixed values
+    price = x[s:]
+    alpha = beta ** band_strength(price, reach / (reach + 1), power, span ** (1 / power))
+    fast = value = price[0]
     lead = pull = 0.0
-    out[s] = value
-    for i in range(1, len(x) - s):
-        price = x[s + i]
-        above, below = price - upper, price - lower
-        volatility.append(max(abs(above), abs(below)) if abs(above) != abs(below) else 0.0)
-        sums.append(sums[-1] + (volatility[i] - volatility[max(i - 10, 0)]) / 10)
-        mean = sum(sums[max(0, i - 65) :]) / min(i + 1, 66)
-        relative = min(max(volatility[i] / mean if mean else 0.0, 1.0), top)
-        strength = relative**power
-        loosen = band ** math.sqrt(strength)
-        upper = price if above > 0 else price - loosen * above
-        lower = price if below < 0 else price - loosen * below
-        alpha = beta**strength
-        fast = (1 - alpha) * price + alpha * fast
-        lead = (1 - beta) * (price - fast) + beta * lead
-        pull = (fast + share * lead - value) * (1 - alpha) ** 2 + alpha**2 * pull
+    for i in range(1, len(price)):
+        fast += (1 - alpha[i]) * (price[i] - fast)
+        lead += (1 - beta) * (price[i] - fast - lead)
+        pull = (1 - alpha[i]) ** 2 * (fast + share * lead - value) + alpha[i] ** 2 * pull
         value += pull
         out[s + i] = value
-    out[s : s + n - 1] = np.nan
+    out[: s + n - 1] = np.nan
     return out
 
 

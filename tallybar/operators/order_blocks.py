@@ -8,7 +8,7 @@ Confirmation is sequential within an instrument, as a breaker looks at the block
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import timedelta
 
 import numpy as np
@@ -286,18 +286,31 @@ class Market:
 
 
 def cluster(blocks: list[Block], times: np.ndarray, tolerance: float, gap: timedelta | None) -> list[Block]:
-    """Merge neighbours of one side, in the order of their zones' middles, that lie close in price and time."""
-    out: list[Block] = []
-    middle = lambda b: (b.zone_low + b.zone_high) / 2
+    """Chains of one side's blocks, in the order of their zones' middles, as one block each.
+
+    A block joins the chain before it if its middle is within the tolerance of that of the chain's whole zone, and it
+    starts at most ``gap`` after the chain's first start.
+    """
+
+    def middle(b: Block) -> float:
+        return (b.zone_low + b.zone_high) / 2
+
+    def joins(chain: Block, b: Block) -> bool:
+        apart = abs(middle(b) - middle(chain)) / max(middle(chain), TINY)
+        return chain.side == b.side and apart <= tolerance and (gap is None or times[b.start] - times[chain.start] <= np.timedelta64(gap))
+
+    def union(chain: Block, b: Block) -> Block:
+        low = {f: min(getattr(chain, f), getattr(b, f)) for f in ("start", "zone_low")}
+        high = {f: max(getattr(chain, f), getattr(b, f)) for f in ("broken", "retest", "zone_high", "strength")}
+        return replace(chain, **low, **high)
+
+    chains: list[Block] = []
     for b in sorted(blocks, key=lambda b: (b.side, middle(b), b.start)):
-        a = out[-1] if out else None
-        near = a is not None and a.side == b.side and abs(middle(b) - middle(a)) <= tolerance * max(middle(a), TINY)
-        if near and (gap is None or times[b.start] - times[a.start] <= np.timedelta64(gap)):
-            a.start, a.broken, a.retest = min(a.start, b.start), max(a.broken, b.broken), max(a.retest, b.retest)
-            a.zone_low, a.zone_high, a.strength = min(a.zone_low, b.zone_low), max(a.zone_high, b.zone_high), max(a.strength, b.strength)
+        if chains and joins(chains[-1], b):
+            chains[-1] = union(chains[-1], b)
         else:
-            out.append(b)
-    return out
+            chains.append(b)
+    return chains
 
 
 def order_blocks(bars: DataFrame, key: str, order: str, cfg: OrderBlockConfig | None = None) -> DataFrame:
