@@ -56,9 +56,23 @@ class BarFrame:
         other.df, other.key, other.order = df, self.key, self.order
         return other
 
-    def finite(self, *indicators: windows.Indicator) -> BarFrame:
-        """Append indicators over finite windows."""
-        return self._with(reduce(lambda df, i: apply_stages(df, i.stages, i.outputs, self.key, self.order), indicators, self.df))
+    def finite(self, *indicators: windows.Indicator, slices: int = 1) -> BarFrame:
+        """Append indicators over finite windows.
+
+        slices: into how many spans of time a long series is cut, so that it takes as many tasks; each span brings along
+        as many earlier bars as the indicators look back. Series too short for that, and indicators that also look ahead
+        or at all bars, are not cut.
+        """
+        whole = [i for i in indicators if windows.reach(i) is None]
+        near = [i for i in indicators if windows.reach(i) is not None]
+        out = self.df
+        if slices > 1 and near:
+            out = sliced(out, near, self.key, self.order, slices)
+        else:
+            whole = list(indicators)
+        out = reduce(lambda df, i: apply_stages(df, i.stages, i.outputs, self.key, self.order), whole, out)
+        names = [o for i in indicators for o in i.outputs]
+        return self._with(out.select(*(c for c in self.df.columns if c not in names), *dict.fromkeys(names)))
 
     def recursive(self, *indicators: recursive.Recursive) -> BarFrame:
         """Append recursive indicators, all in one grouped map."""
@@ -108,3 +122,22 @@ def apply_stages(df: DataFrame, stages, outputs, key: str, order: str) -> DataFr
         if averages:
             df = recursive.with_recursive(df, key, order, [recursive.average(name, x.kind, x.column, x.length) for name, x in averages.items()])
     return df.select(*own, *outputs)
+
+
+def sliced(df: DataFrame, indicators: list[windows.Indicator], key: str, order: str, slices: int) -> DataFrame:
+    """Indicators that only look back, with each series cut into spans of time that are windows of their own."""
+    reach = max(windows.reach(i) for i in indicators)
+    kind = df.schema[order].dataType.simpleString()
+    at = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") or kind == "date" else F.col(order)
+    cuts = df.groupBy(key).agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000).alias("__cuts"))
+    cut = df.withColumn("__at", at).join(cuts, key, "left").withColumn("__slice", F.size(F.filter("__cuts", lambda c: c < F.col("__at"))))
+    # a span must hold all that the next one looks back to
+    sizes = cut.groupBy(key, "__slice").count().groupBy(key).agg((F.min("count") >= reach).alias("__long"))
+    cut = cut.drop("__cuts", "__at").join(sizes, key, "left").withColumn("__slice", F.when(F.col("__long"), F.col("__slice")).otherwise(0)).drop("__long")
+    last = F.row_number().over(Window.partitionBy(key, "__slice").orderBy(F.col(order).desc()))
+    also = F.when(last <= reach, F.array(F.struct(F.lit(False).alias("own"), (F.col("__slice") + 1).alias("slice")))).otherwise(F.array().cast("array<struct<own:boolean,slice:int>>"))
+    both = F.concat(F.array(F.struct(F.lit(True).alias("own"), F.col("__slice").alias("slice"))), also)
+    spread = cut.withColumn("__x", both).drop("__slice").withColumn("__x", F.explode("__x"))
+    spread = spread.select(*df.columns, F.col("__x.own").alias("__own"), F.col("__x.slice").alias("__slice"))
+    done = reduce(lambda d, i: apply_stages(d, i.stages, i.outputs, f"{key}, __slice", order), indicators, spread)
+    return done.where("__own").drop("__own", "__slice")

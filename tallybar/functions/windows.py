@@ -48,6 +48,20 @@ def render(expression: str, key: str, order: str) -> str:
     return out.replace("@U", f"over ({over} rows between unbounded preceding and current row)").replace("@O", f"over ({over})")
 
 
+def reach(indicator: Indicator) -> int | None:
+    """How many bars before a bar its values come from; None if bars after it, all bars or a recursion take part."""
+    total = 0
+    for stage in indicator.stages:
+        if any(isinstance(x, Average) or re.search(r"@U|@K|\blead\(", x) for x in stage.values()):
+            return None
+        text = " ".join(stage.values())
+        back = [int(n) - 1 for n in re.findall(r"@W\((\d+)\)", text)] + [int(k) for k in re.findall(r"\blag\([^()]*, (\d+)\) @O", text)]
+        if len(back) < text.count("@W(") + text.count("@O"):
+            return None
+        total += max(back, default=0)
+    return total
+
+
 def full(x: str, n: int, value: str) -> str:
     """``value`` where the window of n bars holds n values of x."""
     return f"case when count({x}) @W({n}) = {n} then {value} end"

@@ -88,12 +88,25 @@ def _pivots(method: str, anchor: str, join: str = "backward") -> Query:
     return lambda spark, d: _shown(levels.pivots(sources.orders_daily(spark, d), "sym", "ts", method, anchor, join), outputs)
 
 
+#: Each method's middle and the levels below and above it, by the period's open, high, low, close (o, h, l, c) and range r.
+PIVOTS = {
+    "camarilla": ("(h + l + c) / 3", ("c - 11 * r / 120", "c - 11 * r / 60", "c - 33 * r / 120", "c - 66 * r / 120"), ("c + 11 * r / 120", "c + 11 * r / 60", "c + 33 * r / 120", "c + 66 * r / 120")),
+    "classic": ("(h + l + c) / 3", ("p + p - h", "p - r", "p - 2 * r", "p - 3 * r"), ("p + p - l", "p + r", "p + 2 * r", "p + 3 * r")),
+    "demark": ("(h + l + c + case when o = c then c when c > o then h else l end) / 4", ("p + p - h", None, None, None), ("p + p - l", None, None, None)),
+    "fibonacci": ("(h + l + c) / 3", ("p - 382 * r / 1000", "p - 618 * r / 1000", "p - r", None), ("p + 382 * r / 1000", "p + 618 * r / 1000", "p + r", None)),
+    "traditional": ("(h + l + c) / 3", ("p + p - h", "p - r", "p - 2 * r", "p - 2 * r"), ("p + p - l", "p + r", "p + 2 * r", "p + 2 * r")),
+    "woodie": ("(o + o + h + l) / 4", ("p + p - h", "p - r", "2 * p + l - 2 * h", "2 * p + l - 2 * h - r"), ("p + p - l", "p + r", "2 * p + h - 2 * l", "2 * p + h - 2 * l + r")),
+}
+
+
 def _pivots_sql(method: str, anchor: str, join: str = "backward") -> str:
     unit, names = sources.UNITS[anchor], levels.pivot_names(method, anchor)
-    columns = ", ".join(f'{sql} as "{names[k]}"' for k, sql in levels.METHODS[method].items())
+    middle, below, above = PIVOTS[method]
+    shown = {"P": "p"} | {f"{side}{i}": x or "cast(null as double)" for side, steps in (("S", below), ("R", above)) for i, x in enumerate(steps, 1)}
+    columns = ", ".join(f'{x} as "{names[k]}"' for k, x in shown.items())
     periods = f"select sym, date_trunc('{unit}', ts) as period, arg_min(open, ts) as open, max(high) as high, min(low) as low, arg_max(close, ts) as close from bars group by 1, 2"
     compare = ">=" if join == "backward" else "<="
-    return f"with bars as ({ORDERS}), periods as ({periods}), levels as (select sym, period + interval 1 {unit} as until, {columns} from periods), last_stage as (select b.sym, b.ts, l.* exclude (sym, until) from bars b asof left join levels l on b.sym = l.sym and b.ts {compare} l.until) {_shown_sql(names.values())}"
+    return f"with bars as ({ORDERS}), periods as ({periods}), middles as (select sym, period, o, h, l, c, h - l as r, {middle} as p from (select sym, period, open as o, high as h, low as l, close as c from periods)), levels as (select sym, period + interval 1 {unit} as until, {columns} from middles), last_stage as (select b.sym, b.ts, l.* exclude (sym, until) from bars b asof left join levels l on b.sym = l.sym and b.ts {compare} l.until) {_shown_sql(names.values())}"
 
 
 def _recursion_tables(name: str) -> str:
