@@ -426,8 +426,25 @@ def _hot_marks(keys: DataFrame, search: _Search) -> DataFrame:
     first, last = F.min(place(F.col("places")[0])), F.max(place(F.element_at("places", -1)))
     folded = search.ws.save(keys.groupBy("anchor", "key").agg(first.alias("first"), last.alias("last"), F.max("n").cast("bigint").alias("n")), "folded-0")
     found = keys.drop("body").join(search.judged(folded, 0), ["anchor", "key"])
-    found = found.select("n", "first_order", "first_start", "first_bits", "last_bits", F.explode("places").alias("at"))
-    return found.select("at.doc_order", "at.row_id", "at.start", "n", search.bits(F.col("at"))).where("bits is not null")
+    return found.mapInArrow(_expanded(search.same_text), MARKS)
+
+
+def _expanded(same_text: bool):
+    """Snippets with what was found for their first and last place to a row for each place with covered windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tb.each(batches):
+            places, n, first_order, first_start = (batch.column(c) for c in ("places", "n", "first_order", "first_start"))
+            order, start, row = (places.flatten().field(i).to_numpy() for i in range(3))
+            of = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            later = order > first_order.to_numpy()[of]
+            if same_text:
+                later |= (order == first_order.to_numpy()[of]) & (start > first_start.to_numpy()[of])
+            bits = pa.concat_arrays([batch.column("first_bits"), batch.column("last_bits")]).take(pa.array(of + later * batch.num_rows))
+            out = pa.RecordBatch.from_arrays([pa.array(order), pa.array(row), pa.array(start), n.take(pa.array(of)), bits], ["doc_order", "row_id", "start", "n", "bits"])
+            yield out.filter(out.column("bits").is_valid())
+
+    return run
 
 
 def keyed_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
