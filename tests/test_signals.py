@@ -171,3 +171,26 @@ def test_unknown_names_and_code_are_refused(bars):
     for condition in ("b.value > 1", "__import__('os')", "price.real > 1", "[1][0] > 0"):
         with pytest.raises(ValueError):
             strategy.apply(BarFrame(bars, "sym", "ts"), strategy.parse({"entry": {"long": [condition]}}))
+
+
+def test_reach():
+    assert windows.reach(windows.sma(10)) == 9 and windows.reach(windows.trima(10)) == 8 and windows.reach(windows.coppock()) == 23
+    assert windows.reach(windows.roc(10)) == 10 and windows.reach(windows.hlc3()) == 0
+    assert [windows.reach(i) for i in (windows.ichimoku(), windows.cdl_z_full(), windows.hilo(), windows.apo(mamode="ema"))] == [None] * 4
+
+
+def test_sliced_windows_are_the_same(spark):
+    rng = np.random.default_rng(8)
+    rows = [(sym, int(t), *(float(x) for x in rng.uniform(1, 9, 5))) for sym, n in (("long", 900), ("other", 400), ("short", 30), ("one", 1)) for t in np.cumsum(rng.integers(1, 50, n))]
+    df = spark.createDataFrame(rows, "sym string, ts long, open double, high double, low double, close double, volume double").selectExpr("sym", "timestamp_seconds(ts * 60) as ts", "open", "high", "low", "close", "volume").repartition(5)
+    every = [make() for name, make in windows.INDICATORS.items() if windows.reach(make()) is not None]
+    assert len(every) > 40
+    every += [windows.ichimoku(), windows.bbands(10, mamode="ema")]
+    outputs = [o for i in every for o in i.outputs]
+    plain, cut = ({(r.sym, r.ts): r for r in BarFrame(df, "sym", "ts").finite(*every, slices=n).df.collect()} for n in (1, 6))
+    assert plain.keys() == cut.keys() and len(plain) == len(rows)
+    for at, r in plain.items():
+        for o in outputs:
+            assert (r[o] is None) == (cut[at][o] is None) and (r[o] is None or abs(r[o] - cut[at][o]) <= 1e-9 * max(1, abs(r[o]))), (at, o)
+    plan = BarFrame(df, "sym", "ts").finite(windows.sma(10), slices=6).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "__slice" in plan
