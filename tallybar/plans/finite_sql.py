@@ -153,7 +153,7 @@ FINITE: dict[str, Plain] = {
     "cdl_z_full": Plain({f"{c}_Za": f"coalesce(({c} - avg({c}) over all_) / nullif(stddev_samp({c}) over all_, 0), 0)" for c in PRICES}),
     "tos_stdevall": _deviations("TOS_STDEVALL"),
     "tos_stdevall_last": _deviations("TOS_STDEVALL_100", "rn > total - 100"),
-    "doji": Plain({"CDL_DOJI_10_10": "case when rn >= 10 and 10 * abs(close - open) < avg(high - low) over w10 then 100.0 else 0.0 end"}),
+    "doji": Plain({"CDL_DOJI_10_10": "cast(case when rn >= 10 and 10 * abs(close - open) < avg(high - low) over w10 then 100 else 0 end as double)"}),
     "avsl": _price_volume("avsl", "low", True),
     "avsr": _price_volume("avsr", "high", False),
     "avsl_older": _price_volume("avsl", "low", True, True),

@@ -273,7 +273,7 @@ def _factors_sql(name: str) -> str:
     lags = ", ".join(f"lag({c}, {k}) over w as {c[0]}{k}" for c in ("open", "high", "low", "close") for k in (1, 2))
     shapes = "high - low as r0, abs(close - open) as b0, h1 - l1 as r1, abs(c1 - o1) as b1, h2 - l2 as r2"
     ahead = "max(high) over f as top5, min(low) over f as bottom5, row_number() over w as rn, count(*) over (partition by sym) as n"
-    return f"with bars as ({EVENTS}), lagged as (select *, {lags}, {ahead} from bars window w as (partition by sym order by ts), f as (partition by sym order by ts rows between 1 following and 5 following)), shaped as (select *, {shapes} from lagged), last_stage as (select sym, ts, coalesce({value}, 0.0) as {output} from shaped) {_shown_sql([output])}"
+    return f"with bars as ({EVENTS}), lagged as (select *, {lags}, {ahead} from bars window w as (partition by sym order by ts), f as (partition by sym order by ts rows between 1 following and 5 following)), shaped as (select *, {shapes} from lagged), last_stage as (select sym, ts, cast(coalesce({value}, 0) as double) as {output} from shaped) {_shown_sql([output])}"
 
 
 #: Moving averages by name that are finite windows.
@@ -503,7 +503,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {"order_blocks": _order_blocks_sql("orders", 8), "order_blocks_default": _order_blocks_sql("events", 50)}
     out |= {"adx_ahead": ADX_AHEAD, "mama": _mama_sql()}
     out["last_avsl"] = finite_sql.sql(EVENTS, 'select sym, round(arg_max(case when avsl is null then null else avsl end, ts), 6) + 0.0 as avsl from last_stage group by sym', finite_sql.FINITE["avsl_older"])
-    out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, case when abs(open - close) < 0.1 * (high - low) then 100.0 else 0.0 end as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
+    out["doji_naive"] = f"with bars as ({EVENTS}), last_stage as (select sym, ts, cast(case when abs(open - close) < 0.1 * (high - low) then 100 else 0 end as double) as \"CDL_DOJI_10_10\" from bars) {_shown_sql(['CDL_DOJI_10_10'])}"
     out["adx_trend"] = f"{_recursion_tables('adx')} select sym, trunc(arg_max(ADX_14, ts)) >= 20 as trending from last_stage group by sym"
     out |= {"resample_monthly": MONTHLY, "order_zones": ORDER_ZONES, "acceleration_bands_signals": _band_sql(), "strategy_dsl": _strategy_sql()}
     sma = windows.sma(10)
