@@ -41,8 +41,8 @@ from .workspace import Workspace
 
 #: Places, or different snippets, of one anchor up to which they are compared in one task.
 PART = 4_000
-#: Snippet text that a task compares at once, if a single anchor does not need more.
-STEP_BYTES = 1 << 20
+#: Snippet text that a task compares at once, if a single anchor does not need more, and snippets in a batch that goes on.
+STEP_BYTES, ROWS = 1 << 19, 1 << 14
 _U = np.uint64
 
 
@@ -159,8 +159,12 @@ def _keys(units: Units):
             head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]))) if len(by) else by
             struct = pa.StructArray.from_arrays([pa.array(order[by]), pa.array(start[by].astype(np.int32)), pa.array(row[by])], ["doc_order", "start", "row_id"])
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
-            body = _spans(data.tobytes(), at[by][head], end[by][head])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[head]), pa.array(key[head]), pa.array(n[by][head].astype(np.int32)), places, pa.array(body, pa.binary())], ["anchor", "key", "n", "places", "body"])
+            anchor, key, n, at, end = anchor[head], key[head], n[by][head].astype(np.int32), at[by][head], end[by][head]
+            del order, start, row, by, struct, out
+            for k in range(0, len(head), ROWS):  # what goes on is small, whatever the batch holds
+                part = slice(k, k + ROWS)
+                body = pa.array([data[x:y].tobytes() for x, y in zip(at[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(key[part]), pa.array(n[part]), places.slice(k, len(anchor[part])), body], ["anchor", "key", "n", "places", "body"])
 
     return run
 
