@@ -6,9 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as k
@@ -89,25 +88,18 @@ INDICATORS: dict[str, Callable[..., Recursive]] = {
 
 
 def with_recursive(bars: DataFrame, key: str, order: str, requests: list[Recursive]) -> DataFrame:
-    """Bars with the requests' outputs, computed in one pass over each series.
-
-    What the requests read is a column of its own; all others travel as one struct, which no kernel looks into.
-    """
-    used = [key, order, *dict.fromkeys(c for r in requests for c in r.inputs if c not in (key, order))]
-    rest = [c for c in bars.columns if c not in used]
-    packed = bars.select(*used, *([F.struct(*rest).alias("__rest")] if rest else []))
-    schema = T.StructType([*packed.schema.fields, *(T.StructField(n, T.DoubleType()) for r in requests for n in r.outputs)])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        columns = {c: table.column(c) for c in table.column_names}
+    """Bars with the requests' outputs, computed in one pass over each series."""
+    outputs = [n for r in requests for n in r.outputs]
+    bars = bars.drop(*outputs)
+    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outputs)])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable", ignore_index=True)
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             for r in requests:
-                out = r.kernel(*(columns[c].cast(pa.float64()).to_numpy().copy() for c in r.inputs))
+                out = r.kernel(*(frame[c].to_numpy(dtype=np.float64, na_value=np.nan) for c in r.inputs))
                 for name, values in zip(r.outputs, out if isinstance(out, tuple) else (out,), strict=True):
-                    columns[name] = pa.array(np.asarray(values, dtype=np.float64), mask=~np.isfinite(values))
-        return pa.table(columns)
+                    frame[name] = np.where(np.isfinite(values), values, np.nan)
+        return frame
 
-    out = packed.groupBy(key).applyInArrow(run, schema)
-    outputs = [n for r in requests for n in r.outputs]
-    return out.select(*(F.col(f"__rest.{c}").alias(c) if c in rest else F.col(c) for c in bars.columns if c not in outputs), *outputs)
+    return bars.groupBy(key).applyInPandas(run, schema)
