@@ -116,7 +116,7 @@ def inside(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>, body binary"
+KEYS = "anchor bigint, key bigint, n int, places array<struct<doc_order: bigint, start: int, row_id: bigint>>, body binary, part bigint"
 
 
 def _named(body: memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def _spans(text: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
 
 
 def _keys(units: Units):
-    """Texts and their runs (start, n, anchor) to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order."""
+    """Texts and their runs (start, n, anchor) to snippets, named by a hash of their text: the places of equal ones in a batch are one row, in order. part names the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.each(batches):
@@ -161,10 +161,11 @@ def _keys(units: Units):
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)).astype(np.int32)), struct)
             anchor, key, n, at, end = anchor[head], key[head], n[by][head].astype(np.int32), at[by][head], end[by][head]
             del order, start, row, by, struct, out
+            name = xxhash.xxh3_64_intdigest(np.array([orders[0], ids[0]]).tobytes()) >> 1
             for k in range(0, len(head), ROWS):  # what goes on is small, whatever the batch holds
                 part = slice(k, k + ROWS)
                 body = pa.array([data[x:y].tobytes() for x, y in zip(at[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(key[part]), pa.array(n[part]), places.slice(k, len(anchor[part])), body], ["anchor", "key", "n", "places", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), pa.array(key[part]), pa.array(n[part]), places.slice(k, len(anchor[part])), body, pa.array(np.full(len(body), name))], ["anchor", "key", "n", "places", "body", "part"])
 
     return run
 
@@ -415,7 +416,7 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
     hot = keys.groupBy("anchor").agg(F.sum(F.size("places")).alias("places")).where(F.col("places") > PART).select("anchor")
     hot = ws.save(hot, "hot")
     none = hot.isEmpty()
-    few = keys if none else keys.join(hot, "anchor", "left_anti")
+    few = (keys if none else keys.join(hot, "anchor", "left_anti")).drop("part")
     found = few.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(_marked(resolve, same_text), MARKS)
     if not none:
         found = found.unionByName(_hot_marks(keys.join(hot, "anchor"), search))
@@ -425,32 +426,68 @@ def covered_runs(rows: DataFrame, units: Units, resolve: Callable, same_text: bo
 
 
 def _hot_marks(keys: DataFrame, search: _Search) -> DataFrame:
-    """The columns of ``MARKS`` for anchors of any number of places."""
+    """The columns of ``MARKS`` for anchors of any number of places: a row for each document, whatever it holds of them."""
     place = lambda x: F.struct(x["doc_order"], x["start"].cast("bigint").alias("start"), F.col("body"))
     first, last = F.min(place(F.col("places")[0])), F.max(place(F.element_at("places", -1)))
     folded = search.ws.save(keys.groupBy("anchor", "key").agg(first.alias("first"), last.alias("last"), F.max("n").cast("bigint").alias("n")), "folded-0")
     found = keys.drop("body").join(search.judged(folded, 0), ["anchor", "key"])
-    return found.mapInArrow(_expanded(search.same_text), MARKS)
+    return found.select("part", "n", "places", *(f.split()[0] for f in JUDGED.split(", ")[2:])).repartition("part").sortWithinPartitions("part").mapInArrow(_gathered(search.same_text), MARKS)
 
 
-def _expanded(same_text: bool):
-    """Snippets with what was found for their first and last place to a row for each place with covered windows."""
+def _gathered(same_text: bool):
+    """Snippets sorted by part, with what was found for their first and last place, to a row for each document with covered windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in tb.each(batches):
-            places, n, first_order, first_start = (batch.column(c) for c in ("places", "n", "first_order", "first_start"))
-            order, start, row = (places.flatten().field(i).to_numpy() for i in range(3))
-            of = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
-            later = order > first_order.to_numpy()[of]
-            if same_text:
-                later |= (order == first_order.to_numpy()[of]) & (start > first_start.to_numpy()[of])
-            bits = pa.concat_arrays([batch.column("first_bits"), batch.column("last_bits")]).take(pa.array(of + later * batch.num_rows))
-            out = pa.RecordBatch.from_arrays([pa.array(order), pa.array(row), pa.array(start), n.take(pa.array(of)), bits], ["doc_order", "row_id", "start", "n", "bits"])
-            yield out.filter(out.column("bits").is_valid())
+            part = batch.column("part").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else part
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                # a part that a batch cuts stays with its rest
+                if held and held[-1].column("part")[0].as_py() != part[lo]:
+                    yield from _merged(held, same_text)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from _merged(held, same_text)
 
     return run
 
 
+def _merged(held: list[pa.RecordBatch], same_text: bool) -> Iterator[pa.RecordBatch]:
+    """The places of one part as one row of ``MARKS`` a document: the windows from its first covered place to the end of its last."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    n, first_order, first_start = (rows.column(c).to_numpy() for c in ("n", "first_order", "first_start"))
+    places = rows.column("places").combine_chunks()
+    order, start, row = (places.flatten().field(i).to_numpy() for i in range(3))
+    of = np.repeat(np.arange(len(n)), places.value_lengths().to_numpy())
+    later = order > first_order[of]
+    if same_text:
+        later |= (order == first_order[of]) & (start > first_start[of])
+    bits = pa.concat_arrays([*rows.column("first_bits").chunks, *rows.column("last_bits").chunks])
+    of += later * len(n)
+    some = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)[of])
+    some = some[np.lexsort((start[some], row[some], order[some]))]
+    if not len(some):
+        return
+    order, start, row, of = order[some], start[some].astype(np.int64), row[some], of[some]
+    size = np.tile(n, 2)[of].astype(np.int64)
+    data, cut = tb.byte_column(bits)
+    found, at = np.unpackbits(data).astype(bool), cut[of] * 8
+    # the runs of a document have no window in common, so its last one ends last
+    head = np.flatnonzero(np.append(True, (order[1:] != order[:-1]) | (row[1:] != row[:-1])))
+    ends = np.append(head[1:], len(order))
+    begin = start[head]
+    length = start[ends - 1] + size[ends - 1] - begin
+    for lo, hi in tb.row_blocks(np.append(0, np.cumsum(length))):
+        own, wide = slice(head[lo], ends[hi - 1]), length[lo:hi]
+        shift = np.repeat(np.cumsum(wide) - wide - begin[lo:hi], ends[lo:hi] - head[lo:hi])
+        n_own = size[own]
+        covered = np.zeros(int(wide.sum()), dtype=bool)
+        covered[np.repeat(start[own] + shift, n_own) + inside(n_own)] = found[np.repeat(at[own], n_own) + inside(n_own)]
+        yield pa.RecordBatch.from_arrays([pa.array(order[head[lo:hi]]), pa.array(row[head[lo:hi]]), pa.array(begin[lo:hi].astype(np.int32)), pa.array(wide.astype(np.int32)), _packed(covered, wide)], ["doc_order", "row_id", "start", "n", "bits"])
+
+
 def keyed_rows(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, doc_order, row_id, text, whether any id stands on several rows, and the columns ``keep`` as a struct ``row`` if any."""
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()

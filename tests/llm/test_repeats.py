@@ -119,6 +119,33 @@ def test_one_passage_in_many_different_texts(spark, monkeypatch):
     assert rows(substring_trees.remove_repeats(frame(spark, docs), Workspace(spark, "t"))) == expected(brute.word_repeats(docs))
 
 
+@pytest.mark.parametrize("remove,plain", [(suffix_array.remove_repeats, brute.byte_repeats), (substring_trees.remove_repeats, brute.word_repeats)])
+def test_hot_places_are_one_row_a_document(spark, remove, plain, monkeypatch):
+    rng = random.Random(26)
+    passage, other = (" ".join(words(rng, 150)) for _ in range(2))
+    docs = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(60)]
+    docs += [(i, f"{other} {rng.random()} {passage} {rng.random()} {passage}") for i in range(60, 80)]
+    docs += [(3, f"again {passage}"), (3, f"{passage} {other}"), (None, f"no id {passage}"), (90, " ".join(words(rng, 9000)) + " " + passage), (91, "short"), (92, None)]
+    rng.shuffle(docs)
+    hot, made = repeats._hot_marks, []
+
+    def counted(keys, search):
+        out = search.ws.save(hot(keys, search), "counted")
+        made.append((keys.selectExpr("sum(size(places))").first()[0], out.count(), out.select("doc_order", "row_id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(repeats, "PART", 10)
+    monkeypatch.setattr(repeats, "_hot_marks", counted)
+    for size in ("7", "10000"):  # batches of a few rows also cut what belongs together
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rows(remove(frame(spark, docs, 3), Workspace(spark, "t"))) == expected(plain(docs))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        places, out, documents = made[-1]
+        assert places > 2 * len(docs) and 60 < out == documents <= len(docs)
+
+
 def test_a_long_text(spark):
     rng = random.Random(25)
     long = " ".join(words(rng, 60_000))
