@@ -11,7 +11,7 @@ which all places are expected to be filled; a text with an empty place is follow
 Equal texts are folded first, by a 128-bit cryptographic hash of their words. ``BANDS`` bands of ``ROWS`` places find candidates, which exact multiset overlap
 verifies. In each bucket of equal bands every text is first compared with the bucket's smallest document,
 never with all others. Buckets that then still hold several components are compared whole, in tiles: the
-bucket is cut into blocks of ``BLOCK`` shingles, a task gets two blocks, counts the common shingles of all
+bucket is cut into blocks of ``BLOCK`` shingles and ``TEXTS`` texts at most, a task gets two blocks, counts the common shingles of all
 pairs of different components by matrix products, and hands on a spanning forest of the links. Of buckets with
 the same members only one is compared. So no link that the bands offer is lost, and no list of all pairs is
 ever made.
@@ -42,8 +42,9 @@ BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
 #: Points expected per text before the first look for empty places; about 2 % of texts need another.
 POINTS = PLACES * (np.log(PLACES) + 4)
-#: Shingles in a block of a bucket, tokens that one product takes, and pairs up to which sorted lists are merged instead.
-BLOCK, CHUNK, FEW = 1 << 18, 1 << 12, 32
+#: Shingles and texts in a block of a bucket (a task holds a matrix of two blocks' texts; as many texts are signed at once), tokens
+#: that one product takes, and pairs up to which sorted lists are merged instead.
+BLOCK, TEXTS, CHUNK, FEW = 1 << 18, 1 << 10, 1 << 12, 32
 _U = np.uint64
 
 
@@ -170,7 +171,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tb.each(batches):
         data, offsets = tb.byte_column(batch.column("text"))
-        for lo, hi in tb.row_blocks(offsets, tb.BLOCK_BYTES // 2):
+        for lo, hi in tb.row_blocks(offsets, tb.BLOCK_BYTES // 2, TEXTS):  # a short text has as many points as a long one
             body, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             h, rows = shingles(body, cut)
             keys = text_keys(body, cut)
@@ -342,7 +343,7 @@ def _judged(docs: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
     ws.drop("crowded", "wanted", "pairs", "good")
     members = ws.save(members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "members-labelled")
     alike = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38, 0)")).alias(f"sum{i}") for i in (0, 1)]
-    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"), *alike).where("low < high")
+    mixed = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.greatest(F.sum("n_shingles") / BLOCK, F.count("*") / TEXTS)).cast("int").alias("blocks"), F.count("*").alias("n"), *alike).where("low < high")
     mixed = ws.save(mixed.groupBy("n", "sum0", "sum1").agg(F.min("band").alias("band"), F.first("blocks").alias("blocks")).select("band", "blocks"), "mixed")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     dealt = members.join(mixed, "band").select("band", "rep", "component", block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

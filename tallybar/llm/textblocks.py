@@ -102,12 +102,12 @@ def text_column(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return byte_column(text_array(batch))
 
 
-def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold at most ``limit`` bytes, or one longer row."""
+def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` rows that hold at most ``limit`` bytes, or one longer row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + (most or n), n)
         yield lo, hi
         lo = hi
 

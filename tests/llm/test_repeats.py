@@ -241,6 +241,44 @@ def test_near_duplicates(spark, docs, block, monkeypatch):
     assert all(r.kept == (r.class_id == d) for d, r in got.items())
 
 
+def test_near_duplicates_in_blocks_of_few_texts(spark, docs, monkeypatch):
+    monkeypatch.setattr(bagminhash, "TEXTS", 3)
+    got = bagminhash.near_duplicates(frame(spark, docs), Workspace(spark, "t")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute.near_classes(docs)
+
+
+def test_short_texts_with_a_common_line_meet_in_tiles(spark, monkeypatch):
+    save, tiles = Workspace.save, []
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "dealt":
+            tiles.extend(r["count"] for r in out.groupBy("band", "i", "j").count().collect())
+        return out
+
+    monkeypatch.setattr(bagminhash, "TEXTS", 8, raising=False)
+    monkeypatch.setattr(Workspace, "save", counted)
+    line = [(i, f"this page was not found x{i}") for i in range(3000)]
+    got = bagminhash.near_duplicates(frame(spark, line), Workspace(spark, "t")).collect()
+    assert all(r.kept for r in got) and len(got) == 3000
+    assert len(tiles) > 500 and max(tiles) <= 48  # two blocks, of about 8 texts each
+
+
+def test_signing_short_texts_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([f"this page was not found x{i}" for i in range(10_000)])], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        signed = sum(x.num_rows for x in bagminhash._sign(iter([texts])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert signed == 10_000 and peak < 250e6, peak
+
+
 def test_near_duplicate_odd_rows(spark):
     text = " ".join(words(random.Random(8), 60))
     docs = [(1, text), (1, text), (2, text), (None, text), (3, None), (4, ""), (5, "two words"), (6, "two  words")]
