@@ -59,6 +59,16 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tb.token_hashes(data, starts, ends, tb.BYTE_VALUES[tb.LOWER]), rows
 
 
+def segment_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words_of`` a segment, a few texts at a time, as hashing takes tens of bytes for each byte of text."""
+    parts = []
+    for lo, hi in tb.row_blocks(offsets):
+        hashes, rows = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        parts.append((hashes, rows + lo))
+    hashes, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, rows
+
+
 class Queries:
     """The windows of one block of benchmark items: terms as numbers, windows by length, the items of each window."""
 
@@ -198,7 +208,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in tb.row_blocks(offsets, SEGMENT_BYTES):
             segment, number = task << 32 | number, number + 1
             body, cut = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            hashes, rows = words_of(body, cut)
+            hashes, rows = segment_words(body, cut)
             first = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int64)
             raw, at = body.tobytes(), cut.tolist()
             md5 = [hashlib.md5(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
@@ -220,7 +230,8 @@ def _picked(block):
         known = pickle.loads(block.value).terms
         for batch in tb.each(batches):
             rows = []
-            for segment, bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*batch.columns, strict=True):  # one at a time, as a batch may be a whole file
+                segment, bucket, *blobs = (x.as_py() for x in row)
                 if bucket < 0:
                     rows.append((segment, bucket, *blobs))
                     continue

@@ -381,6 +381,31 @@ def test_postings():
     assert seen == {t: np.flatnonzero(hashes == np.uint64(t)).tolist() for t in set(hashes.tolist())}
 
 
+def test_indexing_takes_bounded_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(31)
+    texts = ["", None, *(" ".join(words(rng, 300)) for _ in range(3000)), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    data, offsets = decontaminate.tb.byte_column(batch.column("text"))
+    assert len(data) > decontaminate.SEGMENT_BYTES
+    whole = decontaminate.words_of(data, offsets)
+    assert all((a == b).all() for a, b in zip(decontaminate.segment_words(data, offsets), whole, strict=True))
+    monkeypatch.setattr(decontaminate.tb, "_powers", {})
+    tracemalloc.start()
+    try:
+        found = list(decontaminate._indexed(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    postings = sum(sum(np.frombuffer(x.as_py(), np.int32).sum() for x in b.column("counts")) for b in found)
+    assert postings == len(whole[0]) and peak < 100e6, peak
+
+
 def test_one_index_for_many_searches(spark, docs):
     texts = dict(docs)
     index = decontaminate.build_index(frame(spark, docs), Workspace(spark, "t"))
